@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalake.llm.words import WORD_TABLE
 
@@ -103,8 +104,8 @@ def longest(hits: np.ndarray) -> np.ndarray:
     return np.stack([doc[head], at[head], item[head], start[head], at[tail] + size[tail] - at[head]], axis=1)
 
 
-def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs' id, n_words and matches: the longest verbatim matches with benchmark items, with their places in both.
+def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """docs' id, n_words and matches (with carry also the row itself, as a struct): the longest verbatim matches with benchmark items, with their places in both.
 
     A match has `window` words at least, or all words of an item that has fewer. Tasks cut their documents into shards
     and build each shard's suffix array; the suffixes of the items are searched in it by bisection. The items, in
@@ -119,7 +120,8 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = size // block_bytes + 1
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {MATCHES})").alias("matches"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {MATCHES})").alias("matches"), (F.struct(*docs.columns) if carry else F.lit(None).cast("int")).alias("carried"))
+    whole = out.schema["carried"].dataType.simpleString() if not carry else f"struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in docs.schema.fields)}>"
     for b in range(blocks):
         got = sorted((r["item"], r["words"]) for r in dealt.where(F.col("block") == b).collect() if r["words"] is not None)
         held = spark.sparkContext.broadcast(TestSuffixes(got, window))
@@ -143,20 +145,21 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
                         piece = batch.slice(done, i + 1 - done)
                         counts = pa.array([len(s) for s in shard], pa.int64())
                         kept = pa.nulls(len(piece), pa.string()) if last else piece.column(1)
-                        yield pa.RecordBatch.from_arrays([piece.column(0), kept, counts, pa.array(matches, batch.column(3).type)], ["id", "text", "n_words", "matches"])
+                        yield pa.RecordBatch.from_arrays([piece.column(0), kept, counts, pa.array(matches, batch.column(3).type), piece.column(4)], ["id", "text", "n_words", "matches", "carried"])
                         done, shard, held_words = i + 1, [], 0
 
-        out = out.mapInArrow(run, f"id {kind}, text string, n_words long, matches {MATCHES}")
-    return out.select(F.col("id").alias(id_col), "n_words", "matches")
+        out = out.mapInArrow(run, f"id {kind}, text string, n_words long, matches {MATCHES}, carried {whole}")
+    return out.select(F.col("id").alias(id_col), "n_words", "matches", *["carried"] * carry)
 
 
-def judged(matches: DataFrame, share: float = 0.05) -> DataFrame:
-    """n_hit, n_items, items_sha256 and contaminated from matches: hit words are those inside any match."""
+def judged(matches: DataFrame, part: int = 20) -> DataFrame:
+    """n_hit, n_items, items_sha256 and contaminated from matches: hit words are those inside any match; a document is
+    contaminated if one in `part` of its words or more is hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit, count, digest = [], [], []
-            for own in batch.column(2).to_pylist():
+            for own in batch.column("matches").to_pylist():
                 names = sorted({m["item_id"] for m in own})
                 end = n = 0
                 for a, b in sorted((m["doc_start"], m["doc_start"] + m["n_words"]) for m in own):
@@ -165,9 +168,14 @@ def judged(matches: DataFrame, share: float = 0.05) -> DataFrame:
                 hit.append(n)
                 count.append(len(names))
                 digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["id", "n_words", "n_hit", "n_items", "items_sha256"])
+            new = [pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_hit", "n_items", "items_sha256"])
 
-    name = matches.columns[0]
-    kind = matches.schema[name].dataType.simpleString()
-    out = matches.toDF("id", "n_words", "matches").mapInArrow(run, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).withColumnRenamed("id", name)
+    out = matches.mapInArrow(run, T.StructType([*matches.schema.fields, T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(part) * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 20, **options) -> DataFrame:
+    """docs without those of whose words one in `part` or more lies inside matches with the benchmark; no shuffle of the texts."""
+    found = judged(verbatim_matches(docs, benchmark, id_col, text_col, carry=True, **options), part)
+    return found.where("NOT contaminated").select("carried.*")
