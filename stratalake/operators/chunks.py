@@ -1,0 +1,214 @@
+"""L1: retrieval chunks that point back to their blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.window import Window
+
+from stratalake.functions import text as T
+from stratalake.operators.blocks import section_index, with_section_path
+
+CHUNK_CHARS, OVERLAP_CHARS = 2000, 200
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def greedy_groups(lengths: pd.Series, limit: pd.Series) -> pd.Series:
+    """For lengths in order the number of each one's group; a group is closed once it has reached the limit."""
+
+    def one(values, most):
+        out, group, held = [], 0, 0
+        for n in values:
+            if held >= most:
+                group, held = group + 1, 0
+            out.append(group)
+            held += int(n)
+        return out
+
+    return pd.Series([one(v, m) for v, m in zip(lengths, limit, strict=True)])
+
+
+def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = CHUNK_CHARS) -> DataFrame:
+    """Chunks of the lines of plain documents, in one pass and without a shuffle: a chunk ends once it holds limit characters."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts, firsts, texts = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held: list[str] = []
+                size = part = first = 0
+                for i, line in enumerate((text or "").split("\n")):
+                    if not line.strip(" "):
+                        continue
+                    if size >= limit:
+                        ids.append(key), parts.append(part), firsts.append(first), texts.append("\n".join(held))
+                        held, size, part = [], 0, part + 1
+                    if not held:
+                        first = i
+                    held.append(line)
+                    size += len(line)
+                if held:
+                    ids.append(key), parts.append(part), firsts.append(first), texts.append("\n".join(held))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(parts, pa.int32()), pa.array(firsts, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "part", "first_line", "text"])
+
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, part int, first_line int, text string")
+    return out.select(F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.col("part").cast("string")).alias("chunk_id"), "*")
+
+
+def chunk_id(doc: Column, kind: Column, path: Column, page: Column, ordinal: Column) -> Column:
+    place = F.when(path.isNotNull() & (path != ""), F.concat(F.lit("sec"), T.normalize_name(path))).otherwise(F.concat(F.lit("p"), page.cast("string")))
+    return F.concat(doc.cast("string"), F.lit("#"), kind, F.lit("#"), place, F.lit("#"), ordinal.cast("string"))
+
+
+def segment_chunks(blocks: DataFrame, toc: DataFrame | None = None, limit: int = CHUNK_CHARS) -> DataFrame:
+    """Chunks of structured blocks: id, doc_id, page, kind, reading_order, text[, section_path, table].
+
+    A heading and a change of section begin a new chunk; tables and figures are chunks of their own; a chunk also ends
+    once its blocks hold limit characters. Chunks of white space vanish. The ordinal counts a document's chunks."""
+    order = Window.partitionBy("doc_id").orderBy("page", "reading_order", "id")
+    alone = F.col("kind").isin("table", "figure")
+    pathed = with_section_path(blocks, section_index(blocks, toc))
+    before = lambda c: F.lag(c).over(order)
+    new = (F.col("kind") == "heading") | alone | F.coalesce(before(alone), F.lit(True)) | ~F.col("path").eqNullSafe(before("path"))
+    segmented = pathed.withColumn("segment", F.sum(new.cast("int")).over(order))
+    size = F.when(alone, 0).otherwise(F.length(F.coalesce("text", F.lit(""))))
+    item = F.struct("page", "reading_order", "id", size.cast("int").alias("size"), F.coalesce("text", F.lit("")).alias("text"), "kind")
+    packed = segmented.groupBy("doc_id", "segment").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("path").alias("path"))
+    numbered = packed.withColumn("groups", greedy_groups(F.transform("items", lambda x: x["size"]), F.lit(limit)))
+    rows = numbered.select("doc_id", "segment", "path", F.explode(F.arrays_zip("items", "groups")).alias("z")).select("doc_id", "segment", "path", "z.items.*", F.col("z.groups").alias("part"))
+    joined = rows.groupBy("doc_id", "segment", "part", "path").agg(F.sort_array(F.collect_list(F.struct("page", "reading_order", "id", "text", "kind"))).alias("own"))
+    text = F.trim(F.array_join(F.transform("own", lambda x: x["text"]), "\n"))
+    kinds = F.transform("own", lambda x: x["kind"])
+    chunks = joined.select(
+        "doc_id", "segment", "part", F.col("path").alias("section"), text.alias("text"),
+        F.transform("own", lambda x: x["id"]).alias("block_ids"),
+        F.array_min(F.transform("own", lambda x: x["page"])).alias("page_start"), F.array_max(F.transform("own", lambda x: x["page"])).alias("page_end"),
+        F.when(F.array_contains(kinds, "table"), "table").when(F.array_contains(kinds, "figure"), "figure").otherwise("section").alias("chunk_type"),
+    ).where((F.col("text") != "") | F.col("chunk_type").isin("table", "figure"))
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "part")) - 1
+    return chunks.withColumn("ordinal", ordinal).withColumn("id", chunk_id(F.col("doc_id"), F.col("chunk_type"), F.col("section"), F.col("page_start"), F.col("ordinal")))
+
+
+def table_profiles(tables: DataFrame) -> DataFrame:
+    """tables (doc_id, id, caption, headers, rows[, section_path, image_path]) with kind, group key, flags and pipe text."""
+    path = F.col("section_path") if "section_path" in tables.columns else F.lit(None).cast("string")
+    continued = F.lower(F.coalesce("caption", F.lit(""))).rlike("\\bcontinued\\b|续表|接上")
+    ragged = (F.size("headers") > 0) & F.exists("rows", lambda r: F.size(r) != F.size("headers"))
+    image = F.col("image_path").isNotNull() if "image_path" in tables.columns else F.lit(False)
+    flags = F.array_compact(
+        F.array(
+            F.when(continued, "continued"), F.when(F.coalesce("caption", F.lit("")) == "", "no_caption"), F.when(image, "image_backed"),
+            F.when(F.size("rows") == 0, "empty_rows"), F.when(ragged, "ragged_rows"),
+        )
+    )
+    kind = T.table_kind(F.col("caption"), F.col("headers"))
+    return tables.withColumns({"table_kind": kind, "continued": continued, "quality_flags": flags, "table_text": T.table_markdown(F.col("headers"), F.col("rows")), "group_key": T.table_group_key(F.col("caption"), F.col("headers"), kind, path)})
+
+
+def logical_tables(tables: DataFrame) -> DataFrame:
+    """Adjacent parts of one table, merged: same key and kind, at most a page between them, one continued or captioned.
+
+    tables: doc_id, pos (among the document's chunks), id, page_start, page_end, group_key, table_kind, continued,
+    caption, text. Islands are found with lag and a running sum."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    prev = lambda c: F.lag(c).over(order)
+    named = lambda c: F.coalesce(c, F.lit("")) != ""
+    same = (
+        (prev("group_key") == F.col("group_key")) & (prev("table_kind") == F.col("table_kind")) & (prev("pos") == F.col("pos") - 1)
+        & (F.col("page_start") - prev("page_end") <= 1) & (F.col("continued") | prev("continued") | named(F.col("caption")) | named(prev("caption")))
+    )
+    islands = tables.withColumn("joined", F.coalesce(same, F.lit(False))).withColumn("island", F.sum((~F.col("joined")).cast("int")).over(order))
+    merged = islands.groupBy("doc_id", "island").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "id", "text"))).alias("own"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"),
+        F.first("table_kind").alias("table_kind"), F.min_by("caption", "pos").alias("caption"), F.count("*").alias("parts"),
+    )
+    ids = F.array_join(F.transform("own", lambda x: x["id"]), "|")
+    suffix = F.when(F.col("parts") > 1, F.concat(F.lit("_logical_"), F.substring(F.sha2(ids.cast("binary"), 256), 1, 10))).otherwise("")
+    return merged.select(
+        "doc_id", F.concat(F.col("own")[0]["id"], suffix).alias("id"), "page_start", "page_end", "table_kind", "caption", "parts",
+        F.array_join(F.transform("own", lambda x: x["text"]), "\n[logical_table_part]\n").alias("text"),
+    )
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def pack_sentences(sentences: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+    """Sentences packed to parts of limit characters; a part opens with the last sentences of the one before, up to overlap
+    characters of them; a longer sentence is cut. After the overlap the next sentence is taken as it is."""
+
+    def one(parts, most, over):
+        out: list[str] = []
+        held: list[str] = []
+        size = 0
+        for s in parts:
+            if len(s) > most:
+                if held:
+                    out.append(" ".join(held))
+                out += [s[i : i + most] for i in range(0, len(s), most)]
+                held, size = [], 0
+                continue
+            if held and size + len(s) + 1 > most:
+                out.append(" ".join(held))
+                kept, n = [], 0
+                for k in reversed(held):
+                    if n + len(k) > over:
+                        break
+                    kept.insert(0, k)
+                    n += len(k) + 1
+                held, size = kept, n
+            held.append(s)
+            size += len(s) + 1
+        if held:
+            out.append(" ".join(held))
+        return out
+
+    return pd.Series([one(list(p), m, o) for p, m, o in zip(sentences, limit, overlap, strict=True)])
+
+
+def split_oversized(chunks: DataFrame, limit: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """chunks (id, text, …) with those over limit split by sentences; ids get _part<i>of<n>, offsets add up lengths."""
+    long = F.length("text") > limit
+    parts = F.when(long, pack_sentences(T.split_sentences(F.col("text")), F.lit(limit), F.lit(overlap))).otherwise(F.array("text"))
+    rest = [c for c in chunks.columns if c not in ("id", "text")]
+    out = chunks.withColumn("parts", parts).withColumn("n", F.size("parts")).select("id", *rest, "n", "parts", F.posexplode("parts").alias("i", "piece"))
+    offset = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
+    name = F.when(F.col("n") > 1, F.concat("id", F.lit("_part"), (F.col("i") + 1).cast("string"), F.lit("of"), F.col("n").cast("string"))).otherwise(F.col("id"))
+    return out.select(name.alias("id"), F.col("id").alias("parent"), *rest, F.col("piece").alias("text"), (F.col("i") + 1).alias("split_part"), F.col("n").alias("split_total"), offset.alias("char_offset"))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("row_start", IntegerType()), StructField("row_end", IntegerType())])))
+def pack_rows(costs: pd.Series, budget: pd.Series) -> pd.Series:
+    """Row ranges of which each holds up to budget characters, one row at least."""
+
+    def one(values, most):
+        out, start, held = [], 0, 0
+        for i, n in enumerate(values):
+            if i > start and held + n > most:
+                out.append({"row_start": start, "row_end": i - 1})
+                start, held = i, 0
+            held += int(n)
+        if len(values):
+            out.append({"row_start": start, "row_end": len(values) - 1})
+        return out
+
+    return pd.Series([one(v, m) for v, m in zip(costs, budget, strict=True)])
+
+
+def split_tables(tables: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
+    """tables (id, caption, headers, rows) whose pipe text is over limit, as row batches that repeat caption and header."""
+    head = F.concat_ws("\n", F.col("caption"), T.table_markdown(F.col("headers"), F.array().cast("array<array<string>>")))
+    cost = F.transform("rows", lambda r: F.length(F.array_join(r, " | ")) + 5)
+    whole = F.struct(F.lit(0).alias("row_start"), (F.size("rows") - 1).alias("row_end"))
+    fits = F.length(head) + F.aggregate(cost, F.lit(0), lambda a, n: a + n) <= limit
+    ranges = F.when(fits, F.array(whole)).otherwise(pack_rows(cost, F.greatest(F.lit(limit) - F.length(head), F.lit(200))))
+    out = tables.withColumn("ranges", ranges).withColumn("n", F.size("ranges")).select("id", "caption", "headers", "rows", "n", F.posexplode("ranges").alias("i", "r"))
+    part = F.slice("rows", F.col("r.row_start") + 1, F.col("r.row_end") - F.col("r.row_start") + 1)
+    return out.select(
+        F.when(F.col("n") > 1, F.concat("id", F.lit("_part"), (F.col("i") + 1).cast("string"), F.lit("of"), F.col("n").cast("string"))).otherwise(F.col("id")).alias("id"),
+        F.concat_ws("\n", F.col("caption"), T.table_markdown(F.col("headers"), part)).alias("text"), F.col("r.row_start").alias("row_start"), F.col("r.row_end").alias("row_end"), F.size("rows").alias("row_total"),
+    )
