@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
     for _ in range(max_rounds):
-        state = now.agg(F.count("*").alias("n"), F.sum("b").alias("s"), F.sum(F.xxhash64("a", "b") % (1 << 31)).alias("h")).first()
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 31)).alias("s"), F.sum(F.xxhash64("b", "a") % (1 << 31)).alias("h")).first()
         if state == before or not state["n"]:
             break
         before = state

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,6 +15,8 @@ from stratalake.llm.components import connected_components
 
 #: A tile holds this many fingerprints at most; two tiles are compared in blocks of this many rows.
 TILE, BLOCK = 4096, 256
+#: Pairs of tiles with fewer comparisons than this are compared many at once.
+SMALL = 1 << 14
 #: A fingerprint's population counts are taken over its quarters.
 PARTS = 4
 
@@ -94,6 +95,29 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in a row, and where each list begins."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[at[0] : at[-1]].view(np.uint64), at - at[0]
+
+
+def _runs(rows: np.ndarray, work: np.ndarray, most: int = 1 << 21) -> Iterator[np.ndarray]:
+    """rows in runs of some `most` comparisons."""
+    if len(rows):
+        yield from np.split(rows, np.flatnonzero(np.diff(np.cumsum(work[rows]) // most)) + 1)
+
+
+def _small_pairs(left: np.ndarray, l_at: np.ndarray, right: np.ndarray, r_at: np.ndarray, rows: np.ndarray, radius: int) -> np.ndarray:
+    """Links of many small pairs of tiles at once."""
+    wide = r_at[rows + 1] - r_at[rows]
+    work = (l_at[rows + 1] - l_at[rows]) * wide
+    k = np.arange(work.sum()) - np.repeat(np.cumsum(work) - work, work)
+    w = np.repeat(wide, work)
+    a, b = left[np.repeat(l_at[rows], work) + k // w], right[np.repeat(r_at[rows], work) + k % w]
+    near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+    return np.stack([a[near].view(np.int64), b[near].view(np.int64)], axis=1)
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints, as many as connect all that are within radius differing bits.
 
@@ -110,15 +134,11 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             tile = own @ np.array([17**3, 17**2, 17, 1])
             yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(fp)], ["tile", "fp"])
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy()
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "fps": [fp.tobytes()]})
-
     tiled = fps.select("fp").distinct().mapInArrow(tiles, "tile long, fp long")
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces"))
     # At most 17 ** 4 tiles exist, so this table is bounded.
     pieces = materialize(
-        tiled.join(F.broadcast(sizes), "tile").withColumn("piece", F.pmod(F.xxhash64("fp"), "pieces").cast("int")).groupBy("tile", "piece").applyInPandas(packed, "tile long, piece int, fps binary"), "simhash-tiles"
+        tiled.join(F.broadcast(sizes), "tile").withColumn("piece", F.pmod(F.xxhash64("fp"), "pieces").cast("int")).groupBy("tile", "piece").agg(F.collect_list("fp").alias("fps")), "simhash-tiles"
     )
     near = F.array(*[F.lit(sum(c * 17 ** (PARTS - 1 - i) for i, c in enumerate(s))) for s in steps])
     moved = pieces.select(F.col("tile").alias("l_tile"), F.col("piece").alias("l_piece"), F.col("fps").alias("l_fps"), F.explode(near).alias("step")).withColumn("tile", F.col("l_tile") + F.col("step"))
@@ -126,15 +146,19 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                left, right = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+            (left, l_at), (right, r_at) = (_lists(c) for c in batch.columns)
+            work = np.diff(l_at) * np.diff(r_at)
+            for rows in _runs(np.flatnonzero(work < SMALL), work):
+                kept = _forest(_small_pairs(left, l_at, right, r_at, rows, radius))
+                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["a", "b"])
+            for i in np.flatnonzero(work >= SMALL):
+                own, other = left[l_at[i] : l_at[i + 1]], right[r_at[i] : r_at[i + 1]]
                 # A pair of pieces is compared band by band, so that the links at hand stay few.
                 kept = np.empty((0, 2), dtype=np.int64)
-                for at in range(0, len(left), BLOCK):
-                    ij = close_pairs(left[at : at + BLOCK], right, radius)
-                    a, b = left[at + ij[:, 0]].view(np.int64), right[ij[:, 1]].view(np.int64)
-                    new = np.stack([a, b], axis=1)[a != b]
-                    kept = _forest(np.concatenate([kept, new]))
+                for at in range(0, len(own), BLOCK):
+                    ij = close_pairs(own[at : at + BLOCK], other, radius)
+                    a, b = own[at + ij[:, 0]].view(np.int64), other[ij[:, 1]].view(np.int64)
+                    kept = _forest(np.concatenate([kept, np.stack([a, b], axis=1)[a != b]]))
                 yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["a", "b"])
 
     return pairs.select("l_fps", "fps").mapInArrow(compared, "a long, b long").distinct()
