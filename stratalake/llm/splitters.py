@@ -51,14 +51,18 @@ def _cuts_within(drawn: list, stats: dict, quota: float) -> list[tuple[int, int]
     for rng, row in stats.items():
         mine = [d for d in drawn if d["rng"] == rng]
         whole, pieces = sum(d["w"] for d in mine), max(2, round(row["bytes"] / quota))
-        at, due = 0.0, 1
+        mass: dict[int, float] = {}
         for d in mine:
-            if at >= due * whole / pieces:
-                if d["key"] > row["lo"]:
-                    cuts.append((d["key"], LOW))
-                while at >= due * whole / pieces:
-                    due += 1
-            at += d["w"]
+            mass[d["key"]] = mass.get(d["key"], 0.0) + d["w"]
+        at, due = 0.0, 1
+        for key, w in mass.items():
+            if (at >= due * whole / pieces or w >= quota) and key > row["lo"]:
+                cuts.append((key, LOW))
+            while at >= due * whole / pieces:
+                due += 1
+            if w >= quota and key < row["hi"]:
+                cuts.append((key + 1, LOW))  # a frequent text gets a range of its own
+            at += w
     return cuts
 
 
