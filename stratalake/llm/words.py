@@ -58,7 +58,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def batches_of(texts: list[str | None], most: int = 1 << 21) -> list[tuple[int, list[bytes]]]:
     """The texts in UTF-8 (null: empty), in runs of about `most` bytes; with each run the index of its first text."""
     runs: list[tuple[int, list[bytes]]] = []
-    size = most
+    size = most + 1
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass")
         if size + len(b) > most:
