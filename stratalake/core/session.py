@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +22,20 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "strata
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they find it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="stratalake-code-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, f"{home.name}/{path.relative_to(home)}")
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
