@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.core.storage import materialize
+
 #: Labelled rows from which lexicon and weights are learned, at most; where there are more, a hash draws them.
 TRAINING_ROWS = 24_000
 #: Entries of the lexicon at most: the words and stems with the highest weights.
@@ -265,12 +267,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The lexicon's terms are the words, and the openings that several words share, that toxic documents have far more
     often than clean ones. Rows of labels without an id or a label teach nothing."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["id"]), "id"
-    )
-    count = labels.where(F.col(label_col).isNotNull()).count()
-    part = min(1.0, training_rows / max(1, count))
-    train = labelled.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    part = min(1.0, training_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(part * (1 << 20))).dropDuplicates(["id"])
+    # Some training_rows ids and labels, whatever the tables' sizes, so they are broadcast; no text is shuffled.
+    train = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id"), "toxicity-train")
     n = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     names = len(FEATURES)
