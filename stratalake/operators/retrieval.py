@@ -6,18 +6,23 @@ import base64
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalake.functions.text import cosine, tokens
+from stratalake.functions.text import tokens
 
 #: Fixed values of the BM25 variant: saturation, length weight, least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Words and phrases of questions that are no search terms.
 STOP_WORDS = ("all", "and", "are", "containing", "description", "descriptions", "find", "for", "from", "have", "into", "modeling", "need", "that", "the", "their", "this", "value", "values", "with")
 STOP_PHRASES = ("一下", "什么", "介绍", "哪些", "如何", "怎么", "是否", "有关", "相关", "说明")
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
 #: Fixed values of the fusion: rank constant, channel weights, least similarity.
 RANK_BASE, TERM_WEIGHT, SEMANTIC_WEIGHT, CONFIDENCE_WEIGHT, LEAST_SIMILARITY = 60, 0.5, 0.8, 0.5, 0.2
 #: First lines that open front matter.
@@ -217,16 +222,61 @@ def hash_encode(texts: DataFrame, id_col: str, text_col: str, dim: int = 256) ->
     return summed.join(norm, id_col).select(id_col, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, id, similarity and rank of each query's k nearest vectors by exact cosine.
+def _unit_rows(column: pa.Array) -> list[np.ndarray | None]:
+    """Vectors of unit length; None for null, empty and zero ones."""
+    out = []
+    for v in column:
+        x = np.array(v.as_py() or [], dtype=np.float64)
+        n = np.sqrt((x * x).sum())
+        out.append(x / n if n > 0 else None)
+    return out
 
-    queries (query_id, query_vec) is a batch that the caller states; it is compared with all vectors in one scan. The
-    allow-list is applied before the ranking."""
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", allowed: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, similarity and rank of each query's k nearest vectors by exact cosine, ties by id.
+
+    queries (query_id, query_vec) is a set that the caller states. It is gone through in blocks of `block` rows; a block is
+    broadcast, each task multiplies it with its vectors and passes on its own k best, and those are ranked. The allow-list
+    is applied before the ranking. Vectors of another length or without length have similarity 0."""
+    spark = vectors.sparkSession
     rows = vectors if allowed is None else vectors.join(allowed, id_col, "left_semi")
-    sim = F.round(cosine(F.col("query_vec"), F.col(vec_col)), 6)
-    scored = queries.join(rows, F.col("query_id").isNotNull()).select("query_id", F.col(id_col).alias("id"), sim.alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, similarity double"
+    n = queries.count()
+    parts = -(-n // block)
+    out = empty_like(spark, schema)
+    for part in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        table = own.select("query_id", "query_vec").toArrow()
+        held = spark.sparkContext.broadcast((table.column(0).to_pylist(), _unit_rows(table.column(1).combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, units = held.value
+            best: list[list[tuple]] = [[] for _ in names]
+            kind = None
+            for batch in batches:
+                kind = batch.column(0).type
+                ids, own = batch.column(0).to_pylist(), _unit_rows(batch.column(1))
+                sims = np.zeros((len(names), len(ids)))
+                for size in {len(u) for u in units if u is not None}:
+                    left, right = [i for i, u in enumerate(units) if u is not None and len(u) == size], [j for j, u in enumerate(own) if u is not None and len(u) == size]
+                    if right:
+                        sims[np.ix_(left, right)] = np.stack([units[i] for i in left]) @ np.stack([own[j] for j in right]).T
+                sims = np.round(sims, 6) + 0.0
+                for q in range(len(names)):
+                    if len(ids) > k:
+                        least = np.partition(sims[q], len(ids) - k)[len(ids) - k]
+                        near = np.flatnonzero(sims[q] >= least)
+                    else:
+                        near = range(len(ids))
+                    best[q] = sorted([*best[q], *((-sims[q, j], ids[j]) for j in near)])[:k]
+            if kind is not None:
+                flat = [(name, i, -s) for name, own in zip(names, best, strict=True) for s, i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat]), pa.array([f[1] for f in flat], kind), pa.array([f[2] for f in flat], pa.float64())], ["query_id", "id", "similarity"])
+
+        out = out.unionByName(rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL").mapInArrow(run, schema))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def stale_items(desired: DataFrame, stored: DataFrame, id_col: str = "item_id") -> DataFrame:
