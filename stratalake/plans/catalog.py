@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from stratalake.core.ranks import with_global_rank
 from stratalake.functions import text as T
 from stratalake.operators import audits, blocks, chunks, graph, incremental, retrieval
 from stratalake.plans import sql
@@ -187,12 +187,12 @@ def _rrf_sql() -> str:
 
 @_query(_rrf_sql())
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal ranks of three probes; each probe's ranking is a sort of the chunks that hold it."""
+    """Reciprocal ranks of three probes; each probe's chunks are ranked over range partitions."""
     c = document_chunks(spark, sf_dir)
     ranked = None
     for i, (phrase, weight) in enumerate([("than", 1.0), ("ening", 0.5), ("ofer", 0.5)]):
         found = retrieval.bm25_phrase(c, phrase, None)
-        one = found.select("chunk_id", F.lit("text" if i == 0 else "term").alias("channel"), F.lit(weight).alias("weight"), F.row_number().over(Window.orderBy("score", "doc_id", "chunk_id")).alias("rank"))
+        one = with_global_rank(found, ["score", "doc_id", "chunk_id"]).select("chunk_id", F.lit("text" if i == 0 else "term").alias("channel"), F.lit(weight).alias("weight"), (F.col("rank") + 1).alias("rank"))
         ranked = one if ranked is None else ranked.unionByName(one)
     return retrieval.fuse(ranked).withColumn("score", F.round("score", 6))
 
