@@ -12,8 +12,9 @@ import pytest
 import xxhash
 import zstandard
 
+from stratalake.core.ranks import with_global_rank
 from stratalake.core.storage import fresh_path
-from stratalake.llm import apportion, components, imatch, kneser_ney, quotations, ranks, simhash, splitters, suffixes, toxicity, url_filter, warc
+from stratalake.llm import apportion, components, imatch, kneser_ney, quotations, simhash, splitters, suffixes, toxicity, url_filter, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -556,5 +557,5 @@ def test_reply_order(spark):
 
 def test_global_rank(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(200)], "a int, b int").repartition(6)
-    got = [(r.a, r.b) for r in sorted(ranks.with_global_rank(df, ["a", "b"]).collect(), key=lambda r: r["rank"])]
+    got = [(r.a, r.b) for r in sorted(with_global_rank(df, ["a", "b"]).collect(), key=lambda r: r["rank"])]
     assert got == sorted((i % 3, i) for i in range(200))
