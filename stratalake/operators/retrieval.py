@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20) -> DataFrame:
     """chunk_id, tf and score of the chunks that hold the phrase; the smallest score is the best, ties go by id.
 
-    The corpus statistics are one row; the chunks are read once for them and once for the scores."""
+    The corpus statistics are three numbers; the chunks are read once for them and once for the scores."""
     spark = chunks.sparkSession
     words = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(phrase)))).collect()]
     if not words:
@@ -46,10 +47,10 @@ def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20) -> DataF
     counted = chunks.select("doc_id", "chunk_id", tokens(F.col("text")).alias("w")).select(
         "doc_id", "chunk_id", F.size("w").cast("long").alias("len"), F.regexp_count(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(pattern)).cast("long").alias("tf")
     )
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.count_if(F.col("tf") > 0).alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    found = counted.where("tf > 0").crossJoin(F.broadcast(stats)).select("doc_id", "chunk_id", "tf", score.alias("score"))  # stats: one row
+    n, avg_len, df = counted.agg(F.count("*"), F.avg("len"), F.count_if(F.col("tf") > 0)).first()
+    idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+    score = F.lit(-idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
+    found = counted.where("tf > 0").select("doc_id", "chunk_id", "tf", score.alias("score"))
     return found if limit is None else found.orderBy("score", "doc_id", "chunk_id").limit(limit)
 
 
@@ -295,8 +296,8 @@ def entity_cascade(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
         .when(F.contains(F.lower("name"), low) | F.contains(F.lower(F.coalesce("qualified_name", F.lit(""))), low), 4)
     )
     hits = nodes.withColumn("tier", tier).where("tier IS NOT NULL")
-    best = hits.agg(F.min("tier").alias("best"))
-    return hits.crossJoin(F.broadcast(best)).where("tier = best").drop("best").orderBy("name", "id").limit(limit)  # best: one row
+    best = hits.agg(F.min("tier")).first()[0]
+    return hits.where(F.col("tier") == F.lit(best)).orderBy("name", "id").limit(limit)
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
