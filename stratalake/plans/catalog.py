@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from stratalake.core.ranks import with_global_rank
 from stratalake.functions import text as T
-from stratalake.operators import audits, blocks, chunks, graph, incremental, retrieval
+from stratalake.operators import audits, blocks, chunks, extract, graph, incremental, models, retrieval, views
 from stratalake.plans import sql
+from stratalake.sources import layout
 
 PHRASE = "of the"
 
@@ -513,6 +514,126 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.debounced(e, "user_id", "ts", 7200).select("user_id", "burst", us("begin_ts"), us("end_ts"), "changes")
 
 
+# --- views and merges -----------------------------------------------------------------------------------------------
+
+
+@_query(
+    sql.CHUNKS + """, c AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM chunks GROUP BY doc_id)
+    SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic, coalesce(c.chunk_count, 0) AS chunk_count, coalesce(c.chars, 0) AS chars FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN c USING (doc_id)"""
+)
+def documents_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels in the manifest's place and the counts of their chunks."""
+    docs = table(spark, sf_dir, "documents")
+    stats = chunks.line_chunks(docs).groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return views.documents(docs.select("doc_id", "lang", "source"), table(spark, sf_dir, "labels"), stats)
+
+
+@_query(
+    """WITH l AS (SELECT l_orderkey, 'line:' || l_orderkey || '.' || l_linenumber AS id, max(l_quantity) AS high FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL)
+    SELECT 'order:' || o_orderkey AS parent_id, id, high, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY high DESC, id) AS INTEGER) AS position FROM orders JOIN l ON l_orderkey = o_orderkey"""
+)
+def register_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as registers, their returned lines as fields, highest first."""
+    parent, child = F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")), F.concat(F.lit("line:"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").groupBy(parent.alias("src"), child.alias("id")).agg(F.max("l_quantity").alias("high"))
+    parents = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
+    edges = lines.select("src", F.col("id").alias("dst"), F.lit("has_bitfield").alias("kind"))
+    return views.with_children(parents, edges, lines.select("id", "high"), "has_bitfield", [F.desc("high"), F.col("id")])
+
+
+@_query(
+    """WITH s AS (SELECT n_regionkey AS doc_id, CAST(n_nationkey AS VARCHAR) AS number, n_name AS name, 1 AS page FROM nation UNION ALL SELECT n_regionkey, c_nationkey || '.' || c_custkey, c_name, CAST(NULL AS INTEGER) FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT n_regionkey, c_nationkey || '.' || c_custkey || '.7.' || (c_custkey % 3), c_mktsegment, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)
+    SELECT doc_id, number, name, page, CASE len(string_split(number, '.')) WHEN 2 THEN split_part(number, '.', 1) WHEN 4 THEN split_part(number, '.', 1) || '.' || split_part(number, '.', 2) END AS parent, CAST(len(string_split(number, '.')) AS INTEGER) AS depth,
+      array_to_string(list_transform(string_split(number, '.'), lambda x: lpad(x, 12, '0')), '.') AS sort_key FROM s"""
+)
+def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, customers and a level below that skips one, as numbered sections of a region's document."""
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    number = F.concat(F.col("c_nationkey").cast("string"), F.lit("."), F.col("c_custkey").cast("string"))
+    row = lambda df, num, name, page: df.select(F.col("n_regionkey").alias("doc_id"), num.alias("number"), F.col(name).alias("name"), F.lit(page).cast("int").alias("page"))
+    deep = row(c.where("c_acctbal > 0"), F.concat(number, F.lit(".7."), (F.col("c_custkey") % 3).cast("string")), "c_mktsegment", 2)
+    return views.section_tree(row(n, F.col("n_nationkey").cast("string"), "n_name", 1).unionByName(row(c, number, "c_name", None)).unionByName(deep))
+
+
+@_query("WITH n AS (SELECT l_orderkey AS o_orderkey, l_returnflag AS state, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + l_partkey DESC) AS k FROM lineitem WHERE l_quantity > 45) SELECT o_orderkey, o_orderstatus AS state FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT o_orderkey, state FROM n WHERE k = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored rows; their large lines replace them, the last one of each."""
+    stored = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"))
+    new = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("state"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("seq"))
+    return incremental.upsert(stored, new, ["o_orderkey"])
+
+
+@_query(
+    """WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'), e AS (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_returnflag AS kind, l_orderkey FROM lineitem)
+    SELECT src, dst, kind FROM e WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)"""
+)
+def delete_docs_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are left when all orders of a priority go as a document."""
+    nodes = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("doc_id"))
+    doc_ids = nodes.select("doc_id").distinct().where(F.col("doc_id").startswith("1"))
+    return graph.delete_docs(doc_ids, nodes, _line_edges(spark, sf_dir).select("src", "dst", "kind"))[1]
+
+
+@_query(f"WITH e AS ({_EDGES}), f AS (SELECT src, dst, kind, extractor, min(seq) AS seq FROM e GROUP BY ALL), x AS (SELECT src, dst, kind, string_agg(extractor, '+' ORDER BY seq, extractor) AS extractor FROM f GROUP BY ALL) SELECT src, dst, kind, extractor FROM x WHERE extractor <> 'F'")
+def clear_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged edges without those that one producer alone has made."""
+    return graph.without_derived(graph.merge_edges(_line_edges(spark, sf_dir)), ["F"]).select("src", "dst", "kind", "extractor")
+
+
+@_query(
+    r"""WITH s AS (SELECT 'nation:' || n_nationkey AS section_id, n_regionkey AS doc_id, CAST(n_nationkey AS VARCHAR) AS path, upper(regexp_replace(n_name, '[\s_\-./]+', '', 'g')) AS key FROM nation),
+    m AS (SELECT n_regionkey AS doc_id, upper(regexp_replace(n_name, '[\s_\-./]+', '', 'g')) AS key, min('module:' || n_nationkey) AS module_id FROM nation WHERE n_nationkey % 2 = 0 GROUP BY ALL)
+    SELECT 'supplier:' || s_suppkey AS src, coalesce(module_id, section_id) AS dst, 'belongs_to' AS kind, CASE WHEN module_id IS NULL THEN 0.85::DOUBLE ELSE 0.9::DOUBLE END AS confidence
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN s ON s.doc_id = n_regionkey AND s.path = CAST(s_nationkey AS VARCHAR) LEFT JOIN m ON m.doc_id = s.doc_id AND m.key = s.key"""
+)
+def belongs_to_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as entities of nations as sections, half of which are modules as well."""
+    n = table(spark, sf_dir, "nation")
+    entities = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("n_regionkey").alias("doc_id"), F.col("s_nationkey").cast("string").alias("section_path"))
+    named = lambda prefix: n.select(F.concat(F.lit(f"{prefix}:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").cast("string").alias("path"), F.col("n_name").alias("name"))
+    return graph.belongs_to(entities, named("nation"), named("module").where("path % 2 = 0"))
+
+
+@_query(
+    sql.CHUNKS + r""", l AS (SELECT doc_id, chunk_id, lower(text) AS t, lower(string_split(text, chr(10))[1]) AS line FROM chunks),
+    k AS (SELECT doc_id, chunk_id, t, line, contains(t, 'than')::INT + contains(t, 'ening')::INT AS n, contains(line, 'than')::INT + contains(line, 'ening')::INT AS h FROM l)
+    SELECT doc_id, chunk_id, round(least(n * 0.45::DOUBLE, 4.5) + least(h * 0.6::DOUBLE, 2.4) + CASE WHEN contains(t, 'than ening') THEN 1 ELSE 0 END + CASE WHEN contains(line, 'than ening') THEN 3 ELSE 0 END
+      + CASE WHEN regexp_matches(line, '^\s*[0-9]+(?:\.[0-9]+){0,5}\s*than ening') THEN 2 ELSE 0 END - 1, 6) AS score FROM k"""
+)
+def structural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the structure of every chunk adds for one question."""
+    score = retrieval.structural_score("than ening", F.col("text"), F.lit(None).cast("string"))
+    return document_chunks(spark, sf_dir).select("doc_id", "chunk_id", F.round(score, 6).alias("score"))
+
+
+@_query(
+    """WITH p AS (SELECT source AS doc_id, count(*) AS pages, avg(length(text)) AS chars_per_page, avg(CASE WHEN lang = 'en' THEN 0 ELSE 1 END::DOUBLE) AS image_ratio, CAST(sum(len(regexp_extract_all(text, 'th[ei]'))) AS BIGINT) AS register_hits FROM documents GROUP BY source)
+    SELECT doc_id, pages, CASE WHEN chars_per_page < 80 OR image_ratio > 0.4 THEN 'ocr' WHEN register_hits >= 10000 THEN 'layout' ELSE 'text_layer' END AS parser FROM (SELECT *, image_ratio * 1.5 AS r FROM p)"""
+)
+def parser_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as files, documents as their pages: which parser the profile asks for."""
+    pages = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("doc_id"), F.lit(1).alias("page"), F.length("text").alias("text_chars"), (F.when(F.col("lang") == "en", 0.0).otherwise(1.0) * 1.5).alias("image_ratio"),
+        F.regexp_count("text", F.lit("th[ei]")).alias("register_hits"), F.lit(0).alias("table_hits"),
+    )
+    profile = layout.pdf_profile(pages).withColumn("register_hits", F.floor(F.col("register_hits") / 10_000) * 3)
+    return profile.select("doc_id", "pages", layout.choose_parser("balanced").alias("parser"))
+
+
+@_query("SELECT event_type AS extractor, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS tokens_in, CAST(sum(user_id) AS BIGINT) AS tokens_out, round(sum(value), 6) AS cost_usd FROM events GROUP BY event_type")
+def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of a model, summed up by extractor."""
+    return models.costs(table(spark, sf_dir, "events").select(F.col("event_type").alias("extractor"), (F.col("event_id") % 1000).alias("tokens_in"), F.col("user_id").alias("tokens_out"), F.col("value").alias("cost_usd")))
+
+
+@_query(sql.BLOCKS + r"SELECT id, CASE WHEN regexp_matches(lower(text), 'timing|waveform|时序|波形') THEN 'timing' WHEN regexp_matches(lower(text), 'state|fsm|状态') THEN 'state_machine' WHEN regexp_matches(lower(text), 'clock tree|时钟树') THEN 'clock_tree' WHEN regexp_matches(lower(text), 'memory map|address map|地址映射') THEN 'memory_map' WHEN regexp_matches(lower(text), 'block|architecture|diagram|框图|架构') THEN 'block_diagram' ELSE 'figure' END AS figure_type FROM blocks")
+def figure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block as a caption."""
+    return blocks.text_blocks(table(spark, sf_dir, "documents")).select("id", extract.figure_type(F.col("text")).alias("figure_type"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
