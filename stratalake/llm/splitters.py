@@ -18,6 +18,10 @@ LOOKUP_BITS = 12
 ROUNDS = 4
 
 
+def _lookup(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _range_of(cuts: list[tuple[int, int]]) -> Column:
     """How many of the sorted cuts lie at or below the row's (key, sub)."""
     if not cuts:
@@ -29,7 +33,7 @@ def _range_of(cuts: list[tuple[int, int]]) -> Column:
     for b in buckets:
         b["base"] = seen
         seen += len(b["cuts"])
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<struct<base:int,cuts:array<struct<k:bigint,s:bigint>>>>")
+    table = _lookup(buckets, "array<struct<base:int,cuts:array<struct<k:bigint,s:bigint>>>>")
     own = F.element_at(table, (F.shiftright("key", 64 - LOOKUP_BITS) + 2 ** (LOOKUP_BITS - 1) + 1).cast("int"))
     below = F.filter(own["cuts"], lambda c: (c["k"] < F.col("key")) | ((c["k"] == F.col("key")) & (c["s"] <= F.col("sub"))))
     return own["base"] + F.size(below)
@@ -74,7 +78,7 @@ def sampled_splitters(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id"
     are sampled again and subdivided. A single text that holds more than a whole shard is subdivided by a hash of
     doc_id; smaller groups of equal texts are never split. The ranges, measured exactly, go to the shards largest first.
 
-    The driver holds some samples_per_range rows a range and two numbers a range; both counts are parameters.
+    The driver holds some samples_per_range rows a range and a few numbers a range; both counts are parameters.
 
     size is the text's UTF-8 bytes plus 1. Null texts have size 1, a null text_crc32 and form one group. Null or repeated
     doc_ids and repeated rows each get a slot of their own. An empty table gives an empty result. Other columns of docs,
@@ -115,22 +119,32 @@ def sampled_splitters(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id"
             break
     place, load = {}, [(0, s) for s in range(n_shards)]
     slots = [0] * n_shards
+    # A range of many small rows is numbered in bins by the hash of the id, so that no task gets all of a frequent text.
+    even = max(1.0, sum(r["n"] for r in stats) / (n_shards * ranges_per_shard))
+    bins = {r["rng"]: round(r["n"] / even) if r["n"] > 2 * even else 1 for r in stats}
+    counts = _lookup([bins.get(i, 1) for i in range(len(cuts) + 1)], "array<bigint>")
+    ranged = ranged.withColumn("bin", F.pmod("sub", F.element_at(counts, F.col("rng") + 1)).cast("int"))
+    in_bins: dict[int, dict[int, int]] = {}
+    for r in ranged.groupBy("rng", "bin").agg(F.count("*").alias("n")).collect():
+        in_bins.setdefault(r["rng"], {})[r["bin"]] = r["n"]
     for r in sorted(stats, key=lambda r: (-r["bytes"], r["rng"])):
         got, s = heapq.heappop(load)
         heapq.heappush(load, (got + r["bytes"], s))
-        place[r["rng"]] = {"shard": s, "first": slots[s]}
-        slots[s] += r["n"]
-    known = [place.get(i, {"shard": 0, "first": 0}) for i in range(len(cuts) + 1)]
-    table = F.from_json(F.lit(json.dumps(known)), "array<struct<shard:int,first:bigint>>")
+        first = []
+        for b in range(bins[r["rng"]]):
+            first.append(slots[s])
+            slots[s] += in_bins[r["rng"]].get(b, 0)
+        place[r["rng"]] = {"shard": s, "first": first}
+    table = _lookup([place.get(i, {"shard": 0, "first": [0]}) for i in range(len(cuts) + 1)], "array<struct<shard:int,first:array<bigint>>>")
     own = F.element_at(table, F.col("rng") + 1)
-    in_range = Window.partitionBy("rng").orderBy("key", "sub", "id", "crc", "size")
+    in_range = Window.partitionBy("rng", "bin").orderBy("key", "sub", "id", "crc", "size")
     return ranged.withColumn("k", F.row_number().over(in_range)).select(
         F.col("id").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         own["shard"].alias("shard"),
-        (own["first"] + F.col("k") - 1).cast("long").alias("slot"),
+        (F.element_at(own["first"], F.col("bin") + 1) + F.col("k") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("rng").alias("range"),
     )
