@@ -80,7 +80,7 @@ def sampled_splitters(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id"
 
     The driver holds some samples_per_range rows a range and a few numbers a range; both counts are parameters.
 
-    size is the text's UTF-8 bytes plus 1. Null texts have size 1, a null text_crc32 and form one group. Null or repeated
+    size is the text's UTF-8 bytes plus 1. Null texts have no bytes, so size 1 and CRC-32 0, and form one group. Null or repeated
     doc_ids and repeated rows each get a slot of their own. An empty table gives an empty result. Other columns of docs,
     whatever their names, are not looked at.
     """
@@ -88,7 +88,7 @@ def sampled_splitters(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id"
         docs.select(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.col(text_col).cast("binary")).alias("crc"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"),
             F.xxhash64(text_col).alias("key"),
             F.xxhash64(id_col, F.lit(seed)).alias("sub"),
         ),
