@@ -17,7 +17,9 @@ from stratalake.llm.words import batches_of, hashed_words, mix64
 #: average have at most w / LOW_SHARE such terms, however many documents there are: that bounds what is broadcast.
 LOW_SHARE, HIGH_SHARE = 0.0005, 0.2
 #: Each subset keeps a term of the lexicon by chance; subset k keeps 2 ** -(k % LEVELS + 1) of the terms.
-SUBSETS, LEVELS = 64, 8
+SUBSETS, LEVELS = 128, 8
+#: Ranges of ids at most: the driver holds a row for each, so beyond this many ranges they become larger.
+MAX_RANGES = 8192
 #: Hexadecimal digits of a subset's signature.
 DIGITS = 4
 
@@ -61,7 +63,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW_SHARE, hig
     """The sorted hashes of the terms in the band: at most (distinct words a document) / low."""
     n = docs.count()
     band = document_frequencies(docs, text_col).where((F.col("df") >= low * n) & (F.col("df") <= high * n))
-    return np.sort(np.array([r["term"] for r in band.select("term").collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(band.select("term").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def signatures(words: np.ndarray, text: bytes, lexicon: np.ndarray) -> np.ndarray:
@@ -102,7 +104,7 @@ def _in_ranges(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int)
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("id"))
     n = ids.count()
-    pieces = max(1, n // rows_per_range)
+    pieces = min(max(1, n // rows_per_range), MAX_RANGES)
     cuts = sorted({int(x) for x in ids.where("id IS NOT NULL").approxQuantile("id", [i / pieces for i in range(1, pieces)], 0.2 / pieces)}) if pieces > 1 else []
     table = F.array(*[F.lit(c) for c in cuts]).cast("array<long>") if cuts else F.lit(None).cast("array<long>")
     # How many cuts lie at or below the id; null ids come after the lowest.
@@ -120,7 +122,8 @@ def _in_ranges(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int)
     # Of many rows with the border's id only the one that sorts first is used; the rest stay behind.
     first = copies.groupBy("b_over").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("t"), F.first("id").alias("id"))
     borders = first.select("id", F.col("t.text").alias("text"), F.col("b_over").alias("rng"), F.lit(True).alias("border"))
-    return own.withColumn("border", F.lit(False)).unionByName(borders).repartition(max(len(tops), 1), "rng").sortWithinPartitions("rng", "border", F.desc_nulls_last("id"), F.asc_nulls_first("text"))
+    # A partition for each range; -1 is the range of null ids.
+    return own.withColumn("border", F.lit(False)).unionByName(borders).repartitionById(len(tops), F.col("rng") - F.lit(tops[0][0])).sortWithinPartitions("rng", "border", F.desc_nulls_last("id"), F.asc_nulls_first("text"))
 
 
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW_SHARE, high: float = HIGH_SHARE, rows_per_range: int = 8192) -> DataFrame:

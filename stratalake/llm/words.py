@@ -55,7 +55,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix64((sums[ends] - sums[starts]) * down[starts]), bounds
 
 
-def batches_of(texts: list[str | None], most: int = 1 << 21) -> list[tuple[int, list[bytes]]]:
+def batches_of(texts: list[str | None], most: int = 1 << 20) -> list[tuple[int, list[bytes]]]:
     """The texts in UTF-8 (null: empty), in runs of about `most` bytes; with each run the index of its first text."""
     runs: list[tuple[int, list[bytes]]] = []
     size = most + 1
