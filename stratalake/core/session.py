@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "stratalake") -> SparkSession:
@@ -24,6 +24,14 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "strata
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of so few partitions that over half the cores would idle, dealt out to all of them; else df as it is.
+
+    Only small inputs are like that (a file with one row group can't be split), so little is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 _SHIPPED: set[str] = set()
 
 

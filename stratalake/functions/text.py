@@ -81,10 +81,14 @@ def hard_split(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their accents."""
+    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, each with its accents folded where Latin."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Folded runs of letters and digits."""
+    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def hits(pool: Column, needles: list[str]) -> Column:

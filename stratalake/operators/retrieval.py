@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalake.functions.text import tokens
+from stratalake.core.storage import materialize
+from stratalake.functions.text import folded, tokens
 
 #: Fixed values of the BM25 variant: saturation, length weight, least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -35,22 +36,38 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20) -> DataFrame:
-    """chunk_id, tf and score of the chunks that hold the phrase; the smallest score is the best, ties go by id.
+def _occurrences(joined: Column, words: list[str]) -> Column:
+    """How often a phrase stands in tokens that two spaces part and one opens and closes."""
+    phrase = f" {'  '.join(words)} "
+    if any(words[:k] == words[-k:] for k in range(1, len(words))):  # occurrences of the phrase can share words
+        return F.regexp_count(joined, F.lit("(?=" + re.escape(phrase) + ")")).cast("long")
+    return ((F.length(joined) - F.length(F.replace(joined, F.lit(phrase), F.lit("")))) / len(phrase)).cast("long")
+
 
-    The corpus statistics are three numbers; the chunks are read once for them and once for the scores."""
+def phrase_counts(chunks: DataFrame, phrases: list[str]) -> tuple[DataFrame, list[bool]]:
+    """doc_id, chunk_id, len (in tokens) and tf_0, tf_1, … of the phrases in every chunk, in one pass over the texts and
+    written to the shared folder; and which phrases have tokens at all."""
     spark = chunks.sparkSession
-    words = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(phrase)))).collect()]
-    if not words:
-        return chunks.select("doc_id", "chunk_id", F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("score")).where("false")
-    pattern = "(?= " + " ".join(re.escape(w) for w in words) + " )"
-    counted = chunks.select("doc_id", "chunk_id", tokens(F.col("text")).alias("w")).select(
-        "doc_id", "chunk_id", F.size("w").cast("long").alias("len"), F.regexp_count(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(pattern)).cast("long").alias("tf")
-    )
-    n, avg_len, df = counted.agg(F.count("*"), F.avg("len"), F.count_if(F.col("tf") > 0)).first()
+    split = [r[0] for r in spark.range(1).select(F.explode(F.array(*[tokens(F.lit(p)) for p in phrases]))).collect()]
+    plain = F.trim(F.regexp_replace(folded(F.col("text")), r"[^\p{L}\p{N}]+", "  "))
+    joined = chunks.select("doc_id", "chunk_id", F.concat(F.lit(" "), plain, F.lit(" ")).alias("j"))
+    length = F.when(F.length("j") <= 2, 0).otherwise(F.length("j") - F.length(F.replace("j", F.lit("  "), F.lit(" "))) + 1)
+    tfs = [(_occurrences(F.col("j"), list(w)) if w else F.lit(0).cast("long")).alias(f"tf_{i}") for i, w in enumerate(split)]
+    return materialize(joined.select("doc_id", "chunk_id", length.cast("long").alias("len"), *tfs), "phrases"), [bool(w) for w in split]
+
+
+def bm25_scores(counts: DataFrame, number: int = 0) -> DataFrame:
+    """doc_id, chunk_id, tf and score of the chunks that hold phrase `number` of phrase_counts; the smallest is the best."""
+    tf = F.col(f"tf_{number}")
+    n, avg_len, df = counts.agg(F.count("*"), F.avg("len"), F.count_if(tf > 0)).first()
     idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
-    score = F.lit(-idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
-    found = counted.where("tf > 0").select("doc_id", "chunk_id", "tf", score.alias("score"))
+    score = F.lit(-idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
+    return counts.where(tf > 0).select("doc_id", "chunk_id", tf.alias("tf"), score.alias("score"))
+
+
+def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20) -> DataFrame:
+    """doc_id, chunk_id, tf and score of the chunks that hold the phrase; ties go by id."""
+    found = bm25_scores(phrase_counts(chunks, [phrase])[0])
     return found if limit is None else found.orderBy("score", "doc_id", "chunk_id").limit(limit)
 
 
@@ -136,8 +153,9 @@ def hybrid_search(chunks: DataFrame, query: str, limit: int = 20, pool: int = 60
     probes = [(query, 1.0), *((t, TERM_WEIGHT) for t in query_terms(query))]
     cap = max(20, pool // len(probes))
     ranked = None
-    for i, (text, weight) in enumerate(probes):
-        found = bm25_phrase(chunks, text, pool if i == 0 else cap)
+    counts, _ = phrase_counts(chunks, [p for p, _ in probes])
+    for i, (_, weight) in enumerate(probes):
+        found = bm25_scores(counts, i).orderBy("score", "doc_id", "chunk_id").limit(pool if i == 0 else cap)
         one = found.select("chunk_id", F.lit("text" if i == 0 else "term").alias("channel"), F.lit(weight).alias("weight"), F.row_number().over(Window.orderBy("score", "doc_id", "chunk_id")).alias("rank"))
         ranked = one if ranked is None else ranked.unionByName(one)
     fused = fuse(ranked)  # at most pool rows a probe

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.core.ranks import with_global_rank
+from stratalake.core.session import spread
 from stratalake.functions import text as T
 from stratalake.operators import audits, blocks, chunks, extract, graph, incremental, models, retrieval, views
 from stratalake.plans import sql
@@ -30,7 +31,8 @@ def _query(oracle: str | None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,11 +191,11 @@ def _rrf_sql() -> str:
 @_query(_rrf_sql())
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal ranks of three probes; each probe's chunks are ranked over range partitions."""
-    c = document_chunks(spark, sf_dir)
+    probes = [("than", 1.0), ("ening", 0.5), ("ofer", 0.5)]
+    counts, _ = retrieval.phrase_counts(document_chunks(spark, sf_dir), [p for p, _ in probes])
     ranked = None
-    for i, (phrase, weight) in enumerate([("than", 1.0), ("ening", 0.5), ("ofer", 0.5)]):
-        found = retrieval.bm25_phrase(c, phrase, None)
-        one = with_global_rank(found, ["score", "doc_id", "chunk_id"]).select("chunk_id", F.lit("text" if i == 0 else "term").alias("channel"), F.lit(weight).alias("weight"), (F.col("rank") + 1).alias("rank"))
+    for i, (_, weight) in enumerate(probes):
+        one = with_global_rank(retrieval.bm25_scores(counts, i), ["score", "doc_id", "chunk_id"]).select("chunk_id", F.lit("text" if i == 0 else "term").alias("channel"), F.lit(weight).alias("weight"), (F.col("rank") + 1).alias("rank"))
         ranked = one if ranked is None else ranked.unionByName(one)
     return retrieval.fuse(ranked).withColumn("score", F.round("score", 6))
 
