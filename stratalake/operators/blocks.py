@@ -68,21 +68,26 @@ def with_section_path(blocks: DataFrame, index: DataFrame) -> DataFrame:
     return joined.withColumn("path", F.coalesce("known", carried)).drop("given", "known")
 
 
+#: Captions and key words whose hits on a page are counted, and the characters that a page of text has.
+PAGE_HITS = {
+    "table_hits": r"(?i)\btable\s+[0-9]",
+    "figure_hits": r"(?i)\bfigure\s+[0-9]|\bfig\.?\s+[0-9]",
+    "register_hits": r"(?i)\b(register|bit\s*field|bit\s*assignments?|bit\s*description|register\s*description|register\s*summary)\b|寄存器|位域|位字段",
+    "pin_hits": r"(?i)\b(pin\s*name|pin\s*no|signal\s*name|direction|function\b.*\bdescription|\bI/?O\b\s+(type|direction))\b|管脚|引脚|信号名",
+    "timing_hits": r"(?i)\b(min\b.*\btyp\b.*\bmax|min\b.*\bmax\b.*\bunit|electrical\s*characteristics|timing\s*characteristics|timing\s*parameters?)\b|时序参数|电气特性",
+}
+PAGE_CHARS = 80
+
+
 def page_quality(blocks: DataFrame) -> DataFrame:
     """For each page its characters and blocks, hits of key words, and why it would need a look at its image."""
-    text = F.col("text")
-    count = lambda pattern: F.sum(F.regexp_count(text, F.lit(pattern))).cast("long")
+    counts = {name: F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(name) for name, p in PAGE_HITS.items()}
     pages = blocks.groupBy("doc_id", "page").agg(
-        F.sum(F.length("text")).cast("long").alias("text_chars"),
-        F.count("*").alias("text_blocks"),
-        F.count_if(F.col("kind") == "table").alias("tables"),
-        count(r"(?i)\btable\s+[0-9]").alias("table_hits"),
-        count(r"(?i)\b(figure|fig\.)\s*[0-9]").alias("figure_hits"),
-        count(r"(?i)\b(register|bit ?field|offset|reset value)").alias("register_hits"),
+        F.sum(F.length("text")).cast("long").alias("text_chars"), F.count("*").alias("text_blocks"), F.count_if(F.col("kind") == "table").alias("tables"), *counts.values()
     )
-    scan = F.col("text_chars") < 50
-    lost = (F.col("register_hits") >= 1) & (F.col("table_hits") >= 1) & (F.col("tables") == 0)
-    reasons = F.array_compact(F.array(F.when(scan, "scan_like_no_text"), F.when(lost, "register_with_table")))
+    lost = (F.col("table_hits") >= 1) & (F.col("tables") == 0)
+    wants = [F.when((F.col(f"{k}_hits") >= 1) & lost, f"{k}_with_table") for k in ("register", "pin", "timing")]
+    reasons = F.array_compact(F.array(F.when(F.col("text_chars") < PAGE_CHARS, "scan_like_no_text"), *wants))
     return pages.withColumn("has_text_layer", F.col("text_chars") > 20).withColumn("reasons", F.array_join(reasons, ",")).withColumn("needs_look", F.size(reasons) > 0)
 
 

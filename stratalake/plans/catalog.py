@@ -79,10 +79,11 @@ def l0_block_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     sql.BLOCKS
-    + r""", q AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS text_chars, count(*) AS text_blocks, count(*) FILTER (kind = 'table') AS tables,
-    CAST(sum(len(regexp_extract_all(text, '(?i)\btable\s+[0-9]'))) AS BIGINT) AS table_hits, CAST(sum(len(regexp_extract_all(text, '(?i)\b(figure|fig\.)\s*[0-9]'))) AS BIGINT) AS figure_hits,
-    CAST(sum(len(regexp_extract_all(text, '(?i)\b(register|bit ?field|offset|reset value)'))) AS BIGINT) AS register_hits FROM blocks GROUP BY doc_id, page),
-    r AS (SELECT *, text_chars > 20 AS has_text_layer, concat_ws(',', CASE WHEN text_chars < 50 THEN 'scan_like_no_text' END, CASE WHEN register_hits >= 1 AND table_hits >= 1 AND tables = 0 THEN 'register_with_table' END) AS reasons FROM q)
+    + ", q AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS text_chars, count(*) AS text_blocks, count(*) FILTER (kind = 'table') AS tables, "
+    + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS {name}" for name, p in blocks.PAGE_HITS.items())
+    + """ FROM blocks GROUP BY doc_id, page),
+    r AS (SELECT *, text_chars > 20 AS has_text_layer, concat_ws(',', CASE WHEN text_chars < 80 THEN 'scan_like_no_text' END, CASE WHEN register_hits >= 1 AND table_hits >= 1 AND tables = 0 THEN 'register_with_table' END,
+      CASE WHEN pin_hits >= 1 AND table_hits >= 1 AND tables = 0 THEN 'pin_with_table' END, CASE WHEN timing_hits >= 1 AND table_hits >= 1 AND tables = 0 THEN 'timing_with_table' END) AS reasons FROM q)
     SELECT *, reasons <> '' AS needs_look FROM r"""
 )
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,17 +612,17 @@ def structural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH p AS (SELECT source AS doc_id, count(*) AS pages, avg(length(text)) AS chars_per_page, avg(CASE WHEN lang = 'en' THEN 0 ELSE 1 END::DOUBLE) AS image_ratio, CAST(sum(len(regexp_extract_all(text, 'th[ei]'))) AS BIGINT) AS register_hits FROM documents GROUP BY source)
-    SELECT doc_id, pages, CASE WHEN chars_per_page < 80 OR image_ratio > 0.4 THEN 'ocr' WHEN register_hits >= 10000 THEN 'layout' ELSE 'text_layer' END AS parser FROM (SELECT *, image_ratio * 1.5 AS r FROM p)"""
+    """WITH p AS (SELECT source AS doc_id, count(*) AS pages, avg(length(text)) AS c, avg(CASE WHEN lang = 'en' THEN 0 ELSE 1 END) AS i, sum(len(regexp_extract_all(text, 'achlich|th[ei]nst'))) AS r, sum(len(regexp_extract_all(text, 'in the '))) AS t FROM documents GROUP BY source)
+    SELECT doc_id, pages, CASE WHEN i >= 0.45 OR c < 80 OR r >= 12 OR r / pages >= 0.2 OR (r >= 4 AND t >= 2) OR NOT (t >= 8 OR t / pages >= 0.15) THEN 'ocr' ELSE 'layout' END AS parser FROM p"""
 )
 def parser_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as files, documents as their pages: which parser the profile asks for."""
+    """Sources as files, documents as their pages: which parser an accurate build takes."""
+    foreign = F.when(F.col("lang") == "en", 0.0).otherwise(1.0)
     pages = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("doc_id"), F.lit(1).alias("page"), F.length("text").alias("text_chars"), (F.when(F.col("lang") == "en", 0.0).otherwise(1.0) * 1.5).alias("image_ratio"),
-        F.regexp_count("text", F.lit("th[ei]")).alias("register_hits"), F.lit(0).alias("table_hits"),
+        F.col("source").alias("doc_id"), F.lit(1).alias("page"), F.length("text").alias("text_chars"), F.lit(0).alias("images"), (foreign * 0.35 / 0.45).alias("image_ratio"),
+        F.regexp_count("text", F.lit("achlich|th[ei]nst")).alias("register_hits"), F.regexp_count("text", F.lit("in the ")).alias("table_hits"),
     )
-    profile = layout.pdf_profile(pages).withColumn("register_hits", F.floor(F.col("register_hits") / 10_000) * 3)
-    return profile.select("doc_id", "pages", layout.choose_parser("balanced").alias("parser"))
+    return layout.pdf_profile(pages).select("doc_id", "pages", layout.choose_parser("accurate").alias("parser"))
 
 
 @_query("SELECT event_type AS extractor, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS tokens_in, CAST(sum(user_id) AS BIGINT) AS tokens_out, round(sum(value), 6) AS cost_usd FROM events GROUP BY event_type")
@@ -630,7 +631,7 @@ def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.costs(table(spark, sf_dir, "events").select(F.col("event_type").alias("extractor"), (F.col("event_id") % 1000).alias("tokens_in"), F.col("user_id").alias("tokens_out"), F.col("value").alias("cost_usd")))
 
 
-@_query(sql.BLOCKS + r"SELECT id, CASE WHEN regexp_matches(lower(text), 'timing|waveform|时序|波形') THEN 'timing' WHEN regexp_matches(lower(text), 'state|fsm|状态') THEN 'state_machine' WHEN regexp_matches(lower(text), 'clock tree|时钟树') THEN 'clock_tree' WHEN regexp_matches(lower(text), 'memory map|address map|地址映射') THEN 'memory_map' WHEN regexp_matches(lower(text), 'block|architecture|diagram|框图|架构') THEN 'block_diagram' ELSE 'figure' END AS figure_type FROM blocks")
+@_query(sql.BLOCKS + "SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{name}'" for name, p in extract.FIGURE_TYPES) + " ELSE 'unknown' END AS figure_type FROM blocks")
 def figure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block as a caption."""
     return blocks.text_blocks(table(spark, sf_dir, "documents")).select("id", extract.figure_type(F.col("text")).alias("figure_type"))

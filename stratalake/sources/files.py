@@ -30,15 +30,15 @@ def discover(spark: SparkSession, root: str, include: str = "*", exclude: list[s
     return found
 
 
-#: Words in file names that tell a document's type.
-DOC_TYPES = (("errata", "errata"), ("datasheet", "datasheet"), ("trm", "reference_manual"), ("reference", "reference_manual"), ("manual", "reference_manual"), ("app_note", "application_note"), ("appnote", "application_note"))
-
-
 def doc_type(path: Column) -> Column:
-    name, out = F.lower(F.substring_index(path, "/", -1)), F.lit("spec")
-    for word, kind in reversed(DOC_TYPES):
-        out = F.when(F.contains(name, F.lit(word)), kind).otherwise(out)
-    return out
+    """A document's type by the words in its file's name."""
+    name = F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
+    has = lambda *words: F.greatest(*[F.contains(name, F.lit(w)) for w in words], F.lit(False))
+    return (
+        F.when(has("errata"), "errata").when(has("trm", "reference", "manual"), "reference_manual").when(has("datasheet"), "datasheet")
+        .when(has("user") & has("guide"), "user_guide").when(has("app") & has("note"), "app_note")
+        .when(has("protocol", "subsystem spec", "interface spec", " spec", "_spec", "-spec"), "protocol").otherwise("unknown")
+    )
 
 
 def _block(order: int, kind: str, text: str, level: int | None = None, path: str | None = None, page: int = 1, caption: str | None = None, headers: list | None = None, rows: list | None = None) -> dict:

@@ -25,24 +25,32 @@ def layout_blocks(docs: DataFrame, id_col: str = "doc_id", json_col: str = "layo
 
 
 def pdf_profile(pages: DataFrame) -> DataFrame:
-    """For each document the means over at most its first 16 pages (doc_id, page, text_chars, image_ratio, register_hits,
-    table_hits)."""
-    return pages.where("page <= 16").groupBy("doc_id").agg(
-        F.count("*").alias("pages"), F.avg("text_chars").alias("chars_per_page"), F.avg("image_ratio").alias("image_ratio"), F.sum("register_hits").alias("register_hits"), F.sum("table_hits").alias("table_hits")
-    )
+    """For each document over at most its first 16 pages (doc_id, page, text_chars, images, image_ratio, register_hits,
+    table_hits): characters and images a page, the share that images take, hits, whether there is text or rather a scan."""
+    sums = pages.where("page <= 16").groupBy("doc_id").agg(
+        F.count("*").alias("pages"), F.avg("text_chars").alias("chars_per_page"), F.avg("images").alias("images_per_page"), F.avg("image_ratio").alias("image_ratio"),
+        F.sum("register_hits").alias("register_hits"), F.sum("table_hits").alias("table_hits"),
+    )
+    text = F.col("chars_per_page") >= 80
+    return sums.withColumn("has_text", text).withColumn("scan_like", ~text & ((F.col("images_per_page") >= 0.5) | (F.col("image_ratio") >= 0.25)))
 
 
 def choose_parser(quality: str) -> Column:
-    """The parser for a profile at fast, balanced or accurate quality."""
+    """The parser for a profile: text_layer reads the text that is there, layout finds its structure, ocr looks at images.
+
+    fast always reads; scans and pages of images go to ocr; balanced then takes layout where there is text; accurate takes
+    layout only for tables in text that isn't dense with registers."""
     if quality not in ("fast", "balanced", "accurate"):
         raise ValueError("quality must be fast, balanced or accurate")
-    scanned = (F.col("chars_per_page") < 80) | (F.col("image_ratio") > 0.6)
-    dense = (F.col("register_hits") >= 3) | (F.col("table_hits") >= 3)
+    images = F.col("scan_like") | (F.col("image_ratio") >= 0.35) | (F.col("images_per_page") >= 2)
     if quality == "fast":
-        return F.when(scanned, "ocr").otherwise("text_layer")
+        return F.lit("text_layer")
     if quality == "balanced":
-        return F.when(scanned, "ocr").when(dense, "layout").otherwise("text_layer")
-    return F.when(scanned, "ocr").otherwise("layout")
+        return F.when(images | ~F.col("has_text"), "ocr").otherwise("layout")
+    registers, tables = F.col("register_hits"), F.col("table_hits")
+    dense = (registers >= 12) | (registers / F.col("pages") >= 0.2) | ((registers >= 4) & (tables >= 2))
+    heavy = (tables >= 8) | (tables / F.col("pages") >= 0.15)
+    return F.when(images | dense | ~F.col("has_text") | ~heavy, "ocr").otherwise("layout")
 
 
 def parse_verdict(chars: Column, pages: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalake.operators import models, views
 from stratalake.plans import build
 from stratalake.plans.registry import Registry, merged_config
-from stratalake.sources import layout
+from stratalake.sources import files, layout
 
 
 def test_build_is_incremental(spark, tmp_path):
@@ -89,10 +89,18 @@ def test_layout(spark):
     doc = {"pages": [{"page_no": 1, "height": 100.0, "items": [{"label": "Section_Header", "text": "1 A", "level": 1, "bbox": [0.0, 10.0, 5.0, 20.0], "origin": "BOTTOMLEFT"}, {"label": "table", "caption": "T", "headers": ["x"], "rows": [["1"]]}, {"label": "text", "text": "p"}]}]}
     rows = layout.layout_blocks(spark.createDataFrame([("d", json.dumps(doc))], "doc_id string, layout string")).orderBy("reading_order").collect()
     assert [r.kind for r in rows] == ["heading", "paragraph", "table"] and rows[0].bbox == [0.0, 80.0, 5.0, 90.0] and rows[2].text == "T"
-    pages = spark.createDataFrame([("s", 1, 5, 0.9, 0, 0), ("t", 1, 900, 0.0, 4, 0)], "doc_id string, page int, text_chars int, image_ratio double, register_hits int, table_hits int")
+    pages = spark.createDataFrame([("s", 1, 5, 1, 0.9, 0, 0), ("t", 1, 900, 0, 0.0, 0, 1), ("r", 1, 900, 0, 0.0, 4, 2)], "doc_id string, page int, text_chars int, images int, image_ratio double, register_hits int, table_hits int")
     profile = layout.pdf_profile(pages)
-    assert {r.doc_id: r.p for r in profile.withColumn("p", layout.choose_parser("balanced")).collect()} == {"s": "ocr", "t": "layout"}
+    chosen = lambda q: {r.doc_id: r.p for r in profile.withColumn("p", layout.choose_parser(q)).collect()}
+    assert chosen("fast") == {"s": "text_layer", "t": "text_layer", "r": "text_layer"}
+    assert chosen("balanced") == {"s": "ocr", "t": "layout", "r": "layout"} and chosen("accurate") == {"s": "ocr", "t": "layout", "r": "ocr"}
     with pytest.raises(ValueError, match="quality"):
         layout.choose_parser("best")
     got = spark.range(1).select(layout.parse_verdict(F.lit(30), F.lit(1)).alias("v"), layout.parser_chain(F.lit("a"), F.array(F.lit("b"), F.lit("a"))).alias("c")).first()
     assert got.v == "scan_like" and got.c == ["a", "b"]
+
+
+def test_doc_types(spark):
+    names = {"x/Chip_TRM.pdf": "reference_manual", "a/errata v2.md": "errata", "datasheet.pdf": "datasheet", "User Guide.docx": "user_guide", "app_note_3.pdf": "app_note", "bus_spec.md": "protocol", "notes.txt": "unknown"}
+    rows = spark.createDataFrame(list(names), "string").select("value", files.doc_type(F.col("value")).alias("t")).collect()
+    assert {r.value: r.t for r in rows} == names
