@@ -44,12 +44,35 @@ def capped_targets(sizes: list[int], weights: list[float], cap: float = 3.0) ->
         fixed |= {i: cap * sizes[i] for i in above}
 
 
+def cell_quotas(words: list[int], target: float, seats: int, block: int, cap: float = 3.0) -> list[int]:
+    """How many words each cell of a source gives: its target to the word, if cap times its cells' words hold so many.
+
+    Whole blocks go to the cells by Sainte-Laguë, as many of the source's seats as its target holds. What is then left up
+    to the target, which for a small source is all of it, goes to the cells that are below their part of the target.
+    """
+    full, holds = sum(words), [int(cap * w) for w in words]
+    want = min(round(target), sum(holds))
+    got = sainte_lague(words, min(seats, want // block), [h // block for h in holds])
+    quota = [q * block for q in got]
+    gaps = [max(0.0, min(h, want * w / full) - q) if full else 0.0 for w, h, q in zip(words, holds, quota, strict=True)]
+    left, below = want - sum(quota), sum(gaps)
+    quota = [q + int(left * g / below) if below else q for q, g in zip(quota, gaps, strict=True)]
+    # Single words that rounding left over: first to the cells with gaps, a word each, then wherever there is room.
+    left = want - sum(quota)
+    for only_gaps in (True, False):
+        for i, h in enumerate(holds):
+            more = max(0, min(left, h - quota[i], 1 if only_gaps else left)) if gaps[i] or not only_gaps else 0
+            quota[i], left = quota[i] + more, left - more
+    return quota
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, blocks: int = 8192, shards: int = 64, seed: int = 42) -> DataFrame:
     """A row for each document: how many of its words the mix takes, repeats counted.
 
     Sources, by code point and null last, weigh weights, repeated. The words of all documents are shared out as targets
     (see capped_targets) and cut into `blocks` equal blocks of tokens. Sainte-Laguë gives each source its number of
-    blocks and, within a source, each of its hash shards. A shard's documents lie in seeded order, one after another;
+    blocks and, within a source, each of its hash shards; a part of a block makes up each source's target to the word
+    (see cell_quotas), so sources of less than a block have their words too. A shard's documents lie in seeded order, one after another;
     whole rounds over the shard are taken first, then seeded blocks of it, the last one cut to what is missing.
 
     The driver holds one row a source: the sources of a mix are what its weights are given for. Each pandas group holds
@@ -82,22 +105,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def quotas(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("cell")
-        got = sainte_lague(own["words"].tolist(), int(own["seats"].iloc[0]), [int(cap * w // block) for w in own["words"]])
-        return pd.DataFrame({"source": own["source"], "cell": own["cell"], "words": own["words"], "quota": [q * block for q in got], "short": (int(own["seats"].iloc[0]) - sum(got)) * block})
+        quota = cell_quotas(own["words"].tolist(), float(own["target"].iloc[0]), int(own["seats"].iloc[0]), block, cap)
+        return pd.DataFrame({"source": own["source"], "cell": own["cell"], "words": own["words"], "quota": quota})
 
-    # One row for each source and cell. What rounding down to blocks left over goes to the cells in order, as far as they hold it.
+    # One row for each source and cell.
     quota = (
         cells.join(F.broadcast(table), cells["source"].eqNullSafe(table["source"]))
-        .select(cells["source"], "cell", "words", "seats")
+        .select(cells["source"], "cell", "words", "target", "seats")
         .groupBy("source")
-        .applyInPandas(quotas, "source string, cell int, words long, quota long, short long")
+        .applyInPandas(quotas, "source string, cell int, words long, quota long")
     )
-    room = F.greatest((F.lit(cap) * F.col("words")).cast("long") - F.col("quota"), F.lit(0))
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     quota = materialize(
-        quota.withColumn("room", room)
-        .withColumn("quota", F.col("quota") + F.greatest(F.lit(0), F.least("room", F.col("short") - F.coalesce(F.sum("room").over(before), F.lit(0)))))
-        .where("words > 0")
+        quota.where("words > 0")
         .select("source", "cell", "words", F.floor(F.col("quota") / F.col("words")).alias("rounds"), (F.col("quota") % F.col("words")).alias("rest")),
         "mix-quotas",
     )

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -130,6 +131,31 @@ def test_mix(odd_docs, no_docs):
 # --- 6: SimHash -----------------------------------------------------------------------------------------------------
 
 
+def test_mix_small_sources(spark):
+    # Blocks of some 6,000 words: "b" has far less than a third of one, "c" half of one.
+    rows = [(i, "l", "a", "w " * 1000) for i in range(100)] + [(100 + i, "l", "b", "w " * 30) for i in range(10)] + [(200 + i, "l", "c", "w " * 300) for i in range(10)]
+    found = apportion.mix_sources(make_docs(spark, [(i, t, lang, s) for i, lang, s, t in rows]), blocks=16).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target["b"] == 900 and target["c"] == 9000
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert all(r["taken"] > 0 for r in found if r["source"] in "bc")
+
+
+def test_cell_quotas():
+    assert apportion.cell_quotas([10, 10, 10], 15.0, 0, 1000) == [5, 5, 5]
+    assert apportion.cell_quotas([700, 300], 600.0, 1, 1000) == [420, 180]
+    assert sum(apportion.cell_quotas([5, 0, 1], 18.0, 3, 4)) == 18
+    rng = random.Random(3)
+    for _ in range(200):
+        words = [rng.choice((0, 1, 7, 900)) * rng.randrange(5) for _ in range(9)]
+        target, block = rng.random() * 3 * sum(words), rng.choice((1, 10, 500))
+        got = apportion.cell_quotas(words, target, round(target / block), block)
+        assert sum(got) == min(round(target), 3 * sum(words)) and all(0 <= q <= 3 * w for q, w in zip(got, words, strict=True))
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     if not words:
