@@ -435,6 +435,25 @@ def test_language_odd_cases(odd_docs, no_docs):
     assert {r.lang_pred for r in kneser_ney.identify(odd_docs, no_docs).collect()} == {"und"}
 
 
+def test_language_blocks(spark, odd_docs):
+    # A language of two short texts beside a hot one, and models in many blocks: nothing is left out, all agree with one block.
+    rng = random.Random(4)
+    hot = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(60)]
+    rows = [(i, t, "hot", "a") for i, t in enumerate(hot)] + [(100, "qu\u00ed zo wyx vuz", "rare", "a"), (101, "zo vuz qu\u00ed", "rare", "b"), (102, None, "rare", "b"), (None, "wyx zo", "rare", "b")]
+    for docs in (make_docs(spark, rows), odd_docs):
+        order = lambda r: (r.doc_id is None, r.doc_id or 0, r.bits or 0)
+        one, many = (sorted(kneser_ney.identify(docs, docs, block_entries=n).collect(), key=order) for n in (10**9, 300))
+        assert len(one) == len(many) == docs.count()
+        for x, y in zip(one, many, strict=True):
+            assert (x.doc_id, x.lang_pred, x.rejected) == (y.doc_id, y.lang_pred, y.rejected)
+            assert y.bits == (None if x.bits is None else pytest.approx(x.bits, rel=1e-9)) and y.score == pytest.approx(x.score, abs=1e-6)
+    docs = make_docs(spark, rows)
+    n, blocks = kneser_ney.learn_blocks(docs, block_entries=300)
+    entries = kneser_ney.gram_counts(docs, "text", "lang").select("gram").distinct().count()
+    assert n > 5 and sum(len(m.keys[3]) for _, _, m in blocks) == entries
+    assert {r.lang_pred for r in kneser_ney.identify(docs, docs, block_entries=300).where("doc_id IN (100, 101)").collect()} == {"rare"}
+
+
 # --- 5: toxicity ----------------------------------------------------------------------------------------------------
 
 
