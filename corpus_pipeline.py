@@ -19,7 +19,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash, the one with the least doc_id stays."""
+    """Of each group of documents linked by SimHash, the row with the least doc_id stays, null last."""
     return simhash.keep_one(docs, shingle=3, radius=2)
 
 
@@ -30,10 +30,12 @@ def benchmark_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sources_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, a part of a time rounded by a seeded draw."""
-    mix = apportion.mix_sources(docs).select(F.col("doc_id").alias("m_id"), "size", "taken")
-    draw = F.shiftrightunsigned(F.xxhash64("m_id", F.lit(SEED)), 11) / float(2**53)
-    copies = mix.where("taken > 0").select("m_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + draw).cast("int").alias("copies")).where("copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["m_id"]))
+    mix = apportion.mix_sources(docs, keyed=True)
+    # Rows of one id, source and text are one row here, so that the join is many-to-one; each takes the mean of their words.
+    same = mix.where("size > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("tie").alias("m_tie")).agg((F.sum("taken") / F.sum("size")).alias("times"))
+    draw = F.shiftrightunsigned(F.xxhash64("m_id", "m_source", "m_tie", F.lit(SEED)), 11) / float(2**53)
+    copies = same.withColumn("copies", F.floor(F.col("times") + draw).cast("int")).where("copies > 0").drop("times")
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["m_id"]) & docs["source"].eqNullSafe(copies["m_source"]) & (F.xxhash64(docs["text"]) == copies["m_tie"]))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

@@ -66,7 +66,7 @@ def cell_quotas(words: list[int], target: float, seats: int, block: int, cap: fl
     return quota
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, blocks: int = 8192, shards: int = 64, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, blocks: int = 8192, shards: int = 64, seed: int = 42, keyed: bool = False) -> DataFrame:
     """A row for each document: how many of its words the mix takes, repeats counted.
 
     Sources, by code point and null last, weigh weights, repeated. The words of all documents are shared out as targets
@@ -80,7 +80,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts and texts without words have size 0 and taken 0. Null doc_ids, repeated doc_ids and repeated rows are
     rows of their own. Equal rows may differ in taken; their multiset doesn't change on a rerun. An empty table gives an
-    empty result. Other columns are not looked at.
+    empty result. Other columns are not looked at. With keyed there is a last column, tie, XXH64 of the text, by which rows
+    of a repeated or null id can be told apart.
     """
     spark = docs.sparkSession
     rows = materialize(
@@ -141,10 +142,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = (
         laid.join(taken, "row", "left")
         .join(F.broadcast(rounds), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("cell") == F.col("q_cell")), "left")
-        .select("id", "source", "size", (F.coalesce("rounds", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).alias("taken"))
+        .select("id", "source", "tie", "size", (F.coalesce("rounds", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).alias("taken"))
     )
-    every = full.unionByName(rows.where("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    every = full.unionByName(rows.where("size = 0").select("id", "source", "tie", "size", F.lit(0).cast("long").alias("taken")))
     shares = table.select(F.col("source").alias("t_source"), "source_size", "target")
     return every.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("t_source")), "left").select(
-        F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"), F.col("source").alias(source_col)
+        F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"), F.col("source").alias(source_col), *(["tie"] if keyed else [])
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.core.storage import materialize
@@ -19,6 +19,8 @@ TILE, BLOCK = 4096, 256
 SMALL = 1 << 14
 #: A fingerprint's population counts are taken over its quarters.
 PARTS = 4
+#: Columns with two hashes of a whole row.
+KEYS = ("row_key_a", "row_key_b")
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -39,16 +41,17 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """id, the longs that keys names, and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps)], ["id", *keys, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    named = "".join(f", {k} long" for k in keys)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keys).mapInArrow(run, f"id {kind}{named}, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -164,6 +167,13 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.select("l_fps", "fps").mapInArrow(compared, "a long, b long").distinct()
 
 
+def _rooted(fps: DataFrame, least: Column, radius: int) -> DataFrame:
+    """fp, root and least for each fingerprint: the root is its group's, least an aggregate over the fingerprint's rows."""
+    component = connected_components(materialize(links(fps, radius), "simhash-links"))
+    own = fps.groupBy("fp").agg(least.alias("least"))
+    return own.join(component, own["fp"] == component["node"], "left").select(own["fp"], F.coalesce("root", own["fp"]).alias("root"), "least")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """id, fp and component: the least id that is reachable over links of radius or fewer differing bits.
 
@@ -172,15 +182,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     there is none). Repeated rows give repeated rows. An empty table gives an empty result; other columns are not read.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    component = connected_components(materialize(links(fps, radius), "simhash-links"))
-    own = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = own.join(component, own["fp"] == component["node"], "left").select(own["fp"], F.coalesce("root", own["fp"]).alias("root"), "least")
+    rooted = _rooted(fps, F.min("id"), radius)
     best = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return fps.join(rooted.join(best, "root").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each group, the one with the least id; of equal rows with that id, one."""
-    grouped = simhash_groups(docs, id_col, text_col, shingle, radius).where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("kept_id")).distinct()
-    kept = docs.join(grouped, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """docs with one row of each group of simhash_groups: the least id, null last, then the least hash of the whole row.
+
+    Rows are told apart by 128 bits of hashes of all their columns, not by their ids: several null ids and different
+    rows of a repeated id are rows of their own. Of exactly equal rows one stays. A rerun keeps the same rows."""
+    columns = [c for name in docs.columns for c in (F.col(f"`{name}`"), F.isnull(F.col(f"`{name}`")))]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(i), *columns) for i, k in enumerate(KEYS)})
+    fps = materialize(fingerprints(keyed, id_col, text_col, shingle, KEYS), "simhash")
+    rooted = _rooted(fps, F.min(F.struct(F.isnull("id").alias("lost"), "id", *KEYS)), radius)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col("least")[k].alias(k) for k in KEYS])
+    return keyed.join(kept, list(KEYS), "left_semi").dropDuplicates(list(KEYS)).drop(*KEYS)

@@ -45,3 +45,18 @@ def test_stages(spark, sf_dir):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     assert sum(len(word.findall(t)) for t in texts[4].values()) > 0
     assert simhash.simhash("") == 0
+
+
+def test_rows_without_own_ids(spark):
+    # Several null ids, and different texts under one id: each is a group of its own and its words go into the mix.
+    words = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)]
+    rows = [(None, words[0], "en", "a", 1), (None, words[1], "en", "b", 1), (None, words[2], None, None, 1), (7, words[3], "en", "a", 1), (7, words[4], "en", "a", 1)]
+    rows += [(9, words[5], "en", "a", 1), (8, words[5], "en", "a", 1), (None, words[5], "en", "a", 1), (7, words[4], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda r: (str(r[0]), r[1])
+    want = sorted([*rows[:5], rows[6]], key=order)
+    for parts in (1, 5):
+        assert sorted(map(tuple, simhash.keep_one(docs.repartition(parts)).collect()), key=order) == want
+    lost = spark.createDataFrame([(None, *r[1:]) for r in rows[3:5]], docs.schema)
+    # One source: each document's words are taken once, so each row is there once.
+    assert sorted(map(tuple, corpus_pipeline.sources_to_weights(spark, lost, "").collect())) == sorted(map(tuple, lost.collect()))
