@@ -66,12 +66,27 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
+def labelled_urls(base: DataFrame) -> DataFrame:
+    """Of rows with url, host, path and by_rule, the different URLs that a rule decides, with label (1 for block), n, their
+    number of rows, and the lexical features."""
+    counted = base.where("by_rule IS NOT NULL").groupBy("url", "host", "path", "by_rule").agg(F.count("*").alias("n"))
+    return materialize(lexical(counted).withColumn("label", (F.col("by_rule") == "block").cast("double")), "urls")
+
+
+def drawn_urls(urls: DataFrame, count: int, training_rows: int, seed: int = 42) -> DataFrame:
+    """Of count different URLs, some training_rows at most, by a hash."""
+    part = min(1.0, training_rows / max(1, count))
+    drawn = urls.withColumn("draw", F.xxhash64("url", F.lit(seed))).where(F.pmod("draw", F.lit(1 << 20)) < F.lit(part * (1 << 20)))
+    return drawn.orderBy("draw", "url").limit(training_rows).drop("draw")
+
+
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", training_rows: int = TRAINING_ROWS, trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> DataFrame:
     """A row for each page: id, host, path, the rule that fits, a verdict, and block_chance where the trees gave it.
 
-    The URLs that a rule decides are the labelled ones: at most training_rows of them, drawn by a hash, train the trees.
-    The suffix statistics (share of blocked and number of training URLs of a host's last label and last two labels) come
-    from the same rows, so there are at most training_rows of them; a label that training lacks gets the overall share.
+    The URLs that a rule decides are the labelled ones: at most training_rows different ones of them, drawn by a hash and
+    weighted by their numbers of rows, train the trees. The suffix statistics (share of blocked and number of labelled
+    rows of a host's last label and last two labels) are counted over all labelled rows and joined by key, broadcast only
+    where Spark finds them small; a label that no labelled row has gets the overall share.
     A URL that no rule decides is blocked if its chance is 0.5 or more. If all labelled URLs have one verdict, that is the
     verdict; without labelled URLs it is allow. Null and malformed URLs have empty host and path and go to the trees
     like others. Repeated rows give repeated rows; an empty table an empty result; other columns are not read.
@@ -79,26 +94,29 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = named.withColumn("rule", name).withColumn("by_rule", verdict)
-    labelled = base.where("by_rule IS NOT NULL")
-    count = labelled.count()
-    part = min(1.0, training_rows / max(1, count))
-    drawn = labelled.where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
-    train = materialize(lexical(drawn).withColumn("label", (F.col("by_rule") == "block").cast("double")), "urls")
-    rate, least, most = train.agg(F.avg("label"), F.min("label"), F.max("label")).first()
+    urls = labelled_urls(base)
+    sums = urls.agg(F.count("*").alias("urls"), F.sum("n").alias("rows"), F.sum(F.col("label") * F.col("n")).alias("blocked"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    rate, least, most = sums["blocked"] / sums["rows"] if sums["rows"] else None, sums["least"], sums["most"]
     out = lambda df, chance: df.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", F.when(chance >= 0.5, "block").otherwise("allow")).alias("verdict"), F.when(F.col("by_rule").isNull(), chance).alias("block_chance")
     )
     if rate is None or least == most:
         return out(base, F.lit(float(rate or 0.0)))
 
+    train = materialize(drawn_urls(urls, sums["urls"], training_rows, seed), "url-train")
+    stats = {}
+    for key in ("tld", "suffix"):
+        n = F.sum("n")
+        counted = urls.groupBy(F.col(key).alias(f"k_{key}")).agg(((F.sum(F.col("label") * F.col("n")) + 5 * rate) / (n + 5)).alias(f"{key}_rate"), F.log1p(n).alias(f"{key}_count"))
+        stats[key] = materialize(counted, f"url-{key}")
+
     def with_suffixes(df: DataFrame) -> DataFrame:
-        for key in ("tld", "suffix"):
-            stats = train.groupBy(F.col(key).alias(f"k_{key}")).agg(((F.sum("label") + 5 * rate) / (F.count("*") + 5)).alias(f"{key}_rate"), F.log1p(F.count("*")).alias(f"{key}_count"))
-            df = df.join(F.broadcast(stats), F.col(key) == F.col(f"k_{key}"), "left").drop(f"k_{key}")
+        for key, counted in stats.items():
+            df = df.join(counted, F.col(key) == F.col(f"k_{key}"), "left").drop(f"k_{key}")
         return df.fillna({"tld_rate": rate, "suffix_rate": rate, "tld_count": 0.0, "suffix_count": 0.0})
 
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, subsamplingRate=1.0, maxBins=32, seed=seed)
-    model = gbt.fit(vectors.transform(with_suffixes(train).orderBy("url", "id").coalesce(1)).select("features", "label"))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="n", maxIter=trees, maxDepth=depth, stepSize=0.3, subsamplingRate=1.0, maxBins=32, seed=seed)
+    model = gbt.fit(vectors.transform(with_suffixes(train).orderBy("url").coalesce(1)).select("features", "label", F.col("n").cast("double").alias("n")))
     scored = model.transform(vectors.transform(with_suffixes(lexical(base)))).withColumn("chance", F.round(vector_to_array("probability")[1], 9))
     return out(scored, F.col("chance"))

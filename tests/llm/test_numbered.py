@@ -564,6 +564,24 @@ def test_urls(spark, sf_dir):
         assert r.rule == rule and r.verdict == (verdict or ("block" if r.block_chance >= 0.5 else "allow"))
 
 
+def test_url_statistics_over_all_rows(spark):
+    # 400 suffixes and 2,400 labelled URLs, one of them copied, of which 100 train the trees: the others' suffixes count.
+    rng = random.Random(6)
+    hosts = [(f"s{n}.com", n % 2) for n in rng.sample(range(10_000, 99_999), 400)]
+    urls = [f"http://{h}/{'de' if block else 'fr'}/{rng.randrange(100, 999)}{k}" for h, block in hosts for k in range(6)]
+    urls += [urls[0]] * 3000
+    open_urls = [f"http://{h}/xx/{rng.randrange(1000, 9999)}" for h, _ in hosts]
+    pages = spark.createDataFrame(list(enumerate(urls + open_urls)), "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judge_urls(pages, training_rows=100, trees=5).collect()}
+    assert len(found) == len(urls) + len(open_urls)
+    right = [found[len(urls) + i].verdict == ("block" if block else "allow") for i, (_, block) in enumerate(hosts)]
+    assert sum(right) > 0.95 * len(right)
+    base = pages.withColumn("host", url_filter.host_of(pages["url"])).withColumn("path", url_filter.path_of(pages["url"]))
+    own = url_filter.labelled_urls(base.withColumn("by_rule", url_filter.rule_of(base["host"], base["path"])[1]))
+    assert own.count() == 2400 and own.where("n = 3001").count() == 1
+    assert 50 < url_filter.drawn_urls(own, 2400, 100).count() <= 100
+
+
 def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.net/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge_urls(pages).collect()} == {"allow"}
