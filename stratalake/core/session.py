@@ -25,11 +25,11 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "strata
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of so few partitions that over half the cores would idle, dealt out to all of them; else df as it is.
+    """A scan of at most four partitions, dealt out to all cores where over half of them would idle; else df as it is.
 
-    Only small inputs are like that (a file with one row group can't be split), so little is moved."""
+    A partition of a scan is some spark.sql.files.maxPartitionBytes (or one row group), so no large input is moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= min(cores, 8) else df
 
 
 _SHIPPED: set[str] = set()
