@@ -300,7 +300,7 @@ def brute_contamination(docs, items, window=13):
                 if found := wins.get(tuple(w[i : i + n])):
                     names |= found
                     hit |= set(range(i, i + n))
-        sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        sha = hashlib.sha256(",".join(sorted(n for n in names if n is not None)).encode()).hexdigest()
         out.append((ident, len(w), len(hit), len(names), sha, bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
@@ -322,6 +322,47 @@ def test_suffixes(odd_docs, no_docs, spark):
     assert kept.columns == odd_docs.columns and kept.count() == sum(not w[5] for w in want)
 
 
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(5)
+    for vocabulary, n_docs, longest_doc in ((2, 12, 40), (5, 30, 60), (400, 20, 50)):
+        docs = [rng.integers(10, 10 + vocabulary, rng.integers(0, longest_doc)).astype(np.uint64) for _ in range(n_docs)]
+        docs += [docs[0], docs[1], docs[1]]  # copies
+        lengths = np.array([len(d) for d in docs])
+        got = suffixes.SuffixArray(np.concatenate(docs), lengths)
+        rest = lambda at: tuple(got.tokens[at : got.first[np.searchsorted(got.first, at, side="right")] - 1].tolist())
+        order = [rest(int(p)) for p in got.places]
+        assert order == sorted(order) and len(order) == lengths.sum()
+        # Longest matches of all suffixes of an item, against trying every place.
+        item = np.concatenate([docs[3], docs[4]])
+        tests = suffixes.TestSuffixes([], 3)
+        tests.words, tests.at, tests.size = item, np.arange(max(0, len(item) - 2)), np.full(max(0, len(item) - 2), 3)
+        tests.left, tests.window = len(item) - tests.at, np.arange(len(tests.at))
+        _, _, lengths_found, places = tests.search(got)
+        common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        numbers = {int(w): i + 1 for i, w in enumerate(got.vocabulary)}
+        as_numbers = [numbers.get(int(w), -1) for w in item]
+        for t, at in enumerate(tests.at):
+            best = max((common(as_numbers[at:], rest(int(p))) for p in got.places), default=0)
+            assert lengths_found[t] == (best if best >= 3 else 0)
+            assert best < 3 or common(as_numbers[at:], rest(int(places[t]))) == best
+
+
+def test_suffixes_hot_windows_and_nameless_items(spark):
+    # Many one-word items, a window of every document, and ids that are null beside one that is called "null".
+    hot = "the same passage of more than thirteen words stands in every one of these documents here"
+    docs = make_docs(spark, [(i, f"word{i} {hot} tail{i % 7} the the", "en", "a") for i in range(400)] + [(None, "the " * 50, "en", "a")] * 3)
+    items = [(f"i{k}", f"word{k}") for k in range(500)] + [(f"h{k}", hot) for k in range(50)] + [(None, "the the"), (None, "tail3"), ("null", "tail4"), ("null", "the the")]
+    found = suffixes.verbatim_matches(docs, spark.createDataFrame(items, "item_id string, text string"), shard_words=2000)
+    rows = suffixes.judged(found).collect()
+    for r in rows:
+        text = f"word{r.doc_id} {hot} tail{(r.doc_id or 0) % 7} the the" if r.doc_id is not None else "the " * 50
+        [want] = brute_contamination([(r.doc_id, text)], items)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[1:]
+        assert len(r.matches) <= r.n_items and len(r["items"]) == r.n_items
+    # A shard tells each suffix's longest match once.
+    assert sum(m.item_id == "h0" for r in rows for m in r.matches) <= sum(r.n_words for r in rows) // 2000 + 4
+
+
 def test_longest_match_and_location(spark):
     item = " ".join(f"w{i}" for i in range(30))
     doc = "pre pre " + " ".join(f"w{i}" for i in range(5, 25)) + " post"
