@@ -87,6 +87,49 @@ def test_splitters_split_a_group_over_a_shard(spark):
     assert len(loads) == 8 and max(loads) < 1.1 * sum(loads) / 8
 
 
+def test_splitters_spread_equal_rows(spark):
+    # One text without an id, 20,000 times, beside some others: no task, range or shard gets all of it.
+    hot = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "repeat('equal rows ', 27) AS text")
+    cold = spark.range(3000).selectExpr("id AS doc_id", "concat('cold ', id, repeat(' x', CAST(id % 60 AS INT))) AS text")
+    drawn = []
+    plain, splitters_sampled = splitters._sampled, drawn
+    splitters._sampled = lambda *a: (splitters_sampled.append(plain(*a)), splitters_sampled[-1])[1]
+    try:
+        rows = splitters.sampled_splitters(hot.unionByName(cold)).collect()
+    finally:
+        splitters._sampled = plain
+    check_shards(rows, ["equal rows " * 27] * 20_000 + [r.text for r in cold.collect()])
+    loads = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert max(loads) < 1.02 * sum(loads) / 8 and min(loads) > 0.98 * sum(loads) / 8
+    assert sum(len(v) for d in drawn for v in d.values()) < 6 * 512 * 32
+
+
+def test_splitters_are_stretches_of_keys(spark):
+    # Against brute force: ranges as the cuts say, shards as stretches of ranges but for frequent texts, slots in order.
+    rng = random.Random(4)
+    rows = [(i, "w" * rng.randint(1, 400) + str(i), "en", "a") for i in range(3000)] + [(9000 + i, "same " * 20, "en", "a") for i in range(300)] + [(20_000, "long " * 30_000, "en", "a")]
+    docs = make_docs(spark, rows)
+    out = splitters.sampled_splitters(docs, carry=True).join(docs.selectExpr("doc_id", "xxhash64(text) AS text_key"), "doc_id").toPandas()
+    keys = out.groupby("range")["text_key"].agg(["min", "max"]).sort_index()
+    assert (keys["max"].to_numpy()[:-1] < keys["min"].to_numpy()[1:]).all()
+    single = keys.index[keys["min"] == keys["max"]]
+    stretch = out[~out["range"].isin(single)].groupby("range")["shard"].agg(["min", "max"]).sort_index()
+    assert (stretch["min"] == stretch["max"]).all() and stretch["min"].is_monotonic_increasing
+    assert set(out[out.doc_id >= 9000].groupby("text_key")["shard"].nunique()) == {1}
+    per = out.groupby("shard")["size"].sum()
+    rest = per.drop(out[out.doc_id == 20_000]["shard"].iloc[0])
+    assert rest.max() < 1.02 * rest.mean()
+    assert sorted(zip(out.doc_id, out.text)) == sorted((r[0], r[1]) for r in rows)
+    for _, own in out.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+
+
+def test_splitters_carry_clashing_columns(odd_docs):
+    out = splitters.sampled_splitters(odd_docs, carry=True)
+    assert out.columns == [f"{c}_in" if c in splitters.NEW else c for c in odd_docs.columns] + list(splitters.NEW)
+    assert sorted(str(r.text) for r in out.collect()) == sorted(str(r.text) for r in odd_docs.collect())
+
+
 def test_splitters_empty_and_one(spark, no_docs):
     assert splitters.sampled_splitters(no_docs).count() == 0
     assert [r.slot for r in splitters.sampled_splitters(make_docs(spark, [(1, "x", "en", "a")])).collect()] == [0]
