@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratalake.core.storage import materialize
 from stratalake.llm.components import connected_components
+from stratalake.llm.skew import join_to_one, unused
 
 #: A tile holds this many fingerprints at most; two tiles are compared in blocks of this many rows.
 TILE, BLOCK = 4096, 256
@@ -19,8 +20,6 @@ TILE, BLOCK = 4096, 256
 SMALL = 1 << 14
 #: A fingerprint's population counts are taken over its quarters.
 PARTS = 4
-#: Columns with two hashes of a whole row.
-KEYS = ("row_key_a", "row_key_b")
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -126,7 +125,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
     Fingerprints are tiled by the population counts of their four quarters; a pair of tiles whose counts differ by more
     than the radius in sum is skipped. Each tile, in pieces of TILE fingerprints, is sent to those of its own pieces and
-    of its neighbours' pieces with which it has to be compared. A comparison passes on a spanning forest, not all pairs.
+    of its neighbours' pieces with which it has to be compared; a row is one pair of pieces, so a full tile's comparisons
+    are spread over its pieces. A comparison passes on a spanning forest, not all pairs.
     """
     steps = _steps(radius)
 
@@ -137,7 +137,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             tile = own @ np.array([17**3, 17**2, 17, 1])
             yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(fp)], ["tile", "fp"])
 
-    tiled = fps.select("fp").distinct().mapInArrow(tiles, "tile long, fp long")
+    tiled = materialize(fps.select("fp").distinct().mapInArrow(tiles, "tile long, fp long"), "simhash-tiled")
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces"))
     # At most 17 ** 4 tiles exist, so this table is bounded.
     pieces = materialize(
@@ -145,7 +145,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     )
     near = F.array(*[F.lit(sum(c * 17 ** (PARTS - 1 - i) for i, c in enumerate(s))) for s in steps])
     moved = pieces.select(F.col("tile").alias("l_tile"), F.col("piece").alias("l_piece"), F.col("fps").alias("l_fps"), F.explode(near).alias("step")).withColumn("tile", F.col("l_tile") + F.col("step"))
-    pairs = moved.join(pieces, "tile").where("step <> 0 OR l_piece <= piece")
+    pairs = moved.join(F.broadcast(sizes), "tile").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("step <> 0 OR l_piece <= piece").join(pieces, ["tile", "piece"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +169,10 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def _rooted(fps: DataFrame, least: Column, radius: int) -> DataFrame:
     """fp, root and least for each fingerprint: the root is its group's, least an aggregate over the fingerprint's rows."""
-    component = connected_components(materialize(links(fps, radius), "simhash-links"))
+    component = connected_components(links(fps, radius))
     own = fps.groupBy("fp").agg(least.alias("least"))
-    return own.join(component, own["fp"] == component["node"], "left").select(own["fp"], F.coalesce("root", own["fp"]).alias("root"), "least")
+    rooted = own.join(component, own["fp"] == component["node"], "left").select(own["fp"], F.coalesce("root", own["fp"]).alias("root"), "least")
+    return materialize(rooted, "simhash-roots")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -184,7 +185,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     rooted = _rooted(fps, F.min("id"), radius)
     best = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(rooted.join(best, "root").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", "component")
+    # A component can have very many fingerprints, and a fingerprint very many rows.
+    found = join_to_one(fps, materialize(join_to_one(rooted.select("fp", "root"), best, ["root"]).select("fp", "component"), "simhash-components"), ["fp"])
+    return found.select(F.col("id").alias(id_col), "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -192,9 +195,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows are told apart by 128 bits of hashes of all their columns, not by their ids: several null ids and different
     rows of a repeated id are rows of their own. Of exactly equal rows one stays. A rerun keeps the same rows."""
+    keys = tuple(unused(["id", "fp", "text", "root", "least", "lost", *docs.columns], "row_key_a", "row_key_b"))
     columns = [c for name in docs.columns for c in (F.col(f"`{name}`"), F.isnull(F.col(f"`{name}`")))]
-    keyed = docs.withColumns({k: F.xxhash64(F.lit(i), *columns) for i, k in enumerate(KEYS)})
-    fps = materialize(fingerprints(keyed, id_col, text_col, shingle, KEYS), "simhash")
-    rooted = _rooted(fps, F.min(F.struct(F.isnull("id").alias("lost"), "id", *KEYS)), radius)
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col("least")[k].alias(k) for k in KEYS])
-    return keyed.join(kept, list(KEYS), "left_semi").dropDuplicates(list(KEYS)).drop(*KEYS)
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(i), *columns) for i, k in enumerate(keys)})
+    fps = materialize(fingerprints(keyed, id_col, text_col, shingle, keys), "simhash")
+    rooted = _rooted(fps, F.min(F.struct(F.isnull("id").alias("lost"), "id", *keys)), radius)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col("least")[k].alias(k) for k in keys])
+    return keyed.join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)

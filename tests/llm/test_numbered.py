@@ -271,6 +271,44 @@ def test_simhash_groups(odd_docs, no_docs):
     assert 1 in ids and 2 not in ids and 100 in ids and 101 not in ids and ids.count(5) == 1
 
 
+def test_simhash_full_tile_and_equal_rows(spark, monkeypatch):
+    # One tile in many pieces (all fingerprints have the same population counts), against all pairs; a third of all rows
+    # equal and without an id.
+    rng = random.Random(12)
+    half = [i for i in range(16)]
+
+    def quarter():
+        rng.shuffle(half)
+        return sum(1 << b for b in half[:8])
+
+    fps = [quarter() << 48 | quarter() << 32 | quarter() << 16 | quarter() for _ in range(300)]
+    for x in fps[:60]:  # one bit goes and another comes: the same counts, two bits apart
+        on, off = [b for b in range(16) if x >> b & 1], [b for b in range(16) if not x >> b & 1]
+        fps.append(x ^ (1 << rng.choice(on)) ^ (1 << rng.choice(off)))
+    monkeypatch.setattr(simhash, "TILE", 16)
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    pairs = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2).collect()
+    parent = {x: x for x in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in pairs:
+        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2
+        parent[root(r.a)] = root(r.b)
+    want = brute_components(fps, 2)
+    groups = {}
+    for x, y in zip(fps, signed, strict=True):
+        groups.setdefault(root(y), set()).add(want[x])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+    hot = spark.range(12_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'equal rows of one text and no id' AS text")
+    some = spark.range(300).selectExpr("id AS doc_id", "IF(id % 100 = 7, 'equal rows of one text and no id', concat('other text number ', id, ' of ', id * 7)) AS text")
+    out = simhash.simhash_groups(hot.unionByName(some)).toPandas()
+    assert len(out) == 12_300 and (out[out.doc_id.isna()]["component"] == 7).all() and (out[out.doc_id.isin([7, 107, 207])]["component"] == 7).all()
+
+
 def test_components_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(-5, -5)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
