@@ -2,54 +2,62 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.core.storage import materialize
 
 #: Labelled rows from which lexicon and weights are learned, at most; where there are more, a hash draws them.
 TRAINING_ROWS = 24_000
-#: Entries of the lexicon at most: the words and stems with the highest weights.
-LEXICON = 400
 #: A term is in this many toxic training documents at least, with this log odds ratio at least.
 LEAST_DOCS, LEAST_WEIGHT = 2, 2.0
-#: Words from this length on may be misspelled by one edit.
-FUZZY_LENGTH = 5
+#: Of all terms that are tried, so many may pass by chance: the rarer a term, the more one-sided it has to be. There is no
+#: other bound on the lexicon's size than the sample of labelled rows.
+CHANCE_TERMS = 10
+#: Words and stems from these lengths on may be misspelled by one edit.
+FUZZY_LENGTH, FUZZY_STEM = 5, 7
 #: Stems are openings of words, of these lengths.
-STEMS = (5, 6, 7, 8)
+STEMS = (4, 5, 6, 7, 8)
 #: A stem stands for words of which the documents have this many different ones.
 STEM_WORDS = 3
-#: Characters before and after a term that tell quotation from abuse.
-WINDOW = 48
+#: Words before and after a term, and characters after it in which the quotation's end is looked for, that tell quotation
+#: from abuse.
+WINDOW_WORDS, WINDOW = 6, 200
 #: Documents scored from this on are predicted toxic.
 THRESHOLD = 0.7
+#: States of the automaton that a task keeps at once; beyond that it forgets them and makes them anew as words need them.
+STATES = 1 << 17
 
-#: Marks of quotation and of direct address, looked for in a term's window.
-QUOTES = "\"“”„«»‹›"
-REPORTING = ("said", "says", "wrote", "called", "quote", "quoted", "quoting", "dit", "écrit", "sagte", "schrieb", "dijo", "escribió")
-ADDRESS = ("you", "your", "youre", "tu", "toi", "vous", "du", "dich", "ihr", "eres", "usted")
+#: Marks that open a quotation and those that close it.
+QUOTES = {"\"": "\"", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›"}
 
-FEATURES = ("any_hit", "weight_max", "weight_sum", "distinct", "density", "fuzzy", "quoted_share", "addressed")
+_MARK = re.compile("[\"“”„«»‹›]")
 
+FEATURES = ("any_hit", "exact_max", "fuzzy_max", "quoted_max", "weight_sum", "distinct", "density", "quoted_share", "context_max", "context_mean")
+
+#: Beyond this code point nothing is a letter or digit.
+_LAST = 0x32400
 _FOLD: np.ndarray | None = None
 
 
 def _folded(codes: np.ndarray) -> np.ndarray:
-    """Lower case of letters and digits, 0 for all else; beyond the basic plane nothing is a letter."""
+    """Lower case of letters and digits, 0 for all else."""
     global _FOLD
     if _FOLD is None:
-        table = np.zeros(0x10000, dtype=np.uint16)
-        for c in range(0x10000):
+        table = np.zeros(_LAST + 1, dtype=np.uint32)
+        for c in range(_LAST):
             if not 0xD800 <= c < 0xE000 and chr(c).isalnum():
                 low = chr(c).lower()
-                table[c] = ord(low) if len(low) == 1 and ord(low) < 0x10000 else c
+                table[c] = ord(low) if len(low) == 1 else c
         _FOLD = table
-    return np.where(codes < 0x10000, _FOLD[np.minimum(codes, 0xFFFF)], 0)
+    return _FOLD[np.minimum(codes, _LAST)]
 
 
 def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,90 +85,108 @@ def runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, in
 class Lexicon:
     """A deterministic automaton: the lexicon's trie, intersected with each term's Levenshtein automaton of one edit.
 
-    Its states are sets of (trie node, edits so far). Words run through it, many side by side; a word that ends in an
-    accepting state is a term, a misspelled term, or begins with a stem.
+    Its states are sets of (trie node, edits so far) and are made when a word first needs them. Words run through it, many
+    side by side; a word that ends in an accepting state is a term, a misspelled term, or begins with a stem.
     """
 
     def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
         """terms: word or stem, whether it is a stem, weight."""
         self.terms = terms
-        letters = sorted({c for t, _, _ in terms for c in t if ord(c) < 0x10000})
-        self.classes = np.zeros(0x10000, dtype=np.int16)
-        for i, c in enumerate(letters, 1):
-            self.classes[ord(c)] = i
-        children, owner, stem, fuzzy = [{}], [-1], [-1], [False]
+        self.letters = sorted({c for t, _, _ in terms for c in t})
+        self.children, self.owner, self.stem, self.fuzzy = [{}], [-1], [-1], [False]
         for n, (term, is_stem, _) in enumerate(terms):
-            at = 0
+            at, open_ = 0, len(term) >= (FUZZY_STEM if is_stem else FUZZY_LENGTH)
+            self.fuzzy[0] |= open_
             for c in term:
-                if c not in children[at]:
-                    children[at][c] = len(children)
-                    children.append({})
-                    owner.append(-1)
-                    stem.append(-1)
-                    fuzzy.append(False)
-                at = children[at][c]
-                # Edits are allowed on the way to long words only.
-                fuzzy[at] |= not is_stem and len(term) >= FUZZY_LENGTH
-            (stem if is_stem else owner)[at] = n
-        fuzzy[0] = any(not s and len(t) >= FUZZY_LENGTH for t, s, _ in terms)
-        long_word = lambda node: owner[node] >= 0 and len(terms[owner[node]][0]) >= FUZZY_LENGTH
-
-        def step(state: frozenset, c: str | None) -> frozenset:
-            out = set()
-            for node, edits in state:
-                if node < 0:  # a stem has been read: anything may follow
-                    out.add((node, edits))
-                    continue
-                follow = children[node].get(c) if c is not None else None
-                if follow is not None:
-                    out.add((follow, edits))
-                    if stem[follow] >= 0 and edits == 0:
-                        out.add((-1 - stem[follow], 0))
-                if edits == 0 and fuzzy[node]:
-                    out.add((node, 1))  # inserted
-                    for k, child in children[node].items():
-                        if k != c and fuzzy[child]:
-                            out.add((child, 1))  # substituted
-                        if fuzzy[child] and c is not None and c in children[child]:
-                            out.add((children[child][c], 1))  # deleted
-            return frozenset(out)
-
-        def accepts(state: frozenset) -> tuple[int, int]:
-            best = (-1, 0)
-            value = lambda n, e: terms[n][2] * (0.6 if e else 1.0)
-            for node, edits in state:
-                found = []
-                if node < 0:
-                    found.append((-1 - node, 0))
-                else:
-                    if owner[node] >= 0 and (edits == 0 or long_word(node)):
-                        found.append((owner[node], edits))
-                    if edits == 0 and fuzzy[node]:
-                        found += [(owner[k], 1) for k in children[node].values() if long_word(k)]  # its last letter is missing
-                for n, e in found:
-                    if best[0] < 0 or (value(n, e), -e, -n) > (value(*best), -best[1], -best[0]):
-                        best = (n, e)
-            return best
-
-        states = {frozenset(): 0, frozenset({(0, 0)}): 1}
-        order, at = list(states), 1
-        table = [[0] * (len(letters) + 1)]
-        while at < len(order):
-            row = []
-            for c in [None, *letters]:
-                new = step(order[at], c)
-                if new not in states:
-                    states[new] = len(order)
-                    order.append(new)
-                row.append(states[new])
-            table.append(row)
-            at += 1
-        self.moves = np.array(table, dtype=np.int32)
-        ends = [accepts(s) for s in order]
-        self.ends, self.edits = np.array([e[0] for e in ends], dtype=np.int32), np.array([e[1] for e in ends], dtype=np.int32)
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.owner.append(-1)
+                    self.stem.append(-1)
+                    self.fuzzy.append(False)
+                at = self.children[at][c]
+                # Edits are allowed on the way to long terms only.
+                self.fuzzy[at] |= open_
+            (self.stem if is_stem else self.owner)[at] = n
+        self._forget()
+
+    def _forget(self) -> None:
+        self.classes = np.zeros(_LAST + 1, dtype=np.int16)
+        for i, c in enumerate(self.letters, 1):
+            self.classes[ord(c)] = i
+        self.states: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.moves = np.full((256, len(self.letters) + 1), -1, dtype=np.int32)
+        self.ends, self.edits = np.full(256, -1, dtype=np.int32), np.zeros(256, dtype=np.int32)
+        self._state(frozenset())
+        self.moves[0] = 0
+        self._state(frozenset({(0, 0)}))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("terms", "letters", "children", "owner", "stem", "fuzzy")}
+
+    def __setstate__(self, kept: dict) -> None:
+        self.__dict__.update(kept)
+        self._forget()
+
+    def _state(self, own: frozenset) -> int:
+        if own not in self.states:
+            n = self.states[own] = len(self.sets)
+            self.sets.append(own)
+            if n == len(self.moves):
+                self.moves = np.concatenate([self.moves, np.full_like(self.moves, -1)])
+                self.ends, self.edits = np.concatenate([self.ends, np.full_like(self.ends, -1)]), np.concatenate([self.edits, np.zeros_like(self.edits)])
+            self.ends[n], self.edits[n] = self._accepted(own)
+        return self.states[own]
+
+    def _long(self, n: int) -> bool:
+        term, is_stem, _ = self.terms[n]
+        return len(term) >= (FUZZY_STEM if is_stem else FUZZY_LENGTH)
+
+    def _step(self, own: frozenset, c: str | None) -> frozenset:
+        out = set()
+
+        def arrive(node: int, edits: int) -> None:
+            out.add((node, edits))
+            n = self.stem[node]
+            if n >= 0 and (not edits or self._long(n)):
+                out.add((-1 - n, edits))  # a stem has been read: anything may follow
+
+        for node, edits in own:
+            if node < 0:
+                out.add((node, edits))
+                continue
+            follow = self.children[node].get(c) if c is not None else None
+            if follow is not None:
+                arrive(follow, edits)
+            if edits == 0 and self.fuzzy[node]:
+                out.add((node, 1))  # inserted
+                for k, child in self.children[node].items():
+                    if k != c and self.fuzzy[child]:
+                        arrive(child, 1)  # substituted
+                    if self.fuzzy[child] and c is not None and c in self.children[child]:
+                        arrive(self.children[child][c], 1)  # deleted
+        return frozenset(out)
+
+    def _accepted(self, own: frozenset) -> tuple[int, int]:
+        """The term with the highest weight, one without edits before one with, and its edits; -1 if there is none."""
+        found = []
+        for node, edits in own:
+            if node < 0:
+                found.append((-1 - node, edits))
+                continue
+            n = self.owner[node]
+            if n >= 0 and (edits == 0 or self._long(n)):
+                found.append((n, edits))
+            if edits == 0 and self.fuzzy[node]:
+                # Its last letter is missing.
+                found += [(self.owner[k], 1) for k in self.children[node].values() if self.owner[k] >= 0 and self._long(self.owner[k])]
+        return max(found, key=lambda x: (-x[1], self.terms[x[0]][2], -x[0]), default=(-1, 0))
 
     def find(self, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the words, those that match: their indices, their terms and their edits."""
+        if len(self.sets) > STATES:
+            self._forget()
         alive = np.arange(len(starts))
         state = np.ones(len(starts), dtype=np.int32)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -172,9 +198,18 @@ class Lexicon:
                 hit = over & (self.ends[state] >= 0)
                 found.append((alive[hit], state[hit]))
                 alive, state, at = alive[~over], state[~over], at[~over]
-            state = self.moves[state, self.classes[folded[at]]]
-            live = state != 0
-            alive, state = alive[live], state[live]
+            kind = self.classes[folded[at]]
+            new = self.moves[state, kind]
+            lost = np.flatnonzero(new < 0)
+            if len(lost):
+                wide = len(self.letters) + 1
+                for pair in np.unique(state[lost].astype(np.int64) * wide + kind[lost]).tolist():
+                    s, c = divmod(pair, wide)
+                    to = self._state(self._step(self.sets[s], self.letters[c - 1] if c else None))
+                    self.moves[s, c] = to
+                new = self.moves[state, kind]
+            live = new != 0
+            alive, state = alive[live], new[live]
             k += 1
         if not found:
             none = np.empty(0, dtype=np.int64)
@@ -184,46 +219,68 @@ class Lexicon:
         return words[order], self.ends[last[order]], self.edits[last[order]]
 
 
-def _quoted(text: str, start: int, end: int) -> tuple[bool, bool]:
-    """Whether a term stands in a quotation or a report, and whether its window addresses somebody."""
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    near = {w.strip(".,;:!?'()") for w in (before + " " + after).lower().split()}
-    inside = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+def quoted(text: str, start: int, end: int) -> bool:
+    """Whether a term stands in its line between a mark that opens a quotation and one that closes it, or after a > sign."""
     line = text.rfind("\n", 0, start) + 1
-    return inside or text.startswith(">", line) or not near.isdisjoint(REPORTING), not near.isdisjoint(ADDRESS)
+    if text.startswith(">", line):
+        return True
+    opened = ""
+    for m in _MARK.finditer(text, line, start):
+        if opened:
+            opened = "" if m[0] in QUOTES[opened] else opened
+        elif m[0] in QUOTES:
+            opened = m[0]
+    return bool(opened) and any(c in text[end : end + WINDOW].split("\n", 1)[0] for c in QUOTES[opened])
+
+
+def hits_of(lexicon: Lexicon, texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[int, int, bool, list[str]]]]]:
+    """For each text with a term: its index, its number of words, and for each term found (term, edits, whether it is quoted,
+    the words around it that are no terms)."""
+    folded, starts, ends, chars, bounds = split_words(texts)
+    words, terms, edits = lexicon.find(folded, starts, ends)
+    letters = folded.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") if len(words) else ""
+    found = set(words.tolist())
+    cut = np.searchsorted(words, bounds)
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        rows = []
+        for w, t, e in zip(*(x[cut[i] : cut[i + 1]].tolist() for x in (words, terms, edits)), strict=True):
+            near = range(max(int(bounds[i]), w - WINDOW_WORDS), min(int(bounds[i + 1]), w + WINDOW_WORDS + 1))
+            around = [letters[starts[k] : ends[k]] for k in near if k not in found]
+            rows.append((t, e, quoted(texts[i], int(starts[w] - chars[i]), int(ends[w] - chars[i])), around))
+        yield i, int(bounds[i + 1] - bounds[i]), rows
 
 
-def features(lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
-    """A row of FEATURES for each text."""
+def features(lexicon: Lexicon, context: dict[str, float], texts: list[str | None]) -> np.ndarray:
+    """A row of FEATURES for each text; context has the weights of words around terms."""
     out = np.zeros((len(texts), len(FEATURES)))
     if not lexicon.terms:
         return out
-    folded, starts, ends, chars, bounds = split_words(texts)
-    words, terms, edits = lexicon.find(folded, starts, ends)
-    weight = np.array([w for _, _, w in lexicon.terms])
-    cut = np.searchsorted(words, bounds)
-    for i in np.flatnonzero(np.diff(cut)):
-        own = slice(cut[i], cut[i + 1])
+    for i, total, rows in hits_of(lexicon, texts):
         best: dict[int, float] = {}
-        quoted = addressed = fuzzy = 0
-        for w, t, e in zip(words[own].tolist(), terms[own].tolist(), edits[own].tolist(), strict=True):
-            q, a = _quoted(texts[i], int(starts[w] - chars[i]), int(ends[w] - chars[i]))
-            quoted, addressed, fuzzy = quoted + q, addressed + a, fuzzy + bool(e)
-            best[t] = max(best.get(t, 0.0), weight[t] * (0.4 if e else 1.0) * (0.5 if q else 1.0))
-        n, total = cut[i + 1] - cut[i], bounds[i + 1] - bounds[i]
-        out[i] = [1.0, max(best.values()), min(40.0, sum(best.values())), min(8, len(best)), np.log1p(100 * n / total), fuzzy / n, quoted / n, addressed / n]
+        most = [0.0, 0.0, 0.0]
+        around = []
+        for t, e, q, words in rows:
+            weight = lexicon.terms[t][2]
+            kind = 2 if q else 1 if e else 0
+            most[kind] = max(most[kind], weight)
+            best[t] = max(best.get(t, 0.0), weight)
+            around.append(max(-6.0, min(6.0, sum(context.get(w, 0.0) for w in set(words)))))
+        n = len(rows)
+        out[i] = [1.0, *most, min(40.0, sum(best.values())), min(8, len(best)), np.log1p(100 * n / total), sum(q for _, _, q, _ in rows) / n, max(around), sum(around) / n]
     return out
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
+    #: Weights of words around a term: above 0 they tell abuse, below 0 quotation and other harmless use.
+    context: dict[str, float]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the last one is the constant
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = (features(self.lexicon, texts) - self.mean) / self.scale
+        x = (features(self.lexicon, self.context, texts) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -252,7 +309,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
             for at, end in runs(texts):
                 counts: dict[str, list[int]] = {}
                 folded, starts, ends, _, bounds = split_words(texts[at:end])
-                letters = folded.astype(np.uint16).tobytes().decode("utf-16-le", "surrogatepass")
+                letters = folded.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                 for i in range(end - at):
                     own = {letters[a:b] for a, b in zip(starts[bounds[i] : bounds[i + 1]].tolist(), ends[bounds[i] : bounds[i + 1]].tolist(), strict=True)}
                     for w in own:
@@ -262,22 +319,35 @@ def _term_counts(train: DataFrame) -> DataFrame:
     return train.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.length("term").between(3, 40))
 
 
+def _one_sided(toxic: Column, clean: Column, bad: int, good: int, tried: int) -> tuple[Column, Column, Column]:
+    """The log odds ratio of terms in toxic of bad and clean of good documents, its standard error, and whether it is more
+    one-sided (by the likelihood ratio) than all but CHANCE_TERMS of the terms tried would be by chance."""
+    odds = F.log((toxic + 0.5) / (bad + 1)) - F.log((clean + 0.5) / (good + 1))
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    whole, both = bad + good, toxic + clean
+    ratio = part(toxic, both * (bad / whole)) + part(clean, both * (good / whole)) + part(bad - toxic, (whole - both) * (bad / whole)) + part(good - clean, (whole - both) * (good / whole))
+    return odds, F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), ratio >= math.log(max(1.0, tried / CHANCE_TERMS))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", training_rows: int = TRAINING_ROWS) -> Model:
     """Lexicon and weights from at most training_rows labelled documents, drawn by a hash of the id.
 
-    The lexicon's terms are the words, and the openings that several words share, that toxic documents have far more
-    often than clean ones. Rows of labels without an id or a label teach nothing."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    The lexicon's terms are all words, and all openings that several words share, that toxic documents have more often than
+    clean ones beyond chance; a stem that a shorter one of like weight opens is left out. The words that stand around
+    terms get weights in the same way from the documents that have a term. Rows of labels without an id or a label teach
+    nothing; a document with several labels is toxic if one of them says so; of several rows of an id one is learned from."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     part = min(1.0, training_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(part * (1 << 20))).dropDuplicates(["id"])
-    # Some training_rows ids and labels, whatever the tables' sizes, so they are broadcast; no text is shuffled.
-    train = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id"), "toxicity-train")
-    n = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
+    # Some training_rows ids and labels, whatever the tables' sizes, so they are broadcast.
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    train = materialize(joined.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-train")
+    n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     names = len(FEATURES)
     if not bad or not good:
-        return Model(Lexicon([]), np.zeros(names), np.ones(names), np.array([0.0] * names + [-3.0 if not bad else 3.0]))
-    words = _term_counts(train)
+        return Model(Lexicon([]), {}, np.zeros(names), np.ones(names), np.array([0.0] * names + [-3.0 if not bad else 3.0]))
+    words = materialize(_term_counts(train), "toxicity-words")
     stems = (
         words.select(F.explode(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS])).alias("term"), "toxic", "clean")
         .where("term IS NOT NULL")
@@ -287,20 +357,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .drop("words")
         .withColumn("stem", F.lit(True))
     )
-    odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    chosen = (
-        words.withColumn("stem", F.lit(False)).unionByName(stems).withColumn("weight", odds)
-        .where((F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT))
-        .orderBy(F.desc(F.col("weight") * F.least(F.col("toxic"), F.lit(20)))
-                 , "term", "stem").limit(LEXICON).collect()
-    )
-    lexicon = Lexicon(sorted((r["term"], r["stem"], float(r["weight"])) for r in chosen))
+    # Openings are summed over words, so a document may count more than once; no more than all documents can have one.
+    both = words.withColumn("stem", F.lit(False)).unionByName(stems).withColumns({"toxic": F.least("toxic", F.lit(bad)), "clean": F.least("clean", F.lit(good))})
+    odds, error, sure = _one_sided(F.col("toxic"), F.col("clean"), bad, good, words.count())
+    chosen = both.withColumns({"odds": odds, "weight": odds - error}).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_WEIGHT) & (F.col("weight") > 0) & sure).select("term", "stem", "weight").collect()
+    heavy = {r["term"]: r["weight"] for r in chosen if r["stem"]}
+    covered = {t for t, w in heavy.items() if any(heavy.get(t[:k], 0.0) >= 0.9 * w for k in STEMS if k < len(t))}
+    lexicon = Lexicon(sorted((r["term"], r["stem"], float(r["weight"])) for r in chosen if not (r["stem"] and r["term"] in covered)))
     held = train.sparkSession.sparkContext.broadcast(lexicon)
 
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # The empty word stands for the document itself.
+            rows = [(w, labels[a + i]) for a, b in runs(texts) for i, _, hits in hits_of(held.value, texts[a:b]) for w in {"", *(w for *_, words in hits for w in words)}]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.int32())], ["word", "toxic"])
+
+    context: dict[str, float] = {}
+    if lexicon.terms:
+        near = materialize(train.select("text", "toxic").mapInArrow(around, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "toxicity-context")
+        whole = near.where("word = ''").first()
+        if whole and whole["toxic"] and whole["clean"]:
+            odds, error, sure = _one_sided(F.col("toxic"), F.col("clean"), whole["toxic"], whole["clean"], near.count())
+            weighed = near.where(F.col("word") != "").withColumns({"odds": odds, "error": error}).where(sure & (F.abs("odds") > F.col("error")))
+            context = {r["word"]: float(r["odds"] - math.copysign(r["error"], r["odds"])) for r in weighed.select("word", "odds", "error").collect()}
+    context = dict(sorted(context.items()))
+    taught = train.sparkSession.sparkContext.broadcast(context)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            x = np.concatenate([features(held.value, texts[a:b]) for a, b in runs(texts)]) if texts else np.zeros((0, names))
+            x = np.concatenate([features(held.value, taught.value, texts[a:b]) for a, b in runs(texts)]) if texts else np.zeros((0, names))
             yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], batch.column(1)], [*FEATURES, "toxic"])
 
     seen = train.select("text", "toxic").mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()
@@ -308,7 +395,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y = seen[list(FEATURES)].to_numpy(), (seen["toxic"] > 0).to_numpy().astype(float)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale == 0] = 1.0
-    return Model(lexicon, mean, scale, _logistic((x - mean) / scale, y))
+    return Model(lexicon, context, mean, scale, _logistic((x - mean) / scale, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -625,12 +625,44 @@ def test_stems_match_openings_only():
     assert lexicon.find(folded, starts, ends)[0].tolist() == [0, 1]
 
 
-def test_quotation_and_address():
-    t = 'He said "idiot" then. You idiot!'
+def test_misspelled_long_stems():
+    lexicon = toxicity.Lexicon([("worthle", True, 3.0), ("𝒶bcd𝓔", False, 2.0)])
+    folded, starts, ends, _, _ = toxicity.split_words(["worthless wurthless worhless worthhless wrthles wurhless 𝒶bcd𝓔 𝒶bc𝓔"])
+    found, _, edits = lexicon.find(folded, starts, ends)
+    assert found.tolist() == [0, 1, 2, 3, 4, 6, 7] and edits.tolist() == [0, 1, 1, 1, 1, 0, 1]
+
+
+def test_automaton_forgets_states(monkeypatch):
+    rng = random.Random(3)
+    terms = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(300)})
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 10))) for _ in range(2000))
+    lexicon = toxicity.Lexicon([(t, False, 1.0) for t in terms])
+    first = [x.tolist() for x in lexicon.find(*toxicity.split_words([text])[:3])]
+    monkeypatch.setattr(toxicity, "STATES", 10)
+    assert [x.tolist() for x in lexicon.find(*toxicity.split_words([text])[:3])] == first
+    plain = [i for i, w in enumerate(text.split()) if any(w == t or len(t) >= toxicity.FUZZY_LENGTH and abs(len(w) - len(t)) < 2 and distance(w, t) <= 1 for t in terms)]
+    assert first[0] == plain
+
+
+def test_quotation_marks():
+    t = 'He said "idiot" then. You idiot! "Well," she said'
     a, b = t.index("idiot"), t.rindex("idiot")
-    assert toxicity._quoted(t, a, a + 5)[0]
-    far = "you are an idiot " + "x" * 60
-    assert toxicity._quoted(far, 11, 16) == (False, True)
+    assert toxicity.quoted(t, a, a + 5) and not toxicity.quoted(t, b, b + 5)
+    for t, want in (("“an idiot”", True), ("„du idiot“", True), ("« idiot »", True), ("»a« idiot »b«", False), ("«idiot»", True), ("> you idiot", True), ("a “b” idiot “c”", False), ("“idiot", False), ("idiot”", False)):
+        assert toxicity.quoted(t, t.index("idiot"), t.index("idiot") + 5) == want, t
+
+
+def test_context_tells_quotation_from_abuse(spark):
+    # A term that stands in toxic and in clean documents alike; the words around it tell them apart.
+    rng = random.Random(6)
+    filler = [f"filler{i}" for i in range(200)]
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows = [(i, f"{prose(20)} surely moronic pest {prose(20)}" if i % 3 == 0 else f"{prose(20)} reporter mentioned moronic {prose(20)}" if i % 12 == 1 else prose(40), "en", "a") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(make_docs(spark, rows), labels)
+    assert model.context.get("mentioned", 0) < 0
+    abuse, report = model.scores([f"{prose(10)} surely moronic pest {prose(10)}", f"{prose(10)} reporter mentioned moronic {prose(10)}"])
+    assert abuse > 0.7 > report
 
 
 def test_toxicity_held_out(spark):
