@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalake.core.storage import materialize
 from stratalake.core.ranks import with_global_rank
+from stratalake.core.storage import discard, materialize
+from stratalake.llm.skew import join_to_one
 
 _MARKS = re.compile(r"[ \t]*(?:>[ \t]?)+")
 #: How mail programs introduce a quotation.
 _INTRO = re.compile(r"^(?:On|Le|Am|El)\b.{0,200}\b(?:wrote|a écrit|schrieb|escribió)\s*:\s*$")
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 PARSED = "own_text string, max_level int, n_passages int, quoted array<struct<passage:int,level:int,hash:string,words:int>>, units array<string>"
@@ -54,9 +56,12 @@ def parse_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(n, "\n".join(lines)) for n, lines in passages]
 
 
-def _units(text: str) -> list[str]:
-    """A text as a whole, its paragraphs and its lines: what a quotation can repeat."""
-    return [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
+def units(text: str) -> dict[str, int]:
+    """What a quotation can repeat of a text, by hash, with the number of words: the text as a whole, its paragraphs, its
+    lines, and the sentences of its paragraphs. Line breaks count as spaces, so that text wrapped anew is the same."""
+    paragraphs = re.split(r"\n[ \t]*\n", text)
+    parts = [text, *paragraphs, *text.split("\n"), *(s for p in paragraphs for s in _SENTENCE.split(p))]
+    return {h: len(u.split()) for u in dict.fromkeys(parts) if (h := unit_hash(u)) is not None}
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -67,13 +72,8 @@ def _parsed(messages: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(3).to_pylist():
                 own, passages = parse_message(text)
-                quoted = []
-                for i, (level, passage) in enumerate(passages):
-                    for unit in dict.fromkeys([passage, *passage.split("\n")]):
-                        if (h := unit_hash(unit)) is not None:
-                            quoted.append({"passage": i, "level": level, "hash": h, "words": len(unit.split())})
-                units = sorted({h for u in _units(own) if (h := unit_hash(u)) is not None})
-                rows.append({"own_text": own, "max_level": max((n for n, _ in passages), default=0), "n_passages": len(passages), "quoted": quoted, "units": units})
+                quoted = [{"passage": i, "level": level, "hash": h, "words": n} for i, (level, passage) in enumerate(passages) for h, n in units(passage).items()]
+                rows.append({"own_text": own, "max_level": max((n for n, _ in passages), default=0), "n_passages": len(passages), "quoted": quoted, "units": sorted(units(own))})
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("hash", pa.string()), ("words", pa.int32())])), pa.list_(pa.string())]
             names = ["own_text", "max_level", "n_passages", "quoted", "units"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)]], ["conv", "turn", "role", *names])
@@ -84,27 +84,33 @@ def _parsed(messages: DataFrame) -> DataFrame:
 def linked_passages(parsed: DataFrame) -> DataFrame:
     """A row for each quoted passage that repeats an original: conv, turn, passage, level, p_conv, p_turn.
 
-    The original is the first message of the same conversation, before the quoting one, that has the passage, or lines
-    of it, as its own words; else the first of any conversation. Of several, the one with most of the passage's words."""
+    The original is the first message of the same conversation, before the quoting one, that has units of the passage as
+    its own words; else the first of any other conversation. Of several, the one with most of the passage's words: those
+    of the same conversation go before others. All messages without a conversation are one conversation."""
     quotes = materialize(parsed.select("conv", "turn", F.inline("quoted")).distinct(), "quotes")
     if quotes.isEmpty():
         return parsed.sparkSession.createDataFrame([], "conv long, turn long, passage int, level int, p_conv long, p_turn long")
     wanted = quotes.select("hash").distinct()
-    originals = parsed.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, "hash", "left_semi")
+    originals = parsed.select("conv", "turn", F.explode("units").alias("hash")).where("turn IS NOT NULL").join(wanted, "hash", "left_semi")
     # Summed up before the joins, so each quoted unit meets one row at most, however often its words occur.
-    here = materialize(originals.groupBy("conv", "hash").agg(F.min("turn").alias("turn")), "quote-originals")
-    there = here.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("turn").alias("turn"))).alias("first"))
-    q = quotes.join(here.select("conv", "hash", F.col("turn").alias("h_turn")), ["conv", "hash"], "left").join(there, "hash", "left")
-    own = F.col("h_turn") < F.col("turn")
-    apart = ~F.col("first.conv").eqNullSafe(F.col("conv"))
+    here = materialize(originals.groupBy("conv", "hash").agg(F.min("turn").alias("h_turn")), "quote-originals")
+    # The two first conversations of each unit: one of them is another than the quoting one.
+    in_order = Window.partitionBy("hash").orderBy(F.asc_nulls_last("conv"))
+    firsts = here.withColumn("k", F.row_number().over(in_order)).where("k <= 2")
+    place = lambda k: F.max(F.when(F.col("k") == k, F.struct(F.col("conv").alias("conv"), F.col("h_turn").alias("turn"))))
+    there = materialize(firsts.groupBy("hash").agg(place(1).alias("first"), place(2).alias("second")), "quote-firsts")
+    with_own = join_to_one(quotes, here, ["conv", "hash"], "left")
+    q = join_to_one(materialize(with_own, "quote-own"), there, ["hash"], "left")
+    own = F.coalesce(F.col("h_turn") < F.col("turn"), F.lit(False))
+    other = F.when(F.col("first.conv").eqNullSafe(F.col("conv")), F.col("second")).otherwise(F.col("first"))
     found = q.select(
         "conv", "turn", "passage", "level", "words",
-        F.when(own, F.col("conv")).when(apart, F.col("first.conv")).alias("p_conv"),
-        F.when(own, F.col("h_turn")).when(apart, F.col("first.turn")).alias("p_turn"),
-        F.coalesce(own, F.lit(False)).alias("same"),
-    ).where("p_turn IS NOT NULL")
+        F.when(own, F.col("conv")).otherwise(other["conv"]).alias("p_conv"),
+        F.when(own, F.col("h_turn")).otherwise(other["turn"]).alias("p_turn"),
+        own.alias("same"),
+    ).where("p_turn IS NOT NULL AND turn IS NOT NULL")
     summed = found.groupBy("conv", "turn", "passage", "level", "p_conv", "p_turn", "same").agg(F.sum("words").alias("words"))
-    best = Window.partitionBy("conv", "turn", "passage").orderBy(F.desc("same"), F.desc("words"), "p_conv", "p_turn")
+    best = Window.partitionBy("conv", "turn", "passage", "level").orderBy(F.desc("same"), F.desc("words"), F.asc_nulls_last("p_conv"), "p_turn")
     return summed.withColumn("k", F.row_number().over(best)).where("k = 1").select("conv", "turn", "passage", "level", "p_conv", "p_turn")
 
 
@@ -113,23 +119,25 @@ def _roots(replies: DataFrame) -> DataFrame:
     now = materialize(replies.select("conv", "turn", F.col("p_turn").alias("root"), F.lit(1).alias("depth")), "reply-roots")
     while True:
         up = now.select(F.col("conv").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
-        joined = now.join(up, F.col("conv").eqNullSafe(F.col("u_conv")) & (F.col("root") == F.col("u_turn")), "left")
+        joined = now.select("conv", "turn", "root", "depth").join(up, F.col("conv").eqNullSafe(F.col("u_conv")) & (F.col("root") == F.col("u_turn")), "left")
         new = materialize(joined.select("conv", "turn", F.coalesce("u_root", "root").alias("root"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), F.col("u_root").isNotNull().alias("moved")), "reply-roots")
+        discard(now)
         if new.where("moved").isEmpty():
             return new.drop("moved")
-        now = new.drop("moved")
+        now = new
 
 
 def reply_ordered(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each message: its text without quotations, what it replies to, and its place in its conversation.
 
-    A message replies to the original of its first linked passage of the lowest level that is in the same conversation.
+    A message replies to the original of its first linked passage of the lowest level that is in the same conversation, be it
+    quoted in part or wrapped anew (see linked_passages).
     Threads follow each other by the turn of their root, messages within a thread by turn, so a reply stands after what
     it answers; reply_pos counts them from 0 in each conversation. n_linked counts passages with an original anywhere.
 
     Null texts are empty messages. Rows of the same conversation and turn count as one message when links are made, and
-    each has its own place, ordered by role and text. A null conversation id is a conversation of its own; a message
-    with a null turn comes first and links to nothing. An empty table gives an empty result; other columns are not read.
+    each has its own place, ordered by role and text. The messages with a null conversation id are one conversation; a message
+    with a null turn comes first, links to nothing and is nobody's original. An empty table gives an empty result; other columns are not read.
     """
     messages = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
     parsed = materialize(_parsed(messages), "messages")
@@ -137,8 +145,9 @@ def reply_ordered(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     counted = links.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"))
     first = Window.partitionBy("conv", "turn").orderBy("level", "passage")
     replies = links.where(F.col("conv").eqNullSafe(F.col("p_conv"))).withColumn("k", F.row_number().over(first)).where("k = 1").select("conv", "turn", "p_turn")
-    roots = _roots(replies).join(replies, ["conv", "turn"])
-    about = counted.join(roots, ["conv", "turn"], "left").toDF("a_conv", "a_turn", "n_linked", "root", "depth", "p_turn")
+    replies = materialize(replies, "replies")
+    roots = materialize(join_to_one(replies, _roots(replies), ["conv", "turn"]), "reply-threads")
+    about = join_to_one(counted, roots, ["conv", "turn"], "left").select("conv", "turn", "n_linked", "root", "depth", "p_turn").toDF("a_conv", "a_turn", "n_linked", "root", "depth", "p_turn")
     same = F.col("conv").eqNullSafe(F.col("a_conv")) & F.col("turn").eqNullSafe(F.col("a_turn"))
     threaded = parsed.join(about, same, "left").select(
         "conv", "turn", "role", "own_text", "max_level", "n_passages",
@@ -147,7 +156,7 @@ def reply_ordered(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     )
     ranked = with_global_rank(threaded, ["conv", "thread", "turn", "role", "own_text"])
     begin = ranked.groupBy("conv").agg(F.min("rank").alias("begin")).withColumnRenamed("conv", "b_conv")
-    placed = ranked.join(begin, F.col("conv").eqNullSafe(F.col("b_conv")))
+    placed = join_to_one(ranked, begin.withColumnRenamed("b_conv", "conv"), ["conv"])
     return placed.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), (F.col("rank") - F.col("begin")).alias("reply_pos"),
         "reply_to", "thread", "depth", "n_passages", "max_level", "n_linked", "own_text",

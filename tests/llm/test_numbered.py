@@ -772,6 +772,68 @@ def test_reply_order(spark):
     assert quotations.reply_ordered(conv.where("false")).count() == 0
 
 
+def brute_links(messages):
+    """Of (conv, turn, role, text): by message the number of linked passages and the turn that it replies to."""
+    parsed = [(c, t, *quotations.parse_message(x)) for c, t, _, x in messages]
+    first = {}
+    for c, t, own, _ in parsed:
+        for h in quotations.units(own) if t is not None else ():
+            first.setdefault(h, {}).setdefault(c, t)
+            first[h][c] = min(first[h][c], t)
+    quotes = {}
+    for c, t, _, passages in parsed:
+        for i, (level, text) in enumerate(passages):
+            quotes.setdefault((c, t, i, level), set()).update(quotations.units(text).items())
+    null_last = lambda c: (c is None, c or 0)
+    links = {}
+    for (c, t, i, level), found in quotes.items():
+        words = {}
+        for h, n in found if t is not None else ():
+            at = first.get(h, {})
+            if c in at and at[c] < t:
+                where = (0, null_last(c), at[c], c)
+            elif others := sorted((x for x in at if x != c), key=null_last):
+                where = (1, null_last(others[0]), at[others[0]], others[0])
+            else:
+                continue
+            words[where] = words.get(where, 0) + n
+        if words:
+            best = min(words, key=lambda w: (w[0], -words[w], w[1], w[2]))
+            links.setdefault((c, t), []).append((level, i, best[3], best[2]))
+    return {m: (len(own), next((turn for _, _, c, turn in sorted(own, key=lambda x: x[:2]) if c == m[0]), None)) for m, own in links.items()}
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(14)
+    sentences = [f"This is sentence number {i} about topic {i % 5}." for i in range(30)]
+    messages, said = [], {}
+    for k in range(250):
+        conv, turn = rng.choice([1, 2, 3, None]), rng.choice([None, *range(12)]) if k % 9 == 0 else k // 4 % 14
+        old = rng.choice(said[conv] if said.get(conv) and rng.random() < 0.6 else [x for v in said.values() for x in v] or ["ok"])
+        own = rng.choice(["ok", "thanks", "\n\n".join(" ".join(rng.sample(sentences, 2)) for _ in range(3))])
+        parts = re.split(r"\n\n", old)
+        quote = rng.choice([old, parts[0], "\n\n".join(parts[:2]), old.replace(" ", "\n", 3), re.split(r"(?<=[.]) ", parts[-1])[0], "never said by anybody", "ok"])
+        level = rng.choice(["> ", "> > "])
+        text = rng.choice([own, "\n".join(level + line for line in quote.split("\n")) + "\n" + own, own + "\n> " + quote.replace("\n", "\n> "), None, ""])
+        messages.append((conv, turn, "u", text))
+        said.setdefault(conv, []).append(own)
+    # A line that the quoting conversation says later, and another one earlier.
+    messages += [(50, 1, "u", "> rare words that are said twice\nhm"), (50, 2, "u", "rare words that are said twice"), (70, 0, "u", "rare words that are said twice")]
+    # Two of three paragraphs, wrapped anew.
+    messages += [(60, 0, "u", "The first paragraph is\nlong enough.\n\nA second one here\nfollows it.\n\nAnd a third."), (60, 1, "u", "between"), (60, 2, "u", "> The first paragraph is long\n> enough.\n>\n> A second one\n> here follows it.\nso"), (60, 3, "u", "> here\nlonger > not a quote")]
+    schema = "conv_id long, turn long, role string, text string"
+    rows = quotations.reply_ordered(spark.createDataFrame(messages, schema)).collect()
+    want = brute_links(messages)
+    assert len(rows) == len(messages) and sum(n for n, _ in want.values()) > 40
+    for r in rows:
+        assert (r.n_linked, r.reply_to) == want.get((r.conv_id, r.turn), (0, None)), r
+    assert want[50, 1] == (1, None) and want[60, 2] == (1, 0)
+    # A line that everybody quotes: it is in one task nowhere, and each quotation finds it.
+    hot = [(i, 0, "u", "> Thanks a lot!\nyes") for i in range(11_000)] + [(99_999, 0, "u", "thanks a lot"), (None, 0, "u", "> yes\n" + "long text " * 50_000)]
+    found = quotations.reply_ordered(spark.createDataFrame(hot, schema)).groupBy("n_linked").count().collect()
+    assert {r.n_linked: r["count"] for r in found} == {1: 11_001, 0: 1}
+
+
 def test_global_rank(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(200)], "a int, b int").repartition(6)
     got = [(r.a, r.b) for r in sorted(with_global_rank(df, ["a", "b"]).collect(), key=lambda r: r["rank"])]
