@@ -479,6 +479,29 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.where("false"), path + "-none"), path + "-none").count() == 0
 
 
+def test_warc_headers_and_digests(spark):
+    # Repeated rows, null page_ids and a lost attempt's file; digests come from the bodies.
+    rows = [(1, "http://a/", "<p>a</p>")] * 3 + [(None, "http://b/", "<p>b</p>")] * 2 + [(2, "http://c/", "<p>c</p>"), (3, "http://c/", "<p>c</p>"), (4, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = fresh_path(spark, "warc-ids")
+    files = warc.write_archives(pages, path, date="2024-01-02T03:04:05Z")
+    stray = f"{path.removeprefix('file://')}/part-000000-00000-lost.warc.zst"
+    with open(stray, "wb") as f:
+        f.write(b"half an archive")
+    records = warc.read_archives(files, path).collect()
+    assert len(records) == len(rows) and len({r.record_id for r in records}) == len(rows) and {r.date for r in records} == {"2024-01-02T03:04:05Z"}
+    by_type = Counter((r.page_id, r.record_type, r.refers_to) for r in records)
+    assert by_type == {(1, "response", None): 3, (None, "response", None): 2, (3, "response", None): 1, (2, "revisit", 3): 1, (4, "response", None): 1}
+    assert [r.record_id for r in records if r.page_id == 3] == ["urn:page:3"]
+    sha = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    got = Counter(tuple(r) for r in warc.archive_digest(pages).collect())
+    assert got == {(1, 8, sha("<p>a</p>"), "response", None): 3, (None, 8, sha("<p>b</p>"), "response", None): 2, (3, 8, sha("<p>c</p>"), "response", None): 1, (2, 8, sha("<p>c</p>"), "revisit", 3): 1, (4, 0, sha(""), "response", None): 1}
+    good = warc.record_bytes(7, "http://x/", b"body", None)
+    for bad in (good.replace(b"body", b"bodY"), good.replace(b"Length: 4", b"Length: 3"), good[:-6]):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+
+
 def test_warc_is_standard_zstd():
     records = [warc.record_bytes(i, f"http://x/{i}", b"<html>" + b"body text %d " % i * 20, None) for i in range(200)]
     d = warc.train_dictionary(records, 4096)
