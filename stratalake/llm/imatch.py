@@ -3,28 +3,50 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from stratalake.core.storage import materialize
-from stratalake.llm.words import batches_of, hashed_words, mix64
+from stratalake.llm.words import batches_of, hashed_words, mix64, powers
 
 #: A term is in the lexicon if the share of documents that hold it lies in this band. Documents of w distinct words on
 #: average have at most w / LOW_SHARE such terms, however many documents there are: that bounds what is broadcast.
 LOW_SHARE, HIGH_SHARE = 0.0005, 0.2
 #: Each subset keeps a term of the lexicon by chance; subset k keeps 2 ** -(k % LEVELS + 1) of the terms.
-SUBSETS, LEVELS = 128, 8
-#: Ranges of ids at most: the driver holds a row for each, so beyond this many ranges they become larger.
-MAX_RANGES = 8192
-#: Hexadecimal digits of a subset's signature.
-DIGITS = 4
-
-_SEEDS = mix64(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LIMITS = np.array([(1 << 32) >> (k % LEVELS + 1) for k in range(SUBSETS)], dtype=np.uint64)
+SUBSETS, LEVELS = 160, 10
+#: Ranges of ids at most: the driver holds some rows for each. Beyond that the ranges become larger; a task goes through its
+#: range row by row, so it needs more time and disk for it, not more memory.
+MAX_RANGES = 1 << 16
+#: Rows that are drawn for each range to find its bounds.
+SAMPLES = 16
+#: Distinct terms of a document that are looked at together.
+TERMS = 4096
+
+
+def _fields() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each subset the bits of a term's hashes that have to be 0: which hash, where they begin, and a mask. No two
+    subsets share a bit."""
+    hashes, shifts, masks = [], [], []
+    number = used = 0
+    for k in range(SUBSETS):
+        bits = k % LEVELS + 1
+        if used + bits > 64:
+            number, used = number + 1, 0
+        hashes.append(number)
+        shifts.append(used)
+        masks.append((1 << bits) - 1)
+        used += bits
+    return np.array(hashes), np.array(shifts, dtype=np.uint64)[:, None], np.array(masks, dtype=np.uint64)[:, None]
+
+
+_HASH, _SHIFT, _MASK = _fields()
+_SEEDS = mix64(np.arange(1, _HASH[-1] + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,9 +89,10 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW_SHARE, hig
 
 
 def signatures(words: np.ndarray, text: bytes, lexicon: np.ndarray) -> np.ndarray:
-    """SUBSETS signatures; 0 for a subset that holds none of the document's terms.
+    """SUBSETS signatures of 32 bits; 0 for a subset that holds none of the document's terms.
 
-    A document without terms of the lexicon is taken by all its terms, one without words by its text as a whole."""
+    A signature is a hash of the sequence of the document's sorted distinct terms in the subset. A document without terms of
+    the lexicon is taken by all its terms, one without words by its text as a whole."""
     distinct = np.unique(words)
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, distinct), len(lexicon) - 1)
@@ -79,14 +102,28 @@ def signatures(words: np.ndarray, text: bytes, lexicon: np.ndarray) -> np.ndarra
     if not len(known):
         known = distinct
     if not len(known):
-        known = np.frombuffer(hashlib.sha256(text).digest()[:8], dtype=np.uint64)
-    mixed = mix64(known[None, :] ^ _SEEDS[:, None])
-    kept = (mixed >> np.uint64(32)) < _LIMITS[:, None]
-    if not len(distinct):
-        kept[:] = True
-    # The terms are sorted and distinct, so the sum of their scrambled hashes stands for the sequence.
-    total = np.where(kept, mixed, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-    return np.where(kept.any(axis=1), mix64(total) % np.uint64(16**DIGITS - 1) + np.uint64(1), np.uint64(0))
+        whole = np.frombuffer(hashlib.sha256(text).digest()[:8], dtype=np.uint64)
+        return _short(np.repeat(whole, SUBSETS))
+    subset, term = [], []
+    for at in range(0, len(known), TERMS):
+        mixed = mix64(known[None, at : at + TERMS] ^ _SEEDS[:, None])
+        k, t = np.nonzero(((mixed[_HASH] >> _SHIFT) & _MASK) == 0)
+        subset.append(k)
+        term.append(known[at + t])
+    k, terms = np.concatenate(subset), np.concatenate(term)
+    if len(subset) > 1:
+        order = np.argsort(k, kind="stable")
+        k, terms = k[order], terms[order]
+    out = np.zeros(SUBSETS, dtype=np.uint64)
+    if len(k):
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        place = np.arange(len(k)) - np.repeat(begin, np.diff(np.append(begin, len(k))))
+        out[k[begin]] = _short(np.add.reduceat(mix64(terms) * powers(int(place.max()) + 1)[place], begin))
+    return out
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes) % np.uint64(2**32 - 1) + np.uint64(1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -96,34 +133,49 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def as_text(signature: np.ndarray) -> str:
-    return "".join(f"{int(x):0{DIGITS}x}" for x in signature)
+    """Eight hexadecimal digits for each subset."""
+    return signature.astype(">u4").tobytes().hex()
 
 
 def _in_ranges(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int) -> DataFrame:
-    """All rows in ranges of id, descending within each, and with each range the rows of the next lower range's highest id."""
+    """All rows in ranges of (id, hash of the text, row), descending within each, and with each range the row that comes
+    after its last one: the first of the next lower range.
+
+    The bounds are quantiles of drawn rows, so a frequent id, or a third of all rows without one, fills several ranges; the
+    row's number tells even equal rows apart."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("id"))
-    n = ids.count()
+    kind = docs.schema[id_col].dataType
+    ident = F.col(id_col).cast("long" if isinstance(kind, IntegralType) else "string").alias("ident")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), ident, F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keys = materialize(own.select("ident", "hash", "row"), "imatch-keys")
+    n = keys.count()
     pieces = min(max(1, n // rows_per_range), MAX_RANGES)
-    cuts = sorted({int(x) for x in ids.where("id IS NOT NULL").approxQuantile("id", [i / pieces for i in range(1, pieces)], 0.2 / pieces)}) if pieces > 1 else []
-    table = F.array(*[F.lit(c) for c in cuts]).cast("array<long>") if cuts else F.lit(None).cast("array<long>")
-    # How many cuts lie at or below the id; null ids come after the lowest.
-    rng = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(table, lambda c: c <= F.col("id"))) if cuts else F.lit(0))
-    tops = ids.withColumn("rng", rng).groupBy("rng").agg(F.max("id").alias("top"), F.count("*").alias("n")).collect()
-    tops = sorted(((r["rng"], r["top"]) for r in tops))
+    draw = F.shiftrightunsigned(F.xxhash64("hash", "row"), 11) / float(2**53)
+    drawn = keys.where(draw < F.lit(min(1.0, SAMPLES * pieces / max(1, n)))).collect() if pieces > 1 else []
+    in_order = sorted(drawn, key=lambda r: (r["ident"] is not None, 0 if r["ident"] is None else r["ident"], r["hash"], r["row"]))
+    cuts = [in_order[len(in_order) * i // pieces] for i in range(1, pieces)] if in_order else []
+    cuts = [c for i, c in enumerate(cuts) if not i or c["row"] != cuts[i - 1]["row"]]
+    rng = F.lit(0)
+    if cuts:
+        fields = f"ident:{'bigint' if isinstance(kind, IntegralType) else 'string'},hash:bigint,row:bigint"
+        table = F.from_json(F.lit(json.dumps([{k: v for k, v in c.asDict().items() if v is not None} for c in cuts])), f"array<struct<{fields}>>")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        # How many cuts lie at or below the row, by bisection.
+        below = lambda at, s: (at + s <= len(cuts)) & (F.element_at(table, F.least(at + s, F.lit(len(cuts)))) <= F.struct("ident", "hash", "row"))
+        rng = F.aggregate(steps, F.lit(0), lambda at, s: F.when(below(at, s), at + s).otherwise(at))
+    tops = keys.withColumn("rng", rng).groupBy("rng").agg(F.max(F.struct("ident", "hash", "row"))["row"].alias("top")).collect()
+    tops = sorted((r["rng"], r["top"]) for r in tops)
     if not tops:
-        return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("rng"), F.lit(False).alias("border"))
-    # The range that comes after each range in descending order is the next lower one; after the lowest, the highest.
-    over = {tops[i][0]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
-    border = [(rng, top, over[rng]) for rng, top in tops]
-    known = spark.createDataFrame(border, "b_rng int, b_top long, b_over int")  # a row for each range
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rng", rng.cast("int"))
-    copies = own.join(F.broadcast(known), (F.col("rng") == F.col("b_rng")) & F.col("id").eqNullSafe(F.col("b_top")))
-    # Of many rows with the border's id only the one that sorts first is used; the rest stay behind.
-    first = copies.groupBy("b_over").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("t"), F.first("id").alias("id"))
-    borders = first.select("id", F.col("t.text").alias("text"), F.col("b_over").alias("rng"), F.lit(True).alias("border"))
-    # A partition for each range; -1 is the range of null ids.
-    return own.withColumn("border", F.lit(False)).unionByName(borders).repartitionById(len(tops), F.col("rng") - F.lit(tops[0][0])).sortWithinPartitions("rng", "border", F.desc_nulls_last("id"), F.asc_nulls_first("text"))
+        return own.select("id", "text", F.lit(0).alias("rng"), F.lit(False).alias("border"))
+    # The first row of a range comes after the last one of the next higher range; that of the highest after the lowest's.
+    border = [(rng, top, tops[(i + 1) % len(tops)][0]) for i, (rng, top) in enumerate(tops)]
+    known = spark.createDataFrame(border, "b_rng int, b_row long, b_over int")  # a row for each range
+    own = own.withColumn("rng", rng.cast("int"))
+    copies = own.join(F.broadcast(known), (F.col("rng") == F.col("b_rng")) & (F.col("row") == F.col("b_row"))).select("id", "text", "ident", "hash", "row", F.col("b_over").alias("rng"), F.lit(True).alias("border"))
+    every = own.withColumn("border", F.lit(False)).unionByName(copies)
+    # A partition for each range.
+    laid = every.repartitionById(tops[-1][0] + 1, F.col("rng")).sortWithinPartitions("rng", "border", F.desc_nulls_last("ident"), F.desc("hash"), F.desc("row"))
+    return laid.select("id", "text", "rng", "border")
 
 
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW_SHARE, high: float = HIGH_SHARE, rows_per_range: int = 8192) -> DataFrame:
@@ -136,8 +188,8 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low:
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next document in
     descending order of id, or all of it; after the last comes the first. A single document is its own next. Documents of
-    equal id follow each other by text; a null id comes last. Null texts count as empty. An empty table gives an empty
-    result; other columns are not read.
+    equal id follow each other by descending XXH64 of the text; null ids come last. Ids that are no integers are ordered as
+    strings. Null texts count as empty. An empty table gives an empty result; other columns are not read.
     """
     words = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col, low, high))
     kind = docs.schema[id_col].dataType.simpleString()

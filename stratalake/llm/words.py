@@ -28,6 +28,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def powers(n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2 ** 64."""
+    return _power_tables(n)[0][:n]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -340,6 +340,76 @@ def test_imatch(odd_docs, no_docs, spark):
     assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def brute_imatch(docs, low, high):
+    """Of (id, text) in descending order: the fingerprints, those of the edited texts, and the likenesses, by plain loops."""
+    from stratalake.llm.words import hashed_words
+
+    whole, mask = 2**64, 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        return x ^ x >> 31
+
+    terms = lambda t: {int(h) for h in hashed_words([t.encode()])[0]}
+    df = Counter(h for _, t in docs for h in terms(t))
+    kept = {h for h, n in df.items() if low * len(docs) <= n <= high * len(docs)}
+    seeds = [mix(k * 0x9E3779B97F4A7C15 % whole) for k in range(1, 64)]
+
+    def signature(text):
+        own = terms(text) & kept or terms(text)
+        if not own:
+            h = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")
+            return [mix(h) % (2**32 - 1) + 1] * imatch.SUBSETS
+        out, number, used = [], 0, 0
+        for k in range(imatch.SUBSETS):
+            bits = k % imatch.LEVELS + 1
+            number, used = (number + 1, 0) if used + bits > 64 else (number, used)
+            mine = [h for h in sorted(own) if not mix(h ^ seeds[number]) >> used & (1 << bits) - 1]
+            total = sum(mix(h) * pow(0x9E3779B97F4A7C15, i, whole) for i, h in enumerate(mine)) & mask
+            out.append(mix(total) % (2**32 - 1) + 1 if mine else 0)
+            used += bits
+        return out
+
+    def alike(a, b):
+        either = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in either) / len(either) if either else float(a == b)
+
+    rows = []
+    text = lambda s: "".join(f"{x:08x}" for x in s)
+    for i, (ident, t) in enumerate(docs):
+        after, cut = docs[(i + 1) % len(docs)][1], len(t) // 2
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = signature(t), signature(edited), signature(after)
+        rows.append((ident, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), round(alike(a, b), 9), round(alike(a, c), 9)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 10_000])
+def test_imatch_against_brute_force(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(imatch, "TERMS", 16)
+    rng = random.Random(21)
+    vocabulary = [f"term{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, ""), (7, texts[0]), (61, "!!! ..."), (62, texts[5])] + [(None, texts[1])] * 9 + [(None, t) for t in texts[10:16]]
+    signed = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed[r[1]]), reverse=True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: str(r)
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.imatch(docs, low=0.05, high=0.5, rows_per_range=rows_per_range).collect()), key=key)
+    assert got == sorted(brute_imatch(order, 0.05, 0.5), key=key)
+    as_strings = imatch.imatch(docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"), rows_per_range=rows_per_range)
+    assert as_strings.count() == len(rows) and dict(as_strings.dtypes)["doc_id"] == "string"
+
+
+def test_imatch_many_rows_without_an_id(spark):
+    hot = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "IF(id % 2 = 0, 'equal rows', concat('other ', id)) AS text")
+    laid = imatch._in_ranges(hot, "doc_id", "text", 1000)
+    sizes = [r["count"] for r in laid.where("NOT border").groupBy("rng").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 4000 and sum(sizes) == 20_000
+    assert laid.where("border").count() == len(sizes)
+
+
 def test_imatch_frequencies(odd_docs):
     from stratalake.llm.words import hashed_words
 
