@@ -171,6 +171,81 @@ def test_mix(odd_docs, no_docs):
     assert apportion.mix_sources(no_docs).count() == 0
 
 
+def test_targets_and_seats_of_many_sources(spark):
+    # As Spark aggregates, against the plain versions.
+    rng = random.Random(17)
+    for trial in range(3):
+        words = [rng.choice([0, 1, 5, 40, 900, 20_000, 300_000]) * rng.randint(1, 9) for _ in range(60)]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(words))]
+        table = spark.createDataFrame([(i, w, float(x)) for i, (w, x) in enumerate(zip(words, weights))], "rank long, words long, weight double")
+        got = apportion.source_targets(table, 3.0).orderBy("rank").collect()
+        want = apportion.capped_targets(words, weights)
+        assert [r.target for r in got] == pytest.approx(want)
+        block = max(1, sum(words) // (37, 400, 8192)[trial])
+        with_most = apportion.source_targets(table, 3.0).withColumn("most", (3 * table["words"] / block).cast("long"))
+        n = round(sum(want) / block)
+        seats = [r.seats for r in apportion.source_seats(with_most, n).orderBy("rank").collect()]
+        assert seats == apportion.sainte_lague([r.target for r in got], n, [3 * w // block for w in words])
+    equal = spark.createDataFrame([(i, 100, 1.0, 100.0, 50) for i in range(7)], "rank long, words long, weight double, target double, most long")
+    assert [r.seats for r in apportion.source_seats(equal, 17).orderBy("rank").collect()] == [3, 3, 3, 2, 2, 2, 2]
+
+
+def test_mix_against_brute_force(spark):
+    rng = random.Random(23)
+    rows = [(i, " ".join("w" * rng.randint(1, 30) for _ in range(rng.randint(0, 40))), "en", "a" if i % 3 else rng.choice(["b", "c", None])) for i in range(300)]
+    rows += [(9, "equal rows of one text", "en", "b")] * 25 + [(None, "no id " * 4, "en", "a")] * 10
+    docs = make_docs(spark, rows)
+    got = Counter((r.doc_id, r.source, r.size, r.taken) for r in apportion.mix_sources(docs, shards=4, blocks=200, shard_rows=40).collect())
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    groups = Counter((i, s, t) for i, t, _, s in rows)
+    keyed = spark.createDataFrame([(i, s, t, n) for (i, s, t), n in groups.items()], "id long, source string, text string, n long").selectExpr("*", "xxhash64(id, xxhash64(text), 42) AS mixed", "xxhash64(text) AS tie").selectExpr("*", "xxhash64(mixed, 42) AS deal").collect()
+    names = ["a", "b", "c", None]
+    words = [sum(size(r.text) * r.n for r in keyed if r.source == s) for s in names]
+    target = apportion.capped_targets(words, [5, 2, 1, 5])
+    block = max(1, round(sum(words) / 200))
+    seats = apportion.sainte_lague(target, round(sum(target) / block), [3 * w // block for w in words])
+    want = Counter()
+    for k, s in enumerate(names):
+        own = [r for r in keyed if r.source == s]
+        cells = max(4, -(-sum(size(r.text) > 0 for r in own) // 40))
+        by_cell = {}
+        for r in own:
+            if size(r.text):
+                by_cell.setdefault(r.deal % cells, []).append(r)
+            else:
+                want[r.id, s, 0, 0] += r.n
+        quota = apportion.cell_quotas([sum(size(r.text) * r.n for r in by_cell[c]) for c in sorted(by_cell)], target[k], seats[k], block)
+        for c, q in zip(sorted(by_cell), quota):
+            there = sorted(by_cell[c], key=lambda r: (r.mixed, r.id is not None, r.id or 0, size(r.text), r.tie))
+            length = sum(size(r.text) * r.n for r in there)
+            picked = [0] * length
+            numbers = spark.range((length - 1) // block + 1).selectExpr("id AS b", f"xxhash64({'CAST(NULL AS STRING)' if s is None else repr(s)}, {c}L, id, 43) AS h").collect()
+            rest = q % length
+            for b in [r.b for r in sorted(numbers, key=lambda r: (r.h, r.b))]:
+                for at in range(b * block, min(length, (b + 1) * block)):
+                    if rest:
+                        picked[at], rest = 1, rest - 1
+            at = 0
+            for r in there:
+                n = size(r.text) * r.n
+                taken = q // length * n + sum(picked[at : at + n])
+                at += n
+                for j in range(r.n):
+                    want[r.id, s, size(r.text), taken // r.n + (j < taken % r.n)] += 1
+    assert got == want
+
+
+def test_mix_equal_rows_without_an_id(spark):
+    hot = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'five words in every row' AS text", "'hot' AS source")
+    some = spark.range(500).selectExpr("id AS doc_id", "concat('other ', repeat('word ', CAST(id % 50 AS INT)), id) AS text", "IF(id % 2 = 0, 'hot', 'cold') AS source")
+    rows = apportion.mix_sources(hot.unionByName(some)).toPandas()
+    assert len(rows) == 20_500 and (rows.taken <= 3 * rows["size"]).all()
+    for _, g in rows.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 1
+    equal = rows[rows.doc_id.isna()]
+    assert equal.taken.max() - equal.taken.min() <= 1
+
+
 # --- 6: SimHash -----------------------------------------------------------------------------------------------------
 
 
