@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalake.core.storage import materialize
 from stratalake.llm import apportion, simhash, splitters, suffixes, toxicity
 from stratalake.llm.queries import fold
+from stratalake.llm.skew import unused
 
 SEED = 42
 
@@ -30,18 +31,19 @@ def benchmark_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sources_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, a part of a time rounded by a seeded draw."""
-    mix = apportion.mix_sources(docs, keyed=True)
-    # Rows of one id, source and text are one row here, so that the join is many-to-one; each takes the mean of their words.
-    same = mix.where("size > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("tie").alias("m_tie")).agg((F.sum("taken") / F.sum("size")).alias("times"))
-    draw = F.shiftrightunsigned(F.xxhash64("m_id", "m_source", "m_tie", F.lit(SEED)), 11) / float(2**53)
-    copies = same.withColumn("copies", F.floor(F.col("times") + draw).cast("int")).where("copies > 0").drop("times")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["m_id"]) & docs["source"].eqNullSafe(copies["m_source"]) & (F.xxhash64(docs["text"]) == copies["m_tie"]))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mix = materialize(apportion.mix_groups(docs), "pipeline-mix")
+    # One row for each id, source and text, so that the join is many-to-one.
+    draw = F.shiftrightunsigned(F.xxhash64("id", "source", "tie", F.lit(SEED)), 11) / float(2**53)
+    times = mix.where("size > 0").withColumn("times", F.floor(F.col("taken") / (F.col("size") * F.col("n")) + draw).cast("int")).where("times > 0")
+    key = unused(docs.columns, "mix_id", "mix_source", "mix_tie", "mix_times", "mix_copy")
+    chosen = times.select("id", "source", "tie", "times").toDF(*key[:4])
+    same = F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").eqNullSafe(F.col(key[1])) & (F.xxhash64("text") == F.col(key[2]))
+    return docs.join(chosen, same).withColumn(key[4], F.explode(F.sequence(F.lit(1), F.col(key[3])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of nearly equal bytes: where each document goes."""
-    return splitters.sampled_splitters(docs, n_shards=8)
+    """Eight shards of nearly equal bytes: the documents with the shard of each and its place there."""
+    return splitters.sampled_splitters(docs, n_shards=8, carry=True)
 
 
 STAGES = [
