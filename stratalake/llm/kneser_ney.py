@@ -18,8 +18,11 @@ ORDER = 4
 #: Entries of the models that are in memory at once. Where the corpus has more, the texts go through the models block by
 #: block; no entry is left out.
 BLOCK_ENTRIES = 2_000_000
-#: Training texts, drawn by a hash, on which the calibration of scores and the rejection are fitted: some so many.
-CALIBRATION_ROWS = 2000
+#: N-grams that a task adds up before it passes them on.
+TASK_ENTRIES = 1 << 21
+#: Training texts, drawn by a hash, on which the calibration of scores and the rejection are fitted, and from which no
+#: n-gram is counted: some so many, but at most a tenth.
+CALIBRATION_ROWS, CALIBRATION_PART = 2000, 0.1
 #: Of the calibration texts of a language, so many in a thousand have a higher cross-entropy than its limit.
 REJECTED_PER_MILLE = 2
 #: Code points are hashed to 16 bits; letters in the basic plane keep theirs.
@@ -85,11 +88,19 @@ def _scored(bounds: np.ndarray, total: int) -> np.ndarray:
     return mask
 
 
-def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def gram_counts(docs: DataFrame, text_col: str, lang_col: str, task_entries: int = TASK_ENTRIES) -> DataFrame:
     """lang, gram and n over all rows with a language, added up within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, (keys, n) in held.items():
+                for at in range(0, len(keys), 1 << 16):
+                    part = keys[at : at + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[at : at + (1 << 16)])], ["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             rows: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -110,10 +121,9 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     else:
                         held[lang] = new, n
                     at = end
-        for lang, (keys, n) in held.items():
-            for at in range(0, len(keys), 1 << 16):
-                part = keys[at : at + (1 << 16)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[at : at + (1 << 16)])], ["lang", "gram", "n"])
+            if sum(len(keys) for keys, _ in held.values()) > task_entries:
+                yield from told()
+        yield from told()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -341,21 +351,22 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     """id, lang_pred, score, bits (a character, under lang_pred) and rejected, for each row of docs.
 
     The language with the lowest cross-entropy a character wins; score is the chance that it is right, fitted by the winner's
-    lead on some calibration_rows training texts that a hash of the id draws. rejected says that the score is under a half,
+    lead on some calibration_rows training texts that a hash of id and text draws; the models don't learn from them. rejected says that the score is under a half,
     or that the text has more bits a character than all but a few calibration texts of that language: likely none of the languages. Texts
     that are null or have no letter get `und`, score 0, no bits, and are rejected. Rows of train without text or language
     teach nothing; without any training row all is `und`. The models keep every n-gram; where they have more than
     block_entries 4-grams, the texts are scored block by block (see learn_blocks) with the same results. Repeated rows give repeated rows; an empty docs an empty result.
     """
     spark = docs.sparkSession
-    n_blocks, blocks = learn_blocks(train, text_col, lang_col, block_entries)
+    known = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    part = min(CALIBRATION_PART, calibration_rows / max(1, known.count()))
+    held_out = F.pmod(F.xxhash64("id", "text", F.lit(7)), F.lit(1 << 20)) < F.lit(part * (1 << 20))
+    drawn = known.where(held_out)
+    n_blocks, blocks = learn_blocks(known.where(~held_out), "text", "lang", block_entries)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not n_blocks:
         return own.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
-    known = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    part = min(1.0, calibration_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
 
     def scored(rows: DataFrame, block: tuple[int, int, CharModels], keep: str) -> DataFrame:
         """The columns keep of rows, which end in the text, and for each the bits of the block's characters under each

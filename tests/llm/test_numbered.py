@@ -461,8 +461,7 @@ def brute_imatch(docs, low, high):
 
 
 @pytest.mark.parametrize("rows_per_range", [7, 10_000])
-def test_imatch_against_brute_force(spark, monkeypatch, rows_per_range):
-    monkeypatch.setattr(imatch, "TERMS", 16)
+def test_imatch_against_brute_force(spark, rows_per_range):
     rng = random.Random(21)
     vocabulary = [f"term{i}" for i in range(300)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(60)]
@@ -477,6 +476,13 @@ def test_imatch_against_brute_force(spark, monkeypatch, rows_per_range):
     assert as_strings.count() == len(rows) and dict(as_strings.dtypes)["doc_id"] == "string"
 
 
+def test_signatures_of_many_terms(monkeypatch):
+    words = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = imatch.signatures(words, b"", np.sort(words[::2]))
+    monkeypatch.setattr(imatch, "TERMS", 100)
+    assert (imatch.signatures(words, b"", np.sort(words[::2])) == whole).all() and (whole > 0).mean() > 0.9
+
+
 def test_imatch_many_rows_without_an_id(spark):
     hot = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "IF(id % 2 = 0, 'equal rows', concat('other ', id)) AS text")
     laid = imatch._in_ranges(hot, "doc_id", "text", 1000)
@@ -717,6 +723,81 @@ def test_language_held_out(spark, sf_dir):
     assert len(held) and (held.lang == held.lang_pred).mean() > 0.95 and r.score.between(0, 1).all()
 
 
+def plain_models(texts):
+    """For each language a function: log2 p(character | three before it), from plain counts of its training texts."""
+    tables = {}
+    for lang, own in texts.items():
+        four = Counter(g for t in own for g in plain_grams(t))
+        levels = [four]
+        for _ in range(3):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        tables[lang] = levels[::-1]
+    letters = len({g for t in tables.values() for g in t[0]}) + 1
+
+    def model(levels):
+        sums = [{} for _ in levels]
+        for k, table in enumerate(levels):
+            for g, c in table.items():
+                n, kinds = sums[k].get(g[:-1], (0, 0))
+                sums[k][g[:-1]] = n + c, kinds + 1
+
+        def p(gram, order):
+            if order == 0:
+                return 1 / letters
+            table = levels[order - 1]
+            ones, twos = (sum(v == k for v in table.values()) for k in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            n, kinds = sums[order - 1].get(gram[:-1], (0, 0))
+            below = p(gram[1:], order - 1)
+            return max(table.get(gram, 0) - d, 0) / n + d * kinds / n * below if n else below
+
+        return lambda gram: math.log2(p(gram, 4))
+
+    return {lang: model(t) for lang, t in tables.items()}
+
+
+def plain_grams(text):
+    padded = "   " + re.sub(r" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text)).lstrip(" ")
+    return [padded[i - 3 : i + 1] for i in range(3, len(padded))]
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(31)
+    syllables = {"aa": ["ba", "na", "la", "ra"], "bb": ["kri", "tso", "la", "mu"], "cc": ["ra", "mu", "zem", "no"]}
+    prose = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, prose(lang := rng.choice("abc") * 2, rng.randint(3, 25)), lang, "s") for i in range(200)] + [(None, prose("aa", 9), "aa", "s"), (None, prose("bb", 9), "bb", "s")]
+    docs = make_docs(spark, rows + [(900, "xqj wvx xqj wvx", None, "s"), (901, "la mu 12", None, "s"), (902, "123 !", "aa", "s")])
+    known = docs.where("lang IS NOT NULL").selectExpr("text", "lang", "pmod(xxhash64(doc_id, text, 7), 1048576) AS h").collect()
+    part = min(0.1, 2000 / len(known)) * (1 << 20)
+    models = plain_models({x: [r.text for r in known if r.lang == x and r.h >= part] for x in ("aa", "bb", "cc")})
+    langs = sorted(models)
+
+    def judged(text):
+        grams = plain_grams(text)
+        bits = sorted((-sum(models[x](g) for g in grams) / len(grams), x) for x in langs)
+        return bits[0][1], bits[0][0], (bits[1][0] - bits[0][0]) * math.sqrt(len(grams))
+
+    seen = [(r.lang, *judged(r.text)) for r in known if r.h < part and any(c.isalpha() for c in r.text)]
+    assert len(seen) > 8
+    a, b = kneser_ney._platt(np.array([x[3] for x in seen]), np.array([float(x[0] == x[1]) for x in seen]))
+    limit = {x: np.quantile([s[2] for s in seen if s[0] == s[1] == x], 0.998) * 1.05 if any(s[0] == s[1] == x for s in seen) else math.inf for x in langs}
+    for r in kneser_ney.identify(docs, docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score, r.bits, r.rejected) == ("und", 0.0, None, True)
+            continue
+        pred, bits, lead = judged(r.text)
+        assert r.lang_pred == pred and r.bits == pytest.approx(bits, rel=1e-3)
+        score = 1 / (1 + math.exp(-(a * lead + b)))
+        assert r.score == pytest.approx(score, abs=5e-3)
+        if abs(bits / limit[pred] - 1) > 1e-3 and abs(score - 0.5) > 1e-2:
+            assert r.rejected == (score < 0.5 or bits > limit[pred])
+
+
+def test_language_counts_are_passed_on(odd_docs):
+    want = sorted(map(tuple, kneser_ney.gram_counts(odd_docs, "text", "lang").collect()))
+    assert sorted(map(tuple, kneser_ney.gram_counts(odd_docs, "text", "lang", task_entries=5).collect())) == want
+
+
 def test_language_odd_cases(odd_docs, no_docs):
     rows = {r.doc_id: r for r in kneser_ney.identify(odd_docs, odd_docs).collect()}
     assert rows[1].lang_pred == rows[2].lang_pred == rows[3].lang_pred == "und" and rows[1].score == 0
