@@ -985,6 +985,51 @@ def test_url_statistics_over_all_rows(spark):
     assert 50 < url_filter.drawn_urls(own, 2400, 100).count() <= 100
 
 
+def test_url_features_against_plain_python(spark):
+    urls = [None, "", "http://a-b.example.co.uk/x/y.html?k=1&l=2#f", "https://ä.com/12/34", "no scheme 77", "http://h/?&&a", "http://x.org/" + "deep/" * 300]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    base = pages.withColumn("host", url_filter.host_of(pages["url"])).withColumn("path", url_filter.path_of(pages["url"]))
+    for r in url_filter.lexical(base).collect():
+        u, (host, path) = r.url or "", brute_url(r.url)
+        counts = Counter(u)
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        want = {
+            "length": len(u), "host_length": len(host), "path_length": len(path), "depth": sum(p != "" for p in path.split("/")), "labels": len(host.split(".")), "digit_ratio": sum(c in "0123456789" for c in u) / max(1, len(u)),
+            "entropy": -sum(n / len(u) * math.log2(n / len(u)) for n in counts.values()), "params": sum(p != "" for p in query.split("&")), "query_length": len(query), "hyphens": host.count("-"), "has_extension": bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path)),
+        }
+        for name, value in want.items():
+            assert r[name] == pytest.approx(float(value), abs=1e-9), (u, name)
+        assert r.tld == host.split(".")[-1] and r.suffix == ".".join(host.split(".")[-2:])
+
+
+def test_url_rules_of_equal_length(spark):
+    from pyspark.sql import functions as F
+
+    name, verdict = url_filter.rule_of(F.col("host"), F.col("path"), (("allow", "a.org", "/x"), ("block", "a.org", "/x"), ("block", "org", "/")))
+    got = spark.createDataFrame([("a.org", "/xy"), ("b.org", "/x")], "host string, path string").select(name.alias("n"), verdict.alias("v")).collect()
+    assert [tuple(r) for r in got] == [("a.org/x", "allow"), ("org/", "block")]
+
+
+def test_url_training_rows_are_not_told_their_labels(spark):
+    # Suffixes of one URL each tell nothing; a suffix of several tells what its other URLs are.
+    urls = [(f"http://only{i}.com/{'de' if i % 2 else 'fr'}/", 1) for i in range(40)] + [("http://both.com/de/1", 3), ("http://both.com/de/2", 2), ("http://both.com/fr/3", 1)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(u for u, n in urls for _ in range(n))], "page_id long, url string")
+    own = url_filter.labelled_urls(url_filter._ruled(pages, url_filter.RULES, "page_id", "url"))
+    trees = url_filter.learn_trees(own, trees=2)
+    rows = {r.url: r for r in trees.featured(own, own=True).withColumn("fold", url_filter.fold(own["url"])).collect()}
+    rate = 25 / 46
+    assert {round(rows[u].suffix_rate, 9) for u, n in urls[:40]} == {round(rate, 9)} and {rows[u].suffix_count for u, n in urls[:40]} == {0.0}
+    for u, _ in urls[40:]:
+        others = [(n, "/de/" in o) for o, n in urls[40:] if rows[o].fold != rows[u].fold]
+        seen, blocked = 1.25 * sum(n for n, _ in others), 1.25 * sum(n for n, b in others if b)
+        assert rows[u].suffix_rate == pytest.approx((blocked + 5 * rate) / (seen + 5)) and rows[u].suffix_count == pytest.approx(math.log1p(seen))
+
+
+def test_url_trees_on_held_out_urls(spark):
+    right, plain, n = url_filter.held_out_accuracy(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    assert n > 200 and right > plain, (right, plain, n)
+
+
 def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.net/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge_urls(pages).collect()} == {"allow"}
