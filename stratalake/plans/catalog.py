@@ -8,31 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.core.ranks import with_global_rank
-from stratalake.core.session import spread
 from stratalake.functions import text as T
 from stratalake.operators import audits, blocks, chunks, extract, graph, incremental, models, retrieval, views
-from stratalake.plans import sql
+from stratalake.plans import registered, sql
 from stratalake.sources import layout
 
 PHRASE = "of the"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(oracle: str | None) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        _QUERIES[f.__name__] = f
-        if oracle is not None:
-            _SQL[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(found) if name in ("documents", "pages") else found
+_query = registered.query
+table = registered.table
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,9 +621,13 @@ def figure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.text_blocks(table(spark, sf_dir, "documents")).select("id", extract.figure_type(F.col("text")).alias("figure_type"))
 
 
+# The other modules of queries register themselves when they are imported.
+from stratalake.plans import catalog_lookups, catalog_tables  # noqa: E402, F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registered.SQL)
