@@ -90,7 +90,8 @@ def low_confidence(edges: DataFrame, least: float = 0.85, limit: int = 50) -> Da
 
 def best_bitfields(fields: DataFrame) -> DataFrame:
     """fields (register, idx, name, low, high) with kept: of each register's fields the set without overlaps that covers
-    most bits, then holds most fields. Registers are small groups; a pandas group schedules one."""
+    most bits, then holds most fields. A register whose fields don't overlap keeps all; the others, small groups, are
+    scheduled in pandas."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx").reset_index(drop=True)
@@ -106,4 +107,10 @@ def best_bitfields(fields: DataFrame) -> DataFrame:
         pdf["kept"] = pdf["idx"].isin(best[-1][2])
         return pdf[["register", "idx", "name", "low", "high", "kept"]]
 
-    return fields.groupBy("register").applyInPandas(one, "register string, idx int, name string, low int, high int, kept boolean")
+    named = fields.select("register", F.col("idx").cast("int").alias("idx"), "name", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"))
+    before = Window.partitionBy("register").orderBy("low", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    valid = F.coalesce((F.col("low") >= 0) & (F.col("low") <= F.col("high")), F.lit(False))
+    hard = F.max(~valid | F.coalesce(F.col("top") >= F.col("low"), F.lit(False))).over(Window.partitionBy("register"))
+    seen = named.withColumn("top", F.max("high").over(before)).withColumn("hard", hard).drop("top")
+    easy = seen.where("NOT hard").select("register", "idx", "name", "low", "high", F.lit(True).alias("kept"))
+    return easy.unionByName(seen.where("hard").drop("hard").groupBy("register").applyInPandas(one, "register string, idx int, name string, low int, high int, kept boolean"))
