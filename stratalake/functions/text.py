@@ -200,3 +200,56 @@ def safe_div(num: Column, den: Column) -> Column:
 
 def f1(precision: Column, recall: Column) -> Column:
     return safe_div(2 * precision * recall, precision + recall)
+
+
+# Models of chips in documents' names.
+CHIP_MODELS = ((r"cortex[-_ ]]?m(\d+\+?)", "cortex-m$1"), (r"cortex[-_ ]]?r(\d+)", "cortex-r$1"), (r"cortex[-_ ]]?a(\d+)", "cortex-a$1"), (r"pcie[-_ ]?subsystem", "pcie-subsystem"), (r"pcie[-_ ]?spec", "pcie-subsystem"), (r"stm32f(\d+)", "stm32f$1"))
+# Other names of kinds in golden files.
+KIND_NAMES = {
+    "registers": "register", "register": "register", "bitfields": "bitfield", "bitfield": "bitfield", "pins": "pin", "pin": "pin", "signals": "signal", "signal": "signal", "interfaces": "interface", "interface": "interface", "parameters": "parameter",
+    "parameter": "parameter", "timing": "parameter", "interrupts": "interrupt", "interrupt": "interrupt", "memory_maps": "memory_map", "memory_map": "memory_map", "requirements": "requirement", "requirement": "requirement", "errata": "errata",
+}
+
+
+def chip_model(name: Column) -> Column:
+    """The chip's model that a document's name holds; null without one. The first pattern that fits counts."""
+    low = F.lower(name)
+    found = [blank_to_null(F.regexp_extract(low, p, 0)) for p, _ in CHIP_MODELS]
+    plain = [F.replace(F.replace(F.regexp_replace(f, p, r), F.lit(" "), F.lit("")), F.lit("_"), F.lit("-")) for f, (p, r) in zip(found, CHIP_MODELS, strict=True)]
+    return F.coalesce(*plain)
+
+
+def section_title(name: Column) -> Column:
+    """A section's name for display: Chapter and Appendix by number alone, page numbers and dots at the end gone, a space
+    after the number."""
+    s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
+    s = F.trim(F.regexp_replace(s, r"(?i)^Chapter\s+(\d+)\s*(.*)$", "$1 $2"))
+    letter = F.regexp_extract(s, r"(?i)^Appendix\s+([A-Z])\s*(.*)$", 1)
+    s = F.when(letter != "", F.trim(F.concat(F.upper(letter), F.lit(" "), F.regexp_extract(s, r"(?i)^Appendix\s+([A-Z])\s*(.*)$", 2)))).otherwise(s)
+    glued = r"^(\d+)([A-Za-z][A-Za-z ]+?)(?:[. ]*\d+)$"
+    rest = F.regexp_replace(s, r"(\D)\.{2,}\s*\d+$", "$1")
+    rest = F.regexp_replace(rest, r"(\bEL\d|[A-Za-z)])\.(\d+)$", "$1")
+    rest = F.regexp_replace(rest, r"^(\d+(?:\.\d+)*)(?=[A-Za-z\u4e00-\u9fff])", "$1 ")
+    return F.when(s.rlike(glued), F.concat(F.regexp_extract(s, glued, 1), F.lit(" "), F.trim(F.regexp_extract(s, glued, 2)))).otherwise(rest)
+
+
+def spaced_numbers(text: Column) -> Column:
+    """A space after section numbers that open a line."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(^|\n)(\d+(?:\.\d+)+)(?=[A-Za-z\u4e00-\u9fff])", "$1$2 ")
+
+
+def golden_name(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
+def golden_kind(c: Column) -> Column:
+    """A kind's canonical name: lower case with underscores, plural and other names undone."""
+    key = F.regexp_replace(F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_")), "[^a-z0-9_]+", "_")
+    known = F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, key), key)
+
+
+def box_area(box: Column) -> Column:
+    """The area of [left, top, right, bottom]; 0 for boxes that are turned around or not whole."""
+    side = lambda a, b: F.greatest(F.get(box, F.lit(b)) - F.get(box, F.lit(a)), F.lit(0.0))
+    return F.when(F.size(box) == 4, side(0, 2) * side(1, 3)).otherwise(F.lit(0.0))

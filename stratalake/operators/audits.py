@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalake.functions.text import f1, safe_div
+from stratalake.functions.text import KIND_NAMES, f1, golden_kind, golden_name, safe_div
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -114,3 +117,82 @@ def best_bitfields(fields: DataFrame) -> DataFrame:
     seen = named.withColumn("top", F.max("high").over(before)).withColumn("hard", hard).drop("top")
     easy = seen.where("NOT hard").select("register", "idx", "name", "low", "high", F.lit(True).alias("kept"))
     return easy.unionByName(seen.where("hard").drop("hard").groupBy("register").applyInPandas(one, "register string, idx int, name string, low int, high int, kept boolean"))
+
+
+def golden_entities(files: DataFrame) -> DataFrame:
+    """kind, name, doc_id of golden files (path, content): a list whose kind the file's name tells (expected_<kind>.json), an
+    object with a kind and a name, or an object of lists by kind. Names may be strings or objects; entries without one, and
+    files that aren't JSON, are left out."""
+
+    def items_of(path: str, content: str) -> list[tuple]:
+        try:
+            data = json.loads(content)
+        except ValueError:
+            return []
+        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        if isinstance(data, list):
+            pairs = [(stem.removeprefix("expected_"), x) for x in data] if stem.startswith("expected_") else []
+        elif not isinstance(data, dict):
+            pairs = []
+        elif "kind" in data and ("name" in data or "symbol" in data):
+            pairs = [(str(data["kind"]), data)]
+        else:
+            pairs = [(k, x) for k, v in data.items() for x in (v if isinstance(v, list) else [v])]
+        out = []
+        for kind, x in pairs:
+            fields = x if isinstance(x, dict) else {"name": x} if isinstance(x, str) else {}
+            name = next((fields[c] for c in ("name", "symbol", "qualified_name", "id") if fields.get(c)), None)
+            if name:
+                out.append((kind, str(name), None if fields.get("doc_id") is None else str(fields["doc_id"])))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in items_of(p, c or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["kind", "name", "doc_id"])
+
+    found = files.select("path", F.col("content").cast("string")).mapInArrow(run, "kind string, name string, doc_id string")
+    known = found.withColumn("kind", golden_kind(F.col("kind")))
+    return known.where(F.col("kind").isin(*GOLDEN_KINDS))
+
+
+#: Kinds that golden files can hold.
+GOLDEN_KINDS = tuple(dict.fromkeys(KIND_NAMES.values()))
+
+
+def golden_matches(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """expected (kind, name, doc_id) and actual rows with what they are: found, missing or unexpected. Rows are compared by
+    kind, name and document where the golden one names a document, else by kind and name; actual rows of other documents
+    than those that a kind's golden rows name don't count."""
+    e = expected.select("kind", golden_name(F.col("name")).alias("key"), "doc_id").distinct()
+    docs = e.where("doc_id IS NOT NULL").select("kind", "doc_id").distinct()
+    scoped = docs.select("kind").distinct().withColumn("scoped", F.lit(True))
+    a = actual.select("kind", golden_name(F.col("name")).alias("key"), "doc_id").distinct().join(e.select("kind").distinct(), "kind", "left_semi")
+    a = a.join(scoped, "kind", "left").join(docs.withColumn("own", F.lit(True)), ["kind", "doc_id"], "left").where("scoped IS NULL OR own").drop("scoped", "own")
+    exact = a.where("doc_id IS NOT NULL").withColumn("hit", F.lit(True))
+    loose = a.select("kind", "key").distinct().withColumn("hit", F.lit(True))
+    told = e.where("doc_id IS NOT NULL").join(exact, ["kind", "key", "doc_id"], "left").unionByName(e.where("doc_id IS NULL").join(loose, ["kind", "key"], "left").select("kind", "key", "doc_id", "hit"))
+    rows = told.select("kind", "key", "doc_id", F.when(F.col("hit"), "found").otherwise("missing").alias("state"))
+    # A kind all of whose golden rows name documents is compared by document throughout.
+    strict = e.groupBy("kind").agg((F.count_if(F.col("doc_id").isNull()) == 0).alias("strict"))
+    by_doc = a.join(strict.where("strict").select("kind"), "kind", "left_semi").join(e.where("doc_id IS NOT NULL"), ["kind", "key", "doc_id"], "left_anti")
+    by_name = a.join(strict.where("NOT strict").select("kind"), "kind", "left_semi").join(e.where("doc_id IS NULL").select("kind", "key"), ["kind", "key"], "left_anti")
+    return rows.unionByName(by_doc.unionByName(by_name).select("kind", "key", "doc_id", F.lit("unexpected").alias("state")))
+
+
+def candidate_audit(tables: DataFrame, kinds: list[str], nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For tables (doc_id, id, schemas: the kinds that they match): a row for each document, one for each kind, and the issues
+    (code, doc_id, kind): documents whose tables match nothing, kinds that nothing matches, kinds that match but have no
+    nodes (doc_id, kind)."""
+    matched = tables.select("doc_id", "id", F.explode(F.array_intersect("schemas", F.array(*[F.lit(k) for k in kinds]))).alias("kind"))
+    by_doc = tables.groupBy("doc_id").agg(F.count("*").alias("tables")).join(matched.groupBy("doc_id").agg(F.count("*").alias("hits")), "doc_id", "left").join(nodes.groupBy("doc_id").agg(F.count("*").alias("nodes")), "doc_id", "left").fillna(0)
+    per_kind = matched.groupBy("kind").agg(F.count("*").alias("matched"), F.countDistinct("doc_id").alias("docs"))
+    names = tables.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    by_kind = names.join(per_kind, "kind", "left").join(nodes.groupBy("kind").agg(F.count("*").alias("nodes")), "kind", "left").fillna(0).withColumn("rate", safe_div(F.col("nodes"), F.col("matched")))
+    none = F.lit(None).cast("string")
+    issues = (
+        by_doc.where("hits = 0").select(F.lit("l2.table_no_schema_hits").alias("code"), F.col("doc_id").cast("string").alias("doc_id"), none.alias("kind"))
+        .unionByName(by_kind.where("matched = 0").select(F.lit("l2.schema_no_candidates").alias("code"), none.alias("doc_id"), "kind"))
+        .unionByName(by_kind.where("matched > 0 AND nodes = 0").select(F.lit("l2.matched_but_no_nodes").alias("code"), none.alias("doc_id"), "kind"))
+    )
+    return by_doc, by_kind, issues

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalake.core.storage import materialize
-from stratalake.functions.text import blank_to_null, prefix_matches, resolver_key
+from stratalake.functions.text import blank_to_null, resolver_key
 
 
 def _steps(edges: DataFrame, directed: bool, kinds: list[str] | None) -> DataFrame:
     e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
     out = e.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    return (out if directed else out.unionByName(e.select(F.col("dst").alias("at"), F.col("src").alias("to")))).distinct()
+    # Not made distinct here: a walk from a few roots meets few of the edges.
+    return out if directed else out.unionByName(e.select(F.col("dst").alias("at"), F.col("src").alias("to")))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int, directed: bool = False, kinds: list[str] | None = None) -> DataFrame:
@@ -72,7 +73,8 @@ def quota_sample(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFr
     k = kinds.count()  # kinds are a closed set of names
     quota = max(1, limit // max(1, k))
     order = Window.partitionBy("kind").orderBy("name", "id")
-    ranked = nodes.withColumn("rn", F.row_number().over(order))
+    # No more than limit rows of a kind count, which each task prunes to before anything is moved.
+    ranked = nodes.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit)
     ranked = ranked.withColumn("round", F.when(F.col("rn") <= quota, 0).otherwise(1))
     kept = ranked.orderBy("round", "kind", "rn").limit(limit)
     ids = kept.select("id")
@@ -91,19 +93,29 @@ def merge_nodes(observations: DataFrame) -> DataFrame:
     state changes only to a higher rank."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TRUST_RANK.items() for x in kv]), F.col("status")), F.lit(1))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("seq")))
-    gathered = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", c))), lambda x: x[c])))
-    return observations.groupBy("id").agg(
+    plain = observations.groupBy("id").agg(
         first("name").alias("name"), first("summary").alias("summary"), F.max_by("hash", "seq").alias("hash"),
         F.max_by("status", F.struct(rank, -F.col("seq"))).alias("status"), F.max("confidence").alias("confidence"),
-        gathered("aliases").alias("aliases"), gathered("block_ids").alias("block_ids"), F.count("*").alias("observations"),
+        F.count("*").alias("observations"),
     )
 
+    def united(c: str) -> DataFrame:
+        # Each value of a node once, before the node's values are collected.
+        each = observations.select("id", "seq", F.posexplode(c).alias("pos", "value")).groupBy("id", "value").agg(F.min(F.struct("seq", "pos")).alias("at"))
+        return each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias(c))
+
+    none = F.array().cast("array<string>")
+    out = plain.join(united("aliases"), "id", "left").join(united("block_ids"), "id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("aliases", "block_ids")}).select("id", "name", "summary", "hash", "status", "confidence", "aliases", "block_ids", "observations")
+
 
 def merge_edges(observations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row for each (src, dst, kind): the highest confidence, extractors in order of appearance joined by +, and how
     often it was seen. With nodes, edges to missing ends go."""
-    names = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "extractor"))), lambda x: x["extractor"]))
-    merged = observations.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.array_join(names, "+").alias("extractor"), F.count("*").alias("observations"))
+    # First each extractor of an edge, so that what is collected are a few names, however often the edge was seen.
+    each = observations.groupBy("src", "dst", "kind", "extractor").agg(F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), F.count("*").alias("n"))
+    names = F.transform(F.sort_array(F.collect_list(F.when(F.col("extractor").isNotNull(), F.struct("seq", "extractor")))), lambda x: x["extractor"])
+    merged = each.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.array_join(names, "+").alias("extractor"), F.sum("n").alias("observations"))
     if nodes is not None:
         ids = nodes.select("id")
         merged = merged.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -159,9 +171,18 @@ def belongs_to(entities: DataFrame, sections: DataFrame, modules: DataFrame) ->
 
 
 def contained_in(maps: DataFrame, registers: DataFrame) -> DataFrame:
-    """register -> memory map in the same document whose base is a prefix of the register's address."""
-    m = maps.select("doc_id", F.col("id").alias("map_id"), F.col("address").alias("base"))
-    return registers.join(m, "doc_id").where(prefix_matches(F.col("base"), F.col("address"))).select(F.col("id").alias("src"), F.col("map_id").alias("dst"), F.lit("contained_in").alias("kind"))
+    """register -> memory map in the same document whose base is a prefix of the register's address (see prefix_matches).
+
+    An equi-join on the document, the number of significant digits and these digits: a register has a row for each number
+    that its address has digits for, four at least."""
+    digits = lambda c: F.regexp_replace(F.lower(c), "^0x", "")
+    base = digits(F.col("address"))
+    n = F.greatest(F.lit(4), F.length(base) - F.length(F.regexp_extract(base, "0*$", 0)))
+    m = maps.where(F.length(base) >= 4).select("doc_id", F.col("id").alias("dst"), n.alias("n"), F.substring(base, F.lit(1), n).alias("head"))
+    of = registers.where(F.length(base) >= 4).select("doc_id", F.col("id").alias("src"), base.alias("a"))
+    # A base without four significant digits but more digits than the address still compares what there is.
+    wide = of.select("doc_id", "src", "a", F.explode(F.sequence(F.lit(4), F.greatest(F.lit(16), F.length("a")))).alias("n"))
+    return wide.select("doc_id", "src", "n", F.substring("a", F.lit(1), F.col("n")).alias("head")).join(m, ["doc_id", "n", "head"]).select("src", "dst", F.lit("contained_in").alias("kind"))
 
 
 #: How texts refer to sections, figures and tables, in English and Chinese.
@@ -183,12 +204,20 @@ def references(texts: DataFrame) -> DataFrame:
 
 
 def resolve_references(refs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """references edges (0.85) to targets (id, doc_id, kind, key), same document first; and the references left over."""
-    t = targets.select(F.col("id").alias("dst"), F.col("doc_id").alias("t_doc"), F.col("kind").alias("target_kind"), F.col("key").alias("target_key"))
-    hit = refs.join(t, ["target_kind", "target_key"])
-    best = Window.partitionBy("src", "target_kind", "target_key").orderBy((F.col("doc_id") != F.col("t_doc")).cast("int"), "dst")
-    edges = hit.withColumn("k", F.row_number().over(best)).where("k = 1 AND src <> dst").select("src", "dst", F.lit("references").alias("kind"), F.lit(0.85).alias("confidence"))
-    return edges, refs.join(t, ["target_kind", "target_key"], "left_anti")
+    """references edges (0.85) to targets (id, doc_id, kind, key), same document first; and the references left over.
+
+    In its document a reference goes to the target of its key, else to the first one whose key begins with it (Table 3 to
+    Table 3-1); what finds none there goes to the least target of its key anywhere, one row a key."""
+    t = targets.select(F.col("id").alias("dst"), "doc_id", F.col("kind").alias("target_kind"), F.col("key").alias("key"))
+    # A key's openings, up to a dot or hyphen, are looked up like keys.
+    parts = F.regexp_extract_all("key", F.lit(r"([^.\-]+[.\-]?)"), 1)
+    openings = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.regexp_replace(F.array_join(F.slice(parts, 1, k), ""), r"[.\-]$", ""))
+    known = t.withColumn("target_key", F.explode(F.array_distinct(F.array_append(openings, F.col("key")))))
+    near = known.groupBy("doc_id", "target_kind", "target_key").agg(F.min_by("dst", F.struct((F.col("key") != F.col("target_key")).cast("int"), "key", "dst")).alias("near"))
+    far = t.groupBy("target_kind", F.col("key").alias("target_key")).agg(F.min("dst").alias("far"))
+    found = refs.join(near, ["doc_id", "target_kind", "target_key"], "left").join(far, ["target_kind", "target_key"], "left").withColumn("dst", F.coalesce("near", "far"))
+    edges = found.where("dst IS NOT NULL AND src <> dst").select("src", "dst", F.lit("references").alias("kind"), F.lit(0.85).alias("confidence"))
+    return edges, found.where("dst IS NULL").select(refs.columns)
 
 
 def section_parents(toc: DataFrame) -> DataFrame:

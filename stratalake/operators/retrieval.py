@@ -125,6 +125,19 @@ def fuse(channels: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return best.groupBy(id_col).agg(F.sum(F.col("weight") * (RANK_BASE + 1) / (RANK_BASE + F.col("rank"))).alias("score"))
 
 
+def hybrid_scores(text: DataFrame, semantic: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and score of hits from text channels (keys, channel: text or term, rank) and from vectors (keys, rank, similarity).
+
+    Of each channel the best rank counts, as a weighted reciprocal; a vector's hit counts only from a least similarity on, and
+    adds its confidence."""
+    least = lambda c: F.min(F.when(F.col("channel") == c, F.col("rank")))
+    by_text = text.groupBy(*keys).agg(least("text").alias("text_rank"), least("term").alias("term_rank"))
+    by_vector = semantic.where(F.col("similarity") >= LEAST_SIMILARITY).groupBy(*keys).agg(F.min("rank").alias("semantic_rank"), F.max("similarity").alias("similarity"))
+    part = lambda c, w: F.coalesce(reciprocal_rank(F.col(c), w), F.lit(0.0))
+    score = part("text_rank", 1.0) + part("term_rank", TERM_WEIGHT) + part("semantic_rank", SEMANTIC_WEIGHT) + F.coalesce(semantic_confidence(F.col("similarity")) * CONFIDENCE_WEIGHT, F.lit(0.0))
+    return by_text.join(by_vector, keys, "full").select(*keys, score.alias("score"))
+
+
 def structural_score(query: str, text: Column, section: Column, chunk_type: Column | None = None, headers: Column | None = None, caption: Column | None = None, table_kind: Column | None = None, spans: Column | None = None) -> Column:
     """What a chunk's structure adds to its rank: overlap with the question's terms, headings, tables; front matter loses."""
     q, terms = query.strip().lower(), query_terms(query)

@@ -280,15 +280,14 @@ def graph_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    sql.GRAPH + """, pairs AS (SELECT 'region:' || (c_nationkey % 5) AS from_id, 'customer:' || c_custkey AS to_id FROM customer WHERE c_acctbal > 5000),
+    sql.GRAPH + """, pairs AS (SELECT 'region:' || (c_nationkey % 5) AS from_id, 'customer:' || c_custkey AS to_id FROM customer),
     walk AS (SELECT DISTINCT from_id, from_id AS id, 0 AS length, from_id AS path FROM pairs UNION ALL SELECT from_id, dst, length + 1, path || '>' || dst FROM walk JOIN edges ON src = walk.id WHERE length < 5 AND edges.kind = 'contains')
     SELECT pairs.from_id, to_id, CAST(length AS INTEGER) AS length, path FROM pairs JOIN walk ON walk.from_id = pairs.from_id AND walk.id = to_id"""
 )
 def graph_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest paths from a region to each customer with a high balance, where it lies below that region."""
+    """Shortest paths from a region to each customer, where it lies below that region."""
     _, edges = graph_tables(spark, sf_dir)
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 5000")
-    pairs = rich.select(F.concat(F.lit("region:"), (F.col("c_nationkey") % 5).cast("string")).alias("from_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("to_id"))
+    pairs = table(spark, sf_dir, "customer").select(F.concat(F.lit("region:"), (F.col("c_nationkey") % 5).cast("string")).alias("from_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("to_id"))
     return graph.trace(edges.where("kind = 'contains'"), pairs).withColumn("path", F.array_join("path", ">"))
 
 
@@ -424,11 +423,12 @@ def audit_doc_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.layer_counts(blocks.text_blocks(docs), chunks.line_chunks(docs))
 
 
-@_query("WITH d AS (SELECT doc_id FROM labels), c AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND trim(text) <> '') SELECT 'error' AS severity, 'l0.empty_doc' AS code, doc_id, 1::BIGINT AS n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT 'error', 'l1.empty_doc', doc_id, 1 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c)")
+@_query("WITH d AS (SELECT doc_id FROM labels UNION SELECT o_orderkey FROM orders), c AS (SELECT DISTINCT doc_id FROM documents WHERE trim(text) <> '') SELECT 'error' AS severity, 'l0.empty_doc' AS code, doc_id, 1::BIGINT AS n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT 'error', 'l1.empty_doc', doc_id, 1 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c)")
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents against the layers of the English ones."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return audits.layer_issues(table(spark, sf_dir, "labels"), blocks.text_blocks(docs), chunks.line_chunks(docs))
+    """Labelled documents, and orders as documents that the layers may lack, against the layers of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    named = table(spark, sf_dir, "labels").select("doc_id").unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
+    return audits.layer_issues(named, blocks.text_blocks(docs), chunks.line_chunks(docs))
 
 
 @_query(
@@ -516,13 +516,13 @@ def documents_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH l AS (SELECT l_orderkey, 'line:' || l_orderkey || '.' || l_linenumber AS id, max(l_quantity) AS high FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL)
+    """WITH l AS (SELECT l_orderkey, 'line:' || l_orderkey || '.' || l_linenumber AS id, max(l_quantity) AS high FROM lineitem GROUP BY ALL)
     SELECT 'order:' || o_orderkey AS parent_id, id, high, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY high DESC, id) AS INTEGER) AS position FROM orders JOIN l ON l_orderkey = o_orderkey"""
 )
 def register_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as registers, their returned lines as fields, highest first."""
+    """Orders as registers, their lines as fields, highest first."""
     parent, child = F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")), F.concat(F.lit("line:"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").groupBy(parent.alias("src"), child.alias("id")).agg(F.max("l_quantity").alias("high"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(parent.alias("src"), child.alias("id")).agg(F.max("l_quantity").alias("high"))
     parents = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
     edges = lines.select("src", F.col("id").alias("dst"), F.lit("has_bitfield").alias("kind"))
     return views.with_children(parents, edges, lines.select("id", "high"), "has_bitfield", [F.desc("high"), F.col("id")])
@@ -544,11 +544,11 @@ def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.section_tree(row(n, F.col("n_nationkey").cast("string"), "n_name", 1).unionByName(row(c, number, "c_name", None)).unionByName(deep))
 
 
-@_query("WITH n AS (SELECT l_orderkey AS o_orderkey, l_returnflag AS state, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + l_partkey DESC) AS k FROM lineitem WHERE l_quantity > 45) SELECT o_orderkey, o_orderstatus AS state FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT o_orderkey, state FROM n WHERE k = 1")
+@_query("WITH n AS (SELECT l_orderkey AS o_orderkey, l_returnflag AS state, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + l_partkey DESC, l_returnflag DESC) AS k FROM lineitem) SELECT o_orderkey, o_orderstatus AS state FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT o_orderkey, state FROM n WHERE k = 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as stored rows; their large lines replace them, the last one of each."""
+    """Orders as stored rows; their lines replace them, the last one of each."""
     stored = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"))
-    new = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("state"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("seq"))
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("state"), F.struct((F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("n"), "l_returnflag").alias("seq"))
     return incremental.upsert(stored, new, ["o_orderkey"])
 
 
