@@ -9,14 +9,15 @@ from stratalake.core.storage import materialize
 from stratalake.operators import chunks, extract, graph, incremental
 from stratalake.sources import files
 
-VERSION = "1"
-#: Buckets of document ids: the unit that is overwritten.
-BUCKETS = 64
-LAYERS = ("blocks", "chunks", "nodes")
+VERSION = "2"
+#: Buckets of document ids: the unit that is overwritten. A bucket is written by several tasks.
+BUCKETS, WRITERS = 256, 16
+LAYERS = ("blocks", "chunks", "nodes", "sections", "edges")
 
 
 def layers(found: DataFrame) -> dict[str, DataFrame]:
-    """blocks, chunks and nodes of files (path, content)."""
+    """blocks, chunks, nodes, sections and edges (contains between sections, has_bitfield between registers and fields) of
+    files (path, content)."""
     parsed = materialize(files.parse_files(found), "parsed")
     blocks = parsed.where("id IS NOT NULL").drop("error")
     cut = chunks.segment_chunks(blocks.select("id", "doc_id", "page", "kind", "reading_order", F.coalesce("text", F.lit("")).alias("text"), "section_path"))
@@ -27,7 +28,12 @@ def layers(found: DataFrame) -> dict[str, DataFrame]:
         nodes = one if nodes is None else nodes.unionByName(one)
     prose = extract.text_entities(blocks.where("kind IN ('paragraph', 'heading')")).select("doc_id", "kind", "name", F.array("block_id").alias("source_block_ids"))
     nodes = nodes.unionByName(prose).withColumn("id", F.concat("kind", F.lit(":"), "name", F.lit("#"), "doc_id"))
-    return {"blocks": blocks, "chunks": cut, "nodes": nodes}
+    registers, has = extract.register_graph(tables)
+    registers = registers.select("doc_id", "kind", "name", F.array("table_id").alias("source_block_ids"), "id")
+    headings = blocks.where("kind = 'heading'").select("doc_id", F.col("reading_order").alias("pos"), F.coalesce("heading_level", F.lit(1)).alias("level"), F.col("text").alias("title"), "page", F.col("section_path").alias("path"))
+    sections, contains = extract.section_graph(headings)
+    edges = contains.unionByName(has).withColumn("doc_id", F.substring_index("src", "#", -1))
+    return {"blocks": blocks, "chunks": cut, "nodes": nodes.unionByName(registers), "sections": sections, "edges": edges}
 
 
 def build(spark: SparkSession, root: str, out: str, include: str = "*", exclude: list[str] | None = None) -> DataFrame:
@@ -56,7 +62,7 @@ def build(spark: SparkSession, root: str, out: str, include: str = "*", exclude:
             old = spark.read.schema(new.schema).parquet(f"{out}/{name}").join(buckets, "bucket", "left_semi").join(touched, "doc_id", "left_anti")
             # A bucket that is left empty wouldn't be overwritten; a row without a document keeps its place.
             new = new.unionByName(old.select(new.columns)).unionByName(buckets.select(*[F.col("bucket") if c == "bucket" else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns]))
-        materialize(new, name).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{out}/{name}")
+        materialize(new, name).repartition("bucket", F.pmod(F.xxhash64(*[c for c in new.columns if c in ("id", "chunk_id", "src", "dst")], "doc_id"), F.lit(WRITERS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{out}/{name}")
     now.write.mode("overwrite").parquet(f"{out}/manifest")
     return changes
 
@@ -65,7 +71,16 @@ def read_layer(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{name}").where("doc_id IS NOT NULL").drop("bucket")
 
 
-def link(nodes: DataFrame) -> DataFrame:
-    """Derived edges of the corpus: the same entity in several documents."""
+def link(nodes: DataFrame, blocks: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """Derived edges of the corpus: the same entity in several documents; with blocks and sections also the references in
+    blocks' texts to sections, and to tables and figures by the numbers in their captions."""
     ready = nodes.select("id", "kind", "name", "doc_id", F.lit("").alias("instance"), F.lit(10).alias("priority"), F.lit(0).alias("page"))
-    return graph.merge_edges(graph.alias_edges(ready).select("src", "dst", "kind", "confidence", F.lit("entity_resolver@1").alias("extractor"), F.lit(1).alias("seq")))
+    found = graph.alias_edges(ready).select("src", "dst", "kind", "confidence", F.lit("entity_resolver@1").alias("extractor"), F.lit(1).alias("seq"))
+    if blocks is not None and sections is not None:
+        numbered = F.regexp_extract(F.coalesce("caption", F.lit("")), r"(?i)^\s*(?:table|figure|fig\.?)\s+([0-9A-Z]+(?:[-.][0-9]+){0,2})", 1)
+        targets = sections.select("id", "doc_id", F.lit("section").alias("kind"), F.col("path").alias("key")).where("key IS NOT NULL")
+        targets = targets.unionByName(blocks.where("kind IN ('table', 'figure')").select("id", "doc_id", "kind", numbered.alias("key")).where("key <> ''"))
+        refs = graph.references(blocks.where("kind IN ('paragraph', 'list')").select("id", "doc_id", "text"))
+        told = graph.resolve_references(refs, targets)[0].select("src", "dst", "kind", "confidence", F.lit("xref@1").alias("extractor"), F.lit(2).alias("seq"))
+        found = found.unionByName(told)
+    return graph.merge_edges(found)

@@ -33,6 +33,21 @@ def test_build_is_incremental(spark, tmp_path):
     assert lost.count() == 0
 
 
+def test_build_of_registers_sections_and_links(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    table = "| Reg name | Field | Bits | Access |\n|---|---|---|---|\n| CTL | EN | [0] | R/W |\n| - | MODE | [3:1] | RO |\n| - | Reserved | [7:4] | RO |\n"
+    (src / "a.md").write_text(f"# Core\n\n## Registers\n\n{table}\n\nSee section 1.1 for more.\n\n## Other\n\ntext\n")
+    build.build(spark, str(src), out)
+    layer = lambda name: build.read_layer(spark, out, name)
+    assert sorted((r.kind, r.name) for r in layer("nodes").collect()) == [("bitfield", "EN"), ("bitfield", "MODE"), ("register", "CTL")]
+    assert sorted((r.path, r.name) for r in layer("sections").collect()) == [("1", "Core"), ("1.1", "Registers"), ("1.2", "Other")]
+    names = {r.id: r.name for r in layer("nodes").unionByName(layer("sections"), allowMissingColumns=True).collect()}
+    assert sorted((r.kind, names[r.src], names[r.dst]) for r in layer("edges").collect()) == [("contains", "Core", "Other"), ("contains", "Core", "Registers"), ("has_bitfield", "CTL", "EN"), ("has_bitfield", "CTL", "MODE")]
+    links = build.link(layer("nodes"), layer("blocks"), layer("sections")).collect()
+    assert [(r.kind, names[r.dst]) for r in links] == [("references", "Registers")]
+
+
 def test_section_tree(spark):
     s = spark.createDataFrame([("d", "1", "Intro", 1), ("d", "1.2", "Part", 2), ("d", "1.2", "", None), ("d", "1.2.1.1", "Deep", 3), ("d", "2", "Contents", 1), ("d", "10", "Last", 9)], "doc_id string, number string, name string, page int")
     rows = views.section_tree(s).orderBy("sort_key").collect()

@@ -330,3 +330,33 @@ def test_streaming_equals_batch(spark, tmp_path, sf_dir):
 def test_json_round_trip_of_request_key():
     assert retrieval.request_key("full", None, None) == retrieval.request_key("full", None, None) != retrieval.request_key("search", "t", None)
     assert json.loads("{}") == {}
+
+
+def test_registers_from_odd_tables(spark):
+    make = lambda caption, headers, rows: spark.createDataFrame([("d", "t", caption, headers, rows)], TABLE)
+    # Bits of the field four bits before, overlaps, a register's name in another column, a caption that announces it.
+    t = make("Fields for register: GPIO_CFG", ["Field", "Bits", "Type", "Description"], [["a_bit0", "[3:0]", "RW", ""], ["a_bit4", "", "RW", ""], ["a_bit8", "", "RW", ""], ["wide", "[31:0]", "RO", "all"], ["", "[9]", "", "Sets the mode. More"], ["x", "", "", "no bits"]])
+    regs, fields = extract.registers(t)
+    assert [(r.name, r.width) for r in regs.collect()] == [("GPIO_CFG", 32)]
+    assert sorted((r.name, r.high, r.low, r.kept) for r in fields.collect()) == [("Sets_the_mode", 9, 9, False), ("a_bit0", 3, 0, False), ("a_bit4", 3, 0, False), ("a_bit8", 3, 0, False), ("wide", 31, 0, True)]
+    t = make("Register list of the unit", ["Register", "Register number", "Access"], [["The DMA Control Register", "3", "read-only"], ["nothing here", "4", "RW"], ["UART_STATUS", "0x10", "W1C"]])
+    regs, fields = extract.registers(t)
+    assert fields.count() == 0 and sorted((r.name, r.offset, r.access) for r in regs.collect()) == [("DMA_Control_Register", "0xC", "RO"), ("UART_STATUS", "0x40", "W1C")]
+    t = make(None, ["Reg name", "Name", "Msb", "Lsb", "Access"], [["", "F", "40", "33", "RW"], ["UART_CTRL0", "G", "2", "5", "R"]])
+    assert sorted((r.register, r.name, r.high, r.low) for r in extract.registers(t)[1].collect()) == [("UART_CTRL0", "G", 5, 2)]
+    groups = make(None, ["Interface Group", "Direction", "Description"], [["Clocks", "", ""], ["clk_in", "I", "x"], ["rst_n", "Input", ""], ["axi_req[3:0]", "output", ""]])
+    assert sorted((r.name, r.direction) for r in extract.entities(groups, "signal").collect()) == [("axi_req[3:0]", "OUT"), ("clk_in", "IN"), ("rst_n", "IN")]
+
+
+def test_golden_files_and_encoder_errors(spark):
+    from stratalake.operators import audits, embed
+
+    made = [("x/expected_pins.json", '["CLK", {"symbol": "RST", "doc_id": 3}, {}]'), ("y.json", '{"registers": [{"name": "CTL"}], "other": ["z"], "timing": "t_su"}'), ("z.json", '{"kind": "Memory-Maps", "name": "ROM"}'), ("bad.json", "{"), ("list.json", '["a"]')]
+    rows = audits.golden_entities(spark.createDataFrame(made, "path string, content string")).collect()
+    assert sorted((r.kind, r.name, r.doc_id) for r in rows) == sorted([("pin", "CLK", None), ("pin", "RST", "3"), ("register", "CTL", None), ("parameter", "t_su", None), ("memory_map", "ROM", None)], key=str)
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, text string")
+    none = spark.createDataFrame([], "item_id long, content_hash string, vector array<double>")
+    assert embed.embedded(items, none, lambda t: [[1.0, 2.0]] * len(t), 2).count() == 2
+    for broken in (lambda t: [[1.0]] * len(t), lambda t: []):
+        with pytest.raises(Exception, match="vectors for"):
+            embed.embedded(items, none, broken, 2).collect()
