@@ -344,7 +344,7 @@ def test_registers_from_odd_tables(spark):
     assert fields.count() == 0 and sorted((r.name, r.offset, r.access) for r in regs.collect()) == [("DMA_Control_Register", "0xC", "RO"), ("UART_STATUS", "0x40", "W1C")]
     t = make(None, ["Reg name", "Name", "Msb", "Lsb", "Access"], [["", "F", "40", "33", "RW"], ["UART_CTRL0", "G", "2", "5", "R"]])
     assert sorted((r.register, r.name, r.high, r.low) for r in extract.registers(t)[1].collect()) == [("UART_CTRL0", "G", 5, 2)]
-    groups = make(None, ["Interface Group", "Direction", "Description"], [["Clocks", "", ""], ["clk_in", "I", "x"], ["rst_n", "Input", ""], ["axi_req[3:0]", "output", ""]])
+    groups = make(None, ["Interface Group", "Direction", "Description"], [["Clock/Reset", "", ""], ["clk_in", "I", "x"], ["rst_n", "Input", ""], ["axi_req[3:0]", "output", ""]])
     assert sorted((r.name, r.direction) for r in extract.entities(groups, "signal").collect()) == [("axi_req[3:0]", "OUT"), ("clk_in", "IN"), ("rst_n", "IN")]
 
 
