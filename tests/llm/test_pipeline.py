@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from stratalake.core.storage import materialize
 from stratalake.llm import simhash, toxicity
@@ -60,3 +62,20 @@ def test_rows_without_own_ids(spark):
     lost = spark.createDataFrame([(None, *r[1:]) for r in rows[3:5]], docs.schema)
     # One source: each document's words are taken once, so each row is there once.
     assert sorted(map(tuple, corpus_pipeline.sources_to_weights(spark, lost, "").collect())) == sorted(map(tuple, lost.collect()))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    # Nulls in every column, empty and repeated rows, and columns that are named like those that the stages add.
+    words = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(8)]
+    rows = [(i, t, None, "a" if i % 2 else None, 1) for i, t in enumerate(words)] + [(None, words[2], "en", "a", None), (50, "", None, "a", 0), (51, None, None, None, None), (52, " ", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("copies", "m_id", "kept_id", "mix_id", "mix_times", "row_key_a", "copy", "size", "shard", "carried", "fp", "id", "root"):
+        docs = docs.withColumn(name, F.lit(7))
+    kept = corpus_pipeline.near_copies_go(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == sorted([*words, ""])
+    mixed = corpus_pipeline.sources_to_weights(spark, kept, "")
+    assert mixed.columns == docs.columns and {r.text for r in mixed.collect()} <= set(words) and mixed.where("copies = 7 AND mix_id = 7").count() == mixed.count() > 0
+    out = corpus_pipeline.shards(spark, materialize(mixed, "test-mix"), "")
+    assert out.count() == mixed.count() and {"size_in", "shard_in", "shard", "slot", "text"} <= set(out.columns) and out.where("shard_in = 7").count() == out.count()
+    for stage in (corpus_pipeline.near_copies_go, corpus_pipeline.sources_to_weights, corpus_pipeline.shards):
+        assert stage(spark, docs.where("false"), "").count() == 0
