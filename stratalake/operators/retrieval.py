@@ -65,6 +65,43 @@ def bm25_scores(counts: DataFrame, number: int = 0) -> DataFrame:
     return counts.where(tf > 0).select("doc_id", "chunk_id", tf.alias("tf"), score.alias("score"))
 
 
+def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> str:
+    """Writes an index of chunks (doc_id, chunk_id, text) under path, once for all searches: postings (term, chunk, places of
+    the term), in buckets of terms and sorted by term within files, so that a search reads little beyond its own terms; the
+    chunks' lengths in tokens; their number and mean length."""
+    words = materialize(chunks.select("doc_id", "chunk_id", tokens(F.col("text")).alias("w")), "index-words")
+    places = words.select("doc_id", "chunk_id", F.posexplode("w").alias("at", "term")).groupBy("term", "doc_id", "chunk_id").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    # A frequent term's postings are written by several tasks.
+    spread = places.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
+    spread.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    words.select("doc_id", "chunk_id", F.size("w").cast("long").alias("len")).write.parquet(f"{path}/lengths")
+    lengths = chunks.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+    return path
+
+
+def search_index(spark: SparkSession, path: str, phrase: str, limit: int | None = 20) -> DataFrame:
+    """What bm25_phrase gives, from an index: doc_id, chunk_id, tf and score of the chunks that hold the phrase.
+
+    Only the buckets and the row groups of the phrase's own terms are read; an occurrence is a place where all of its
+    words stand, each at its distance."""
+    words = spark.range(1).select(tokens(F.lit(phrase)).alias("w")).first()["w"]
+    stats = spark.read.parquet(f"{path}/stats").first()
+    own = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string")
+    homes = [r["b"] for r in own.select(F.pmod(F.xxhash64("word"), F.lit(stats["buckets"])).cast("int").alias("b")).distinct().collect()] if words else []
+    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(homes) & F.col("term").isin(words)) if words else spark.read.parquet(f"{path}/postings").where("false")
+    starts = found.join(F.broadcast(own), F.col("term") == F.col("word")).select("doc_id", "chunk_id", F.explode(F.transform("places", lambda p: p - F.col("i"))).alias("start"), "i")
+    whole = starts.groupBy("doc_id", "chunk_id", "start").agg(F.count("*").alias("k")).where(F.col("k") == len(words))
+    counts = materialize(whole.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("tf")), "index-hits")
+    df = counts.count()
+    idf = max(math.log((stats["n"] - df + 0.5) / (df + 0.5)), LEAST_IDF) if stats["n"] else LEAST_IDF
+    told = counts.join(spark.read.parquet(f"{path}/lengths"), ["doc_id", "chunk_id"])
+    score = F.lit(-idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg_len"] or 1.0)))
+    out = told.select("doc_id", "chunk_id", "tf", score.alias("score"))
+    return out if limit is None else out.orderBy("score", "doc_id", "chunk_id").limit(limit)
+
+
 def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20) -> DataFrame:
     """doc_id, chunk_id, tf and score of the chunks that hold the phrase; ties go by id."""
     found = bm25_scores(phrase_counts(chunks, [phrase])[0])

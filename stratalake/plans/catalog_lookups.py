@@ -141,6 +141,23 @@ def chunk_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.chunk_view(document_chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "doc_id", F.lit("text").alias("kind"), F.col("part").alias("page"), none.alias("page_start"), none.alias("page_end"), "text"))
 
 
+@query(
+    sql.CHUNKS + sql.bm25("of the", "_0") + sql.bm25("than", "_1") + sql.bm25("the of the", "_2")
+    + "SELECT 'of the' AS phrase, doc_id, chunk_id, tf, round(score, 6) AS score FROM bm25_0 UNION ALL SELECT 'than', doc_id, chunk_id, tf, round(score, 6) FROM bm25_1 UNION ALL SELECT 'the of the', doc_id, chunk_id, tf, round(score, 6) FROM bm25_2"
+)
+def index_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three phrases, searched in an index that is written once."""
+    from stratalake.core.storage import fresh_path
+    from stratalake.plans.catalog import document_chunks
+
+    path = retrieval.write_index(document_chunks(spark, sf_dir), fresh_path(spark, "index"), buckets=16)
+    out = None
+    for phrase in ("of the", "than", "the of the"):
+        one = retrieval.search_index(spark, path, phrase, None).select(F.lit(phrase).alias("phrase"), "doc_id", "chunk_id", "tf", F.round("score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------------
 
 _NODE_TEXT = "concat_ws(' | ', p_name, CASE WHEN p_brand <> p_name THEN p_brand END, CASE WHEN p_partkey % 2 = 0 THEN p_type END, CASE WHEN p_partkey % 3 = 0 THEN substr(repeat(p_name || ' ', 40), 1, 300) END)"
