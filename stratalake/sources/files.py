@@ -18,8 +18,6 @@ _BLOCK_TYPE = pa.list_(pa.struct([
     ("page", pa.int32()), ("reading_order", pa.int32()), ("kind", pa.string()), ("heading_level", pa.int32()), ("section_path", pa.string()),
     ("text", pa.string()), ("caption", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
 ]))
-#: Rows that a sheet's table keeps, and rows of its text.
-SHEET_ROWS, SHEET_TEXT_ROWS = 5000, 200
 
 
 def discover(spark: SparkSession, root: str, include: str = "*", exclude: list[str] | None = None) -> DataFrame:
@@ -171,8 +169,9 @@ def cell_text(value: str | None) -> str:
     return re.sub(r"^(-?\d+)\.0+$", r"\1", value or "")
 
 
-def xlsx_blocks(content: bytes) -> list[dict]:
-    """For each sheet a heading, a table whose header is the first row that isn't empty, and its rows as text."""
+def xlsx_blocks(content: bytes, sheet_rows: int | None = None, text_rows: int | None = None) -> list[dict]:
+    """For each sheet a heading, a table whose header is the first row that isn't empty, and its rows as text: all of them,
+    or as many as are asked for; then the table's caption ends in how many there are."""
     out: list[dict] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
@@ -200,8 +199,10 @@ def xlsx_blocks(content: bytes) -> list[dict]:
             rows = [r for r in rows if any(c.strip() for c in r)]
             out.append(_block(len(out), "heading", title or f"Sheet{page}", 1, str(page), page))
             if rows:
-                out.append(_block(len(out), "table", "", None, str(page), page, title, rows[0], rows[1 : 1 + SHEET_ROWS]))
-                out.append(_block(len(out), "paragraph", "\n".join("\t".join(r) for r in rows[:SHEET_TEXT_ROWS]), None, str(page), page))
+                kept = rows[1:] if sheet_rows is None else rows[1 : 1 + sheet_rows]
+                caption = title if len(kept) == len(rows) - 1 else f"{title or f'Sheet{page}'} ({len(kept)} of {len(rows) - 1} rows)"
+                out.append(_block(len(out), "table", "", None, str(page), page, caption, rows[0], kept))
+                out.append(_block(len(out), "paragraph", "\n".join("\t".join(r) for r in rows[:text_rows]), None, str(page), page))
     return out
 
 
@@ -241,16 +242,18 @@ def docx_blocks(content: bytes) -> list[dict]:
 PARSERS = {".md": lambda b: markdown_blocks(b.decode("utf-8", "replace")), ".markdown": lambda b: markdown_blocks(b.decode("utf-8", "replace")), ".xlsx": xlsx_blocks, ".docx": docx_blocks}
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """doc_id (the path), error, and a row for each block of the files (path, content) that a parser is known for."""
+def parse_files(files: DataFrame, sheet_rows: int | None = None, text_rows: int | None = None) -> DataFrame:
+    """doc_id (the path), error, and a row for each block of the files (path, content) that a parser is known for; sheet_rows
+    and text_rows bound what sheets give (see xlsx_blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks, errors = [], []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parse = PARSERS.get(re.sub(r"^.*(?=\.)", "", path).lower())
+                bounds = (sheet_rows, text_rows) if parse is xlsx_blocks else ()
                 try:
-                    blocks.append(parse(content) if parse else [])
+                    blocks.append(parse(content, *bounds) if parse else [])
                     errors.append(None if parse else "no parser")
                 except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     blocks.append([])

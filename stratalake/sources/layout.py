@@ -24,10 +24,10 @@ def layout_blocks(docs: DataFrame, id_col: str = "doc_id", json_col: str = "layo
     return out.withColumn("id", F.concat(F.col("doc_id").cast("string"), F.lit("#p"), F.col("page").cast("string"), F.lit("#b"), F.col("reading_order").cast("string")))
 
 
-def pdf_profile(pages: DataFrame) -> DataFrame:
-    """For each document over at most its first 16 pages (doc_id, page, text_chars, images, image_ratio, register_hits,
+def pdf_profile(pages: DataFrame, first_pages: int | None = 16) -> DataFrame:
+    """For each document over its first pages (all of them without a number) (doc_id, page, text_chars, images, image_ratio, register_hits,
     table_hits): characters and images a page, the share that images take, hits, whether there is text or rather a scan."""
-    sums = pages.where("page <= 16").groupBy("doc_id").agg(
+    sums = (pages if first_pages is None else pages.where(F.col("page") <= first_pages)).groupBy("doc_id").agg(
         F.count("*").alias("pages"), F.avg("text_chars").alias("chars_per_page"), F.avg("images").alias("images_per_page"), F.avg("image_ratio").alias("image_ratio"),
         F.sum("register_hits").alias("register_hits"), F.sum("table_hits").alias("table_hits"),
     )
