@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import json
 import math
 import re
 from collections.abc import Iterator
@@ -65,68 +62,38 @@ def bm25_scores(counts: DataFrame, number: int = 0) -> DataFrame:
     return counts.where(tf > 0).select("doc_id", "chunk_id", tf.alias("tf"), score.alias("score"))
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> str:
-    """Writes an index of chunks (doc_id, chunk_id, text) under path, once for all searches: postings (term, chunk, places of
-    the term), in buckets of terms and sorted by term within files, so that a search reads little beyond its own terms; the
-    chunks' lengths in tokens; their number and mean length."""
-    words = materialize(chunks.select("doc_id", "chunk_id", tokens(F.col("text")).alias("w")), "index-words")
-    places = words.select("doc_id", "chunk_id", F.posexplode("w").alias("at", "term")).groupBy("term", "doc_id", "chunk_id").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    # A frequent term's postings are written by several tasks.
-    spread = places.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
-    spread.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    words.select("doc_id", "chunk_id", F.size("w").cast("long").alias("len")).write.parquet(f"{path}/lengths")
-    lengths = chunks.sparkSession.read.parquet(f"{path}/lengths")
-    lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
-    return path
-
-
-def search_index(spark: SparkSession, path: str, phrase: str, limit: int | None = 20) -> DataFrame:
-    """What bm25_phrase gives, from an index: doc_id, chunk_id, tf and score of the chunks that hold the phrase.
-
-    Only the buckets and the row groups of the phrase's own terms are read; an occurrence is a place where all of its
-    words stand, each at its distance."""
-    words = spark.range(1).select(tokens(F.lit(phrase)).alias("w")).first()["w"]
-    stats = spark.read.parquet(f"{path}/stats").first()
-    own = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string")
-    homes = [r["b"] for r in own.select(F.pmod(F.xxhash64("word"), F.lit(stats["buckets"])).cast("int").alias("b")).distinct().collect()] if words else []
-    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(homes) & F.col("term").isin(words)) if words else spark.read.parquet(f"{path}/postings").where("false")
-    starts = found.join(F.broadcast(own), F.col("term") == F.col("word")).select("doc_id", "chunk_id", F.explode(F.transform("places", lambda p: p - F.col("i"))).alias("start"), "i")
-    whole = starts.groupBy("doc_id", "chunk_id", "start").agg(F.count("*").alias("k")).where(F.col("k") == len(words))
-    counts = materialize(whole.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("tf")), "index-hits")
-    df = counts.count()
-    idf = max(math.log((stats["n"] - df + 0.5) / (df + 0.5)), LEAST_IDF) if stats["n"] else LEAST_IDF
-    told = counts.join(spark.read.parquet(f"{path}/lengths"), ["doc_id", "chunk_id"])
-    score = F.lit(-idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg_len"] or 1.0)))
-    out = told.select("doc_id", "chunk_id", "tf", score.alias("score"))
-    return out if limit is None else out.orderBy("score", "doc_id", "chunk_id").limit(limit)
-
-
-def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20) -> DataFrame:
-    """doc_id, chunk_id, tf and score of the chunks that hold the phrase; ties go by id."""
+def bm25_phrase(chunks: DataFrame, phrase: str, limit: int | None = 20, doc_ids: list | None = None) -> DataFrame:
+    """doc_id, chunk_id, tf and score of the chunks that hold the phrase, of these documents if they are named; ties go by id.
+    Frequencies and lengths are those of all chunks."""
     found = bm25_scores(phrase_counts(chunks, [phrase])[0])
+    found = found if doc_ids is None else found.where(F.col("doc_id").isin(doc_ids))
     return found if limit is None else found.orderBy("score", "doc_id", "chunk_id").limit(limit)
 
 
+def ascii_low(text: Column) -> Column:
+    """Only A-Z in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def substring_hits(chunks: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     """Chunks that hold the query literally, ASCII case aside; most matched characters first, then shorter, then by id."""
-    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     needle = "".join(c.lower() if c.isascii() else c for c in query)
     n = F.length("text")
-    mass = F.length(low(F.col("text"))) - F.length(F.replace(low(F.col("text")), F.lit(needle), F.lit("")))
-    found = chunks.where(F.contains(low(F.col("text")), F.lit(needle))).select("doc_id", "chunk_id", mass.cast("long").alias("matched"), n.cast("long").alias("text_length"))
+    mass = F.length(ascii_low(F.col("text"))) - F.length(F.replace(ascii_low(F.col("text")), F.lit(needle), F.lit("")))
+    found = chunks.where(F.contains(ascii_low(F.col("text")), F.lit(needle))).select("doc_id", "chunk_id", mass.cast("long").alias("matched"), n.cast("long").alias("text_length"))
     return found if limit is None else found.orderBy(F.desc("matched"), "text_length", "doc_id", "chunk_id").limit(limit)
 
 
-def search_text(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search_text(chunks: DataFrame, query: str, limit: int = 20, doc_ids: list | None = None) -> DataFrame:
     """chunk_id, rank and method: the phrase by BM25, then literal hits, each chunk once. CJK queries are literal only."""
     if not query.strip():
         return chunks.select("doc_id", "chunk_id", F.lit("").alias("method"), F.lit(0).alias("rank")).where("false")
     cjk = re.search(r"[㐀-鿿]", query) is not None
-    like = substring_hits(chunks, query, limit + 1)
+    scope = chunks if doc_ids is None else chunks.where(F.col("doc_id").isin(doc_ids))
+    like = substring_hits(scope, query, limit + 1)
     ranked = like.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("matched"), "text_length", "doc_id", "chunk_id")) + limit + 1).select("doc_id", "chunk_id", F.lit("like").alias("method"), "rank")
     if not cjk:
-        fts = bm25_phrase(chunks, query, limit + 1)
+        fts = bm25_phrase(chunks, query, limit + 1, doc_ids)
         ranked = fts.withColumn("rank", F.row_number().over(Window.orderBy("score", "doc_id", "chunk_id"))).select("doc_id", "chunk_id", F.lit("fts").alias("method"), "rank").unionByName(ranked)
     best = ranked.groupBy("doc_id", "chunk_id").agg(F.min_by("method", "rank").alias("method"), F.min("rank").alias("r"))
     return best.orderBy("r").limit(limit).select("doc_id", "chunk_id", "method", F.row_number().over(Window.orderBy("r")).alias("rank"))
@@ -198,22 +165,6 @@ def structural_score(query: str, text: Column, section: Column, chunk_type: Colu
     return score
 
 
-def hybrid_search(chunks: DataFrame, query: str, limit: int = 20, pool: int = 60) -> DataFrame:
-    """chunk_id and score: reciprocal ranks of the question and of each term by BM25, fused, plus the structural score."""
-    probes = [(query, 1.0), *((t, TERM_WEIGHT) for t in query_terms(query))]
-    cap = max(20, pool // len(probes))
-    ranked = None
-    counts, _ = phrase_counts(chunks, [p for p, _ in probes])
-    for i, (_, weight) in enumerate(probes):
-        found = bm25_scores(counts, i).orderBy("score", "doc_id", "chunk_id").limit(pool if i == 0 else cap)
-        one = found.select("chunk_id", F.lit("text" if i == 0 else "term").alias("channel"), F.lit(weight).alias("weight"), F.row_number().over(Window.orderBy("score", "doc_id", "chunk_id")).alias("rank"))
-        ranked = one if ranked is None else ranked.unionByName(one)
-    fused = fuse(ranked)  # at most pool rows a probe
-    section = F.col("section") if "section" in chunks.columns else F.lit(None).cast("string")
-    scored = chunks.join(F.broadcast(fused), "chunk_id").withColumn("total", F.col("score") + structural_score(query, F.col("text"), section))
-    return scored.select("doc_id", "chunk_id", F.col("total").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
-
-
 def within_budget(ranked: DataFrame, order: list[str], max_chars: int, max_chunks: int) -> DataFrame:
     """The prefix of ranked rows that fits both budgets. ranked holds a page of candidates, so one window takes it."""
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -227,61 +178,6 @@ def keyset_page(chunks: DataFrame, order: list[str], after: tuple | None, limit:
     return rows.orderBy(*order).limit(limit)
 
 
-def encode_cursor(payload: dict) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"v": 2, **payload}, sort_keys=True, ensure_ascii=False).encode()).decode().rstrip("=")
-
-
-def decode_cursor(cursor: str) -> dict:
-    try:
-        payload = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
-    except ValueError as e:
-        raise ValueError("invalid_cursor") from e
-    if not isinstance(payload, dict) or payload.get("v") != 2:
-        raise ValueError("invalid_cursor")
-    return payload
-
-
-def request_key(mode: str, task: str | None, doc_ids: list | None) -> str:
-    return hashlib.sha256(json.dumps({"mode": mode, "task": task, "doc_ids": doc_ids}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
-
-
-def document_context(chunks: DataFrame, task: str | None = None, cursor: str | None = None, max_chars: int = 40_000, max_chunks: int = 80) -> dict:
-    """One page of context: all chunks in order without a task, else a ranked page; a cursor goes on where a page ended."""
-    order = ["doc_id", "chunk_id"]
-    if not 1 <= max_chars <= 80_000 or not 1 <= max_chunks <= 160:
-        raise ValueError("invalid_budget")
-    state = decode_cursor(cursor) if cursor else {}
-    if not task and state.get("key", request_key("full", None, None)) != request_key("full", None, None) or task and state.get("key", request_key("search", task, None)) != request_key("search", task, None):
-        raise ValueError("cursor_mismatch")
-    if task:
-        left = state.get("left") or [r["chunk_id"] for r in hybrid_search(chunks, task, 300, 300).collect()]
-        texts = {r["chunk_id"]: r for r in chunks.where(F.col("chunk_id").isin(left[:20])).collect()}
-        taken, used = [], 0
-        for name in left[: min(20, max_chunks)]:
-            row = texts.get(name)
-            if row is not None:
-                if used + len(row["text"]) > max_chars:
-                    break
-                taken.append(row)
-                used += len(row["text"])
-            left = left[1:]
-        if not taken and left:
-            raise ValueError("budget_too_small")
-        more = encode_cursor({"key": request_key("search", task, None), "left": left}) if left else None
-        return {"mode": "search", "chunks": taken, "cursor": more, "coverage": "retrieval_candidates"}
-    page = keyset_page(chunks, order, tuple(state["after"]) if state else None, max_chunks + 1).collect()
-    taken, used = [], 0
-    for row in page[:max_chunks]:
-        if used + len(row["text"]) > max_chars:
-            break
-        taken.append(row)
-        used += len(row["text"])
-    if page and not taken:
-        raise ValueError("budget_too_small")
-    more = encode_cursor({"key": request_key("full", None, None), "after": [taken[-1][c] for c in order]}) if len(taken) < len(page) else None
-    return {"mode": "full", "chunks": taken, "cursor": more, "coverage": "complete_l1" if not state and more is None else "paginated_l1"}
-
-
 def hash_encode(texts: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
     """id, bucket and value of the non-zero entries of hashed bag-of-words vectors of unit length."""
     words = texts.select(F.col(id_col), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"((?U)\w+)"), 1)).alias("w"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.functions import text as T
-from stratalake.operators import audits, blocks, embed, extract, figures, lookups, retrieval
+from stratalake.operators import audits, blocks, embed, extract, figures, lookups, retrieval, search
 from stratalake.plans import sql
 from stratalake.plans.registered import query, table
 
@@ -150,10 +150,10 @@ def index_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalake.core.storage import fresh_path
     from stratalake.plans.catalog import document_chunks
 
-    path = retrieval.write_index(document_chunks(spark, sf_dir), fresh_path(spark, "index"), buckets=16)
+    index = search.open_index(spark, search.write_index(document_chunks(spark, sf_dir), fresh_path(spark, "index")))
     out = None
     for phrase in ("of the", "than", "the of the"):
-        one = retrieval.search_index(spark, path, phrase, None).select(F.lit(phrase).alias("phrase"), "doc_id", "chunk_id", "tf", F.round("score", 6).alias("score"))
+        one = search.phrase_scores(index, phrase, None).select(F.lit(phrase).alias("phrase"), "doc_id", "chunk_id", "tf", F.round("score", 6).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -197,19 +197,6 @@ def test_retrieval(spark):
     assert retrieval.search_text(c, "  ").count() == 0
     assert retrieval.query_terms("find the DMA descriptions for reset_ctrl, dma") == ["dma", "reset_ctrl"]
     assert retrieval.query_terms("如何配置中断")[:2] == ["配置中断", "配置"]
-    assert retrieval.hybrid_search(c, "alpha sentence").first().chunk_id in ("low", "high")
-    cursor = retrieval.encode_cursor({"after": [1, "x"]})
-    assert retrieval.decode_cursor(cursor)["after"] == [1, "x"]
-    with pytest.raises(ValueError, match="invalid_cursor"):
-        retrieval.decode_cursor("e30")
-    page = retrieval.document_context(c, max_chunks=2)
-    assert [r["chunk_id"] for r in page["chunks"]] == ["low", "high"] and page["coverage"] == "paginated_l1"
-    rest = retrieval.document_context(c, cursor=page["cursor"])
-    assert [r["chunk_id"] for r in rest["chunks"]] == ["p", "z", "o"] and rest["cursor"] is None
-    assert retrieval.document_context(c)["coverage"] == "complete_l1"
-    assert retrieval.document_context(c, task="alpha")["chunks"]
-    with pytest.raises(ValueError, match="invalid_budget"):
-        retrieval.document_context(c, max_chars=0)
 
 
 def test_bm25_against_sqlite(spark):
@@ -327,11 +314,6 @@ def test_streaming_equals_batch(spark, tmp_path, sf_dir):
     assert change_bursts(spark.createDataFrame([], "path string, ts timestamp"), "path", "ts").columns == ["path", "begin_ts", "end_ts", "changes"]
 
 
-def test_json_round_trip_of_request_key():
-    assert retrieval.request_key("full", None, None) == retrieval.request_key("full", None, None) != retrieval.request_key("search", "t", None)
-    assert json.loads("{}") == {}
-
-
 def test_registers_from_odd_tables(spark):
     make = lambda caption, headers, rows: spark.createDataFrame([("d", "t", caption, headers, rows)], TABLE)
     # Bits of the field four bits before, overlaps, a register's name in another column, a caption that announces it.
