@@ -622,7 +622,7 @@ def figure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other modules of queries register themselves when they are imported.
-from stratalake.plans import catalog_chunks, catalog_lookups, catalog_tables  # noqa: E402, F401
+from stratalake.plans import catalog_chunks, catalog_context, catalog_lookups, catalog_tables  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
