@@ -62,25 +62,3 @@ def extract_json(text: str | None) -> str | None:
         except ValueError:
             pass
     return None
-
-
-def relation_candidates(chunks: DataFrame, entities: DataFrame, per_doc: int = 30, least_chars: int = 80) -> DataFrame:
-    """Chunks worth asking for relations: long enough, fewer than three requirement ids, two known entities of the
-    document or more; of each document the per_doc with most entities. Names match by their words' n-grams, so an equi-join
-    finds them."""
-    c = chunks.where((F.length("text") >= least_chars) & (F.regexp_count("text", F.lit(r"REQ_[A-Z0-9_]*[0-9]")) < 3))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    upto = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    grams = c.select("doc_id", "chunk_id", words.alias("w")).select("doc_id", "chunk_id", F.explode(F.array_distinct(F.flatten(F.array(upto(1), upto(2), upto(3), upto(4))))).alias("key"))
-    names = entities.select("doc_id", F.array_join(F.regexp_extract_all(F.lower("name"), F.lit(r"([\p{L}\p{N}_]+)"), 1), " ").alias("key"), "name").where(F.length("name").between(2, 30)).dropDuplicates(["doc_id", "key"])
-    mentioned = grams.join(names, ["doc_id", "key"]).groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("name")), 1, 40).alias("names")).where("n >= 2")
-    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), "chunk_id")
-    return mentioned.withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_doc).drop("k")
-
-
-def accepted_relations(answers: DataFrame, kinds: list[str], least: float = 0.6) -> DataFrame:
-    """Relations from answers (chunk_id, doc_id, answer) whose JSON is {"relations": [{src, dst, kind, confidence}]}: of a
-    known kind, sure enough, no loops."""
-    schema = "relations array<struct<src:string,dst:string,kind:string,confidence:double>>"
-    rows = answers.select("doc_id", "chunk_id", F.explode(F.from_json("answer", schema)["relations"]).alias("r")).select("doc_id", "chunk_id", "r.*")
-    return rows.where(F.col("kind").isin(kinds) & (F.col("confidence") >= least) & (F.col("src") != F.col("dst")))

@@ -76,12 +76,6 @@ def test_models(spark):
     assert {k: r.answer for k, r in rows.items()} == {1: "P", 2: "P", 3: "Q", 4: "old"} and rows[4].cost_usd == 0
     assert all(r.over_budget for r in models.ask(prompts, cache, lambda p: (p, 1, 1), budget=0.0).where("id < 4").collect())
     assert models.extract_json('x ```json\n{"a": 1}\n``` y') == '{"a": 1}' and models.extract_json("say [1, 2] ok") == "[1, 2]" and models.extract_json("{broken") is None
-    chunks = spark.createDataFrame([("d", "c1", "The clock unit drives the Reset Gate. " * 4), ("d", "c2", "short clock unit"), ("d", "c3", "only the clock unit here, nothing else of note at all. " * 3)], "doc_id string, chunk_id string, text string")
-    ents = spark.createDataFrame([("d", "Clock Unit"), ("d", "reset gate"), ("e", "drives")], "doc_id string, name string")
-    assert [(r.chunk_id, r.names) for r in models.relation_candidates(chunks, ents).collect()] == [("c1", ["Clock Unit", "reset gate"])]
-    answer = json.dumps({"relations": [{"src": "a", "dst": "b", "kind": "drives", "confidence": 0.9}, {"src": "a", "dst": "a", "kind": "drives", "confidence": 0.9}, {"src": "a", "dst": "c", "kind": "drives", "confidence": 0.1}]})
-    got = models.accepted_relations(spark.createDataFrame([("d", "c", answer)], "doc_id string, chunk_id string, answer string"), ["drives"])
-    assert [(r.src, r.dst) for r in got.collect()] == [("a", "b")]
     calls = spark.createDataFrame([("x", 1, 2, 0.5), ("x", 1, 2, 0.25)], "extractor string, tokens_in long, tokens_out long, cost_usd double")
     assert models.costs(calls).first().cost_usd == 0.75
 
