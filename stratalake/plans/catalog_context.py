@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.core.storage import fresh_path
-from stratalake.operators import context, retrieval, search
+from stratalake.operators import context, mentions, retrieval, search
 from stratalake.plans import sql
 from stratalake.plans.registered import query, table
 
@@ -68,3 +68,40 @@ def context_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = context.document_context(_index(spark, sf_dir, nodes), TASK, "search", max_entity_chars=context.MOST_ENTITY_CHARS)
     rows = [("chunk", i + 1, c["chunk_id"], c["score"]) for i, c in enumerate(page["chunks"])] + [("entity", i + 1, e["id"], None) for i, e in enumerate(page["enrichments"])]
     return spark.createDataFrame(rows, "part string, position int, id string, score double")
+
+
+# --- mentions and relations -----------------------------------------------------------------------------------------
+
+
+@query(
+    sql.CHUNKS + r""", firsts AS (SELECT doc_id, regexp_extract(text, '([A-Za-z]{3,})\s+([A-Za-z]{3,})', 1) AS a, regexp_extract(text, '([A-Za-z]{3,})\s+([A-Za-z]{3,})', 2) AS b FROM documents),
+    names AS (SELECT doc_id, a || '_' || b AS key, lower(a || b) AS plain, true AS several FROM firsts WHERE a <> '' UNION SELECT doc_id, b, lower(b), false FROM firsts WHERE b <> '')
+    SELECT n.doc_id, chunk_id, key FROM names n JOIN chunks c ON n.doc_id = c.doc_id
+    WHERE CASE WHEN several THEN contains(replace(replace(lower(text), ' ', ''), '_', ''), plain) ELSE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), plain) END"""
+)
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each document, together and the second alone, in all of its chunks."""
+    from stratalake.plans.catalog import document_chunks
+
+    word = lambda n: F.regexp_extract("text", r"([A-Za-z]{3,})\s+([A-Za-z]{3,})", n)
+    firsts = table(spark, sf_dir, "documents").select("doc_id", word(1).alias("a"), word(2).alias("b")).where("a <> ''")
+    names = firsts.select("doc_id", F.explode(F.array(F.concat_ws("_", "a", "b"), F.col("b"))).alias("key")).distinct()
+    return mentions.mentions(document_chunks(spark, sf_dir).select("doc_id", "chunk_id", "text"), names)
+
+
+@query(
+    """WITH a AS (SELECT o_custkey AS c, o_orderkey AS k, 0.5::DOUBLE + (o_orderkey % 50) / 100.0::DOUBLE AS sure, 'ie::pin:Pin_' || (o_orderkey // 16 + 1000000) || '#' || o_custkey AS dst FROM orders),
+    e AS (SELECT 'n' || c AS src, dst, 'drives' AS kind, max(sure) AS confidence, string_agg('o' || k, ',' ORDER BY 'o' || k) AS chunks, arg_min(sure, k) < 0.8 AS pending FROM a WHERE sure >= 0.6 AND k % 3 <> 0 GROUP BY ALL)
+    SELECT src, dst, kind, round(confidence, 6) AS confidence, chunks, pending FROM e"""
+)
+def relations_from_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as what a model said of their customer's document: its core drives a pin, which is new, or itself."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    nodes = orders.select("o_custkey").distinct().select(F.concat(F.lit("n"), "o_custkey").alias("id"), F.lit("module").alias("kind"), F.lit("Core Unit").alias("name"), F.col("o_custkey").alias("doc_id"))
+    key = F.col("o_orderkey")
+    dst = F.when(key % 3 == 0, "Core_Unit").otherwise(F.concat(F.lit("Pin "), (F.floor(key / 16) + 1000000).cast("string")))
+    told = F.struct(F.lit("the core unit").alias("src"), F.lit("Drives").alias("relation"), dst.alias("dst"), F.when(key % 3 != 0, "pin").alias("dst_type"), (F.lit(0.5) + (key % 50) / 100).alias("confidence"))
+    answers = orders.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("o"), key).alias("chunk_id"), key.alias("place"), F.to_json(F.struct(F.array(told).alias("relations"))).alias("answer"))
+    made, edges = mentions.link_relations(answers, nodes)
+    joined = edges.join(made.select(F.col("id").alias("dst"), "pending"), "dst")
+    return joined.select("src", "dst", "kind", F.round("confidence", 6).alias("confidence"), F.array_join("chunk_ids", ",").alias("chunks"), "pending")
