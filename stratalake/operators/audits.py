@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratalake.core.storage import materialize
 from stratalake.functions.text import KIND_NAMES, f1, golden_kind, golden_name, safe_div
 
 
@@ -114,7 +115,7 @@ def best_bitfields(fields: DataFrame) -> DataFrame:
     before = Window.partitionBy("register").orderBy("low", "idx").rowsBetween(Window.unboundedPreceding, -1)
     valid = F.coalesce((F.col("low") >= 0) & (F.col("low") <= F.col("high")), F.lit(False))
     hard = F.max(~valid | F.coalesce(F.col("top") >= F.col("low"), F.lit(False))).over(Window.partitionBy("register"))
-    seen = named.withColumn("top", F.max("high").over(before)).withColumn("hard", hard).drop("top")
+    seen = materialize(named.withColumn("top", F.max("high").over(before)).withColumn("hard", hard).drop("top"), "bitfields")
     easy = seen.where("NOT hard").select("register", "idx", "name", "low", "high", F.lit(True).alias("kept"))
     return easy.unionByName(seen.where("hard").drop("hard").groupBy("register").applyInPandas(one, "register string, idx int, name string, low int, high int, kept boolean"))
 
