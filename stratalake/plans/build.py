@@ -123,28 +123,30 @@ def run_build(spark: SparkSession, root: str, out: str, include: str = "*", excl
 
     fresh = found.join(todo.where("do_parse").select(F.col("doc_id").alias("path")), "path", "left_semi")
     parsed, told = chain.parse_chain(fresh, chains, parsers)
-    parsed, told = materialize(parsed, "blocks"), materialize(told.withColumn("reason", chain.fallback_reason()), "told")
+    told = materialize(told.withColumn("reason", chain.fallback_reason()), "told")
     failed = told.where("status = 'failed'").select("doc_id")
-    ran["parse"] = told.where("status <> 'unsupported'").count()
-    for r in told.where("status IN ('failed', 'degraded')").groupBy("status").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "reason")).alias("first")).orderBy("status").collect():
-        warnings.append({"stage": "parse", "status": r["status"], "documents": r["n"], "first": r["first"]["doc_id"], "reason": r["first"]["reason"]})
+    for r in told.where("status <> 'unsupported'").groupBy("status").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "reason")).alias("first")).orderBy("status").collect():
+        ran["parse"] += r["n"]
+        if r["status"] != "ok":
+            warnings.append({"stage": "parse", "status": r["status"], "documents": r["n"], "first": r["first"]["doc_id"], "reason": r["first"]["reason"]})
     due = {n: todo.where(f"do_{n}").select("doc_id").join(failed, "doc_id", "left_anti") for n in DOC_STAGES}
-    draft.put("blocks", parsed, due["parse"].unionByName(gone))
-    if not due["segment"].isEmpty() or not gone.isEmpty():
+    left = not gone.isEmpty()
+    ran["segment"], ran["extract"] = due["segment"].count(), due["extract"].count()
+    if ran["parse"] or left:
+        draft.put("blocks", parsed, due["parse"].unionByName(gone))
+    if ran["segment"] or left:
         cut = chunks.segment_chunks(draft.read("blocks").join(due["segment"], "doc_id", "left_semi").select("id", "doc_id", "page", "kind", "reading_order", F.coalesce("text", F.lit("")).alias("text"), "section_path"))
-        draft.put("chunks", materialize(cut, "chunks"), due["segment"].unionByName(gone))
-        ran["segment"] = due["segment"].count()
-    if not due["extract"].isEmpty() or not gone.isEmpty():
+        draft.put("chunks", cut, due["segment"].unionByName(gone))
+    if ran["extract"] or left:
         own = [draft.read(name).join(due["extract"], "doc_id", "left_semi") for name in ("blocks", "chunks")]
         for name, rows in entities_of(*own).items():
-            draft.put(name, materialize(rows, name), due["extract"].unionByName(gone))
-        ran["extract"] = due["extract"].count()
+            draft.put(name, rows, due["extract"].unionByName(gone))
 
     # A document that failed keeps what is stored of it, and its stages' fingerprints are left open.
     open_ = now.join(failed.withColumn("failed", F.lit(True)), "doc_id", "left")
     states = before.select("doc_id", "status", "parser", "reason").join(told.select("doc_id"), "doc_id", "left_anti").unionByName(told.select("doc_id", "status", "parser", "reason"))
     documents = open_.select("doc_id", "content_hash", "length", *[F.when(F.col("failed").isNull(), F.col(n)).alias(n) for n in DOC_STAGES]).join(states, "doc_id", "left")
-    draft.replace("documents", materialize(documents, "documents"))
+    draft.replace("documents", documents)
     wanted = _of_corpus(draft.read("documents"), settings)
     if about.get("link") != wanted:
         kept = draft.read("links")
@@ -159,7 +161,7 @@ def run_build(spark: SparkSession, root: str, out: str, include: str = "*", excl
             if one is not None:
                 links = one if links is None else links.unionByName(one)
         if links is not None:
-            draft.replace("links", materialize(links.withColumn("doc_id", F.substring_index("src", "#", -1)), "links"))
+            draft.replace("links", links.withColumn("doc_id", F.substring_index("src", "#", -1)))
         ran["link"] = len(linkers)
     status = "degraded" if warnings else "success"
     return Report(changes, ran, status, warnings, draft.commit(link=wanted, status=status, warnings=warnings))

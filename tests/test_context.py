@@ -31,13 +31,13 @@ def index(spark, corpus, nodes):
     return search.open_index(spark, search.write_index(corpus, fresh_path(spark, "test-index"), nodes))
 
 
-PHRASES = ["the", "dma", "of the", "the of the", "the the the", "clock gate", "reset ctrl", "reset_ctrl", "éclair", "eclair dma", "absent", "dma absent", "50%", "%", "中断", "ate", "he of", "e o", "set_c", "CTRL", "Éc", "  "]
+PHRASES = ["the", "the of the", "reset_ctrl", "eclair dma", "dma absent", "%", "中断", "e o", "set_c", "Éc", "  "]
 
 
 SCOPE = [3, 17, 40, 41]
 
 
-@pytest.mark.parametrize(("phrase", "scope", "limit"), [*((p, None, 7) for p in PHRASES), ("the", SCOPE, 3), ("of the", SCOPE, 500), ("dma", SCOPE, 2), ("中断", SCOPE, 3), ("e o", SCOPE, 3), ("the", None, 500)])
+@pytest.mark.parametrize(("phrase", "scope", "limit"), [*((p, None, 7) for p in PHRASES), ("of the", SCOPE, 500), ("dma", SCOPE, 2), ("e o", SCOPE, 3), ("the", None, 500)])
 def test_index_finds_what_scans_find(corpus, index, phrase, scope, limit, monkeypatch):
     """The same hits, order, methods and truncation, also where the first bound leaves too few hits."""
     monkeypatch.setattr(search, "FIRST_ROUND", 1)
@@ -80,7 +80,7 @@ def test_hybrid_search_is_the_same_by_index(corpus, index, spark):
         rows = spark.createDataFrame([("c010", 0.9, 1), ("c011", 0.5, 2), ("c012", 0.1, 3)], "chunk_id string, similarity double, rank int")
         return rows
 
-    for query, scope in (("dma clock", None), ("the reset_ctrl", SCOPE), ("中断控制", None)):
+    for query, scope in (("dma clock", None), ("the 中断", SCOPE)):
         a, b = (context.hybrid_search(s, query, 15, 40, scope, near) for s in (context.Scan(corpus), index))
         assert [(r.chunk_id, round(r.score, 9), r.reasons) for r in a.hits] == [(r.chunk_id, round(r.score, 9), r.reasons) for r in b.hits]
         assert (a.methods, a.candidates, a.truncated) == (b.methods, b.candidates, b.truncated)
