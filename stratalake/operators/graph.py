@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalake.core.storage import materialize
+from stratalake.core.storage import discard, materialize
 from stratalake.functions.text import blank_to_null, resolver_key
 
 
@@ -221,8 +221,34 @@ def resolve_references(refs: DataFrame, targets: DataFrame) -> tuple[DataFrame,
 
 
 def section_parents(toc: DataFrame) -> DataFrame:
-    """toc (doc_id, pos, level, id) with parent: the nearest entry before with a smaller level."""
+    """toc (doc_id, pos, level, id) with parent: the nearest entry before with a smaller level. The levels that there are, as
+    many as headings are nested, come to the driver."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == k, F.struct("pos", "id"))).over(order) for k in range(1, 10)]
-    above: Column = F.array_max(F.array_compact(F.array(*[F.when(F.col("level") > k, x) for k, x in enumerate(last, 1)])))
+    levels = sorted(r[0] for r in toc.select("level").where("level IS NOT NULL").distinct().collect())
+    last = [(k, F.max(F.when(F.col("level") == k, F.struct("pos", "id"))).over(order)) for k in levels[:-1]]
+    if not last:
+        return toc.withColumn("parent", F.lit(None).cast(toc.schema["id"].dataType))
+    above: Column = F.array_max(F.array_compact(F.array(*[F.when(F.col("level") > k, x) for k, x in last])))
     return toc.withColumn("parent", above["id"])
+
+
+def subtree_totals(nodes: DataFrame, value: Column | None = None) -> DataFrame:
+    """id, members and total of nodes (id, parent and more) of a forest: the nodes of each one's subtree, itself included, and
+    the sum of value (1 if there is none) over them.
+
+    In round k each node's sums, of what lies less than 2^k below it, are added to those of its ancestor 2^k above, which a
+    self-join then doubles: as many rounds as the logarithm of the depth, each with a row a node. A parent that isn't there
+    counts as none; a circle is an error."""
+    value = F.lit(1).cast("long") if value is None else value
+    known = nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("members"), value.alias("total"))
+    state = materialize(known.join(known.select(F.col("id").alias("there")), F.col("up") == F.col("there"), "left").withColumn("up", F.col("there")).drop("there"), "subtrees")
+    n = state.count()
+    for k in range(n.bit_length() + 1):
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.drop("up")
+        below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("members").alias("more_members"), F.sum("total").alias("more"))
+        higher = state.select(F.col("id").alias("via"), F.col("up").alias("higher"))
+        added = state.join(below, "id", "left").join(higher, F.col("up") == F.col("via"), "left")
+        before, state = state, materialize(added.select("id", F.col("higher").alias("up"), (F.col("members") + F.coalesce("more_members", F.lit(0))).alias("members"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")), "subtrees")
+        discard(before)
+    raise ValueError("the parents form a circle")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.core.storage import fresh_path
-from stratalake.operators import context, mentions, retrieval, search
+from stratalake.operators import context, graph, mentions, retrieval, search
 from stratalake.plans import sql
 from stratalake.plans.registered import query, table
 
@@ -105,3 +105,21 @@ def relations_from_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, edges = mentions.link_relations(answers, nodes)
     joined = edges.join(made.select(F.col("id").alias("dst"), "pending"), "dst")
     return joined.select("src", "dst", "kind", F.round("confidence", 6).alias("confidence"), F.array_join("chunk_ids", ",").alias("chunks"), "pending")
+
+
+# --- hierarchies ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    sql.GRAPH + """, up AS (SELECT dst AS id, src AS above FROM edges UNION ALL SELECT up.id, e.src FROM up JOIN edges e ON e.dst = up.above),
+    worth AS (SELECT 'order:' || o_orderkey AS id, o_orderkey % 1000 AS v FROM orders)
+    SELECT n.id, 1 + count(up.id) AS members, CAST(coalesce(sum(w.v), 0) + coalesce(any_value(o.v), 0) AS BIGINT) AS total FROM nodes n LEFT JOIN up ON up.above = n.id LEFT JOIN worth w ON w.id = up.id LEFT JOIN worth o ON o.id = n.id GROUP BY n.id"""
+)
+def subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations, customers, suppliers and orders with the number of what lies below them, and a sum over its orders."""
+    from stratalake.plans.catalog import graph_tables
+
+    nodes, edges = graph_tables(spark, sf_dir)
+    placed = nodes.join(edges.select(F.col("dst").alias("id"), F.col("src").alias("parent")), "id", "left")
+    worth = F.when(F.col("kind") == "order", F.substring_index("id", ":", -1).cast("long") % 1000).otherwise(0)
+    return graph.subtree_totals(placed, worth)

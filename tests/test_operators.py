@@ -176,6 +176,32 @@ def test_section_parents(spark):
     assert {r.id: r.parent for r in graph.section_parents(toc).collect()} == {"a": None, "b": "a", "c": "b", "e": "a", "f": None, "g": "f"}
 
 
+def test_section_parents_of_many_levels(spark):
+    toc = spark.createDataFrame([("d", i, i + 1, f"h{i}") for i in range(12)] + [("d", 12, 3, "back")], "doc_id string, pos int, level int, id string")
+    assert {r.id: r.parent for r in graph.section_parents(toc).collect()} == {"h0": None, **{f"h{i}": f"h{i - 1}" for i in range(1, 12)}, "back": "h1"}
+    assert [r.parent for r in graph.section_parents(toc.where("pos = 4")).collect()] == [None]
+
+
+def test_subtree_totals(spark):
+    import random
+
+    rng = random.Random(1)
+    parent = {i: (i - 1 if i < 40 else rng.randrange(i)) for i in range(1, 300)} | {0: None, 300: 999, 301: None}
+    value = {i: rng.randint(0, 9) for i in parent}
+    members, total = dict.fromkeys(parent, 0), dict.fromkeys(parent, 0)
+    for i in parent:
+        at = i
+        while at is not None and at in parent:
+            members[at] += 1
+            total[at] += value[i]
+            at = parent[at]
+    nodes = spark.createDataFrame([(i, p, value[i]) for i, p in parent.items()], "id int, parent int, v long")
+    assert {r.id: (r.members, r.total) for r in graph.subtree_totals(nodes, F.col("v")).collect()} == {i: (members[i], total[i]) for i in parent}
+    assert graph.subtree_totals(nodes.where("false")).count() == 0
+    with pytest.raises(ValueError, match="circle"):
+        graph.subtree_totals(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent int"))
+
+
 def test_merges(spark):
     obs = spark.createDataFrame([("n", 1, "N", None, "h1", "candidate", 0.5, ["x"], ["b1"]), ("n", 2, "M", "sum", "h2", "fact", 0.9, ["x", "y"], ["b2"]), ("n", 3, "", "other", "h3", "rejected", 0.0, None, None)], "id string, seq int, name string, summary string, hash string, status string, confidence double, aliases array<string>, block_ids array<string>")
     r = graph.merge_nodes(obs.fillna({"name": ""})).first()
