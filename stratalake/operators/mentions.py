@@ -239,6 +239,8 @@ def _answer(client: Callable[[str], str], prompt: str) -> str | None:
     for more in ("", "The last answer was no valid JSON. Answer with the smallest valid JSON object.\n"):
         try:
             found = extract_json(client(more + prompt))
+        except ImportError:
+            raise
         except Exception:  # noqa: BLE001 - whatever a client raises leaves one chunk out
             return None
         if found is not None:

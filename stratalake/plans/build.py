@@ -154,6 +154,8 @@ def run_build(spark: SparkSession, root: str, out: str, include: str = "*", excl
         for name, run in linkers.items():
             try:
                 one = materialize(run(*[draft.read(x) for x in ("nodes", "blocks", "sections")]).select("src", "dst", "kind", F.col("confidence").cast("double"), "extractor").withColumn("linker", F.lit(name)), "links")
+            except ImportError:
+                raise
             except Exception as e:  # noqa: BLE001 - an injected linker may raise anything; the build goes on without it
                 warnings.append({"stage": "link", "linker": name, "reason": f"{type(e).__name__}: {e}"[:300]})
                 one = kept.where(F.col("linker") == name).drop("doc_id") if kept is not None else None

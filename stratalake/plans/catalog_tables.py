@@ -288,23 +288,23 @@ def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH l AS ({_LINES}), named AS (SELECT l_orderkey, p, 'P' || l_partkey || 'X' || p || '_STATUS' AS name FROM l), "
-    "asks AS (SELECT l_orderkey, p, row_number() OVER (PARTITION BY l_orderkey ORDER BY p) - 1 AS nth FROM l WHERE q % 11 <> 0) "
-    "SELECT a.l_orderkey AS doc_id, a.l_orderkey || '.' || (a.p + 1) AS table_id, n.name AS register, f.name AS name, CAST(f.high AS INTEGER) AS high, CAST(f.low AS INTEGER) AS low FROM asks a JOIN named n ON a.l_orderkey = n.l_orderkey AND a.nth = n.p, (VALUES ('EN', 3, 0), ('MODE', 7, 4)) f(name, high, low)"
+    "WITH l AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders), "
+    "asks AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY p) - 1 AS nth FROM l WHERE k % 11 <> 0) "
+    "SELECT a.c AS doc_id, a.c || '.' || (a.p + 1) AS table_id, 'P' || n.k || '_STATUS' AS register, f.name AS name, CAST(f.high AS INTEGER) AS high, CAST(f.low AS INTEGER) AS low FROM asks a JOIN l n ON a.c = n.c AND a.nth = n.p, (VALUES ('EN', 3, 0), ('MODE', 7, 4)) f(name, high, low)"
 )
 def registers_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a document: a table that lists a register for each line, then a table of bit fields for each line that
-    doesn't name it; those with a caption stay out of it."""
+    """Each customer as a document: a table that lists a register for each order, then a table of bit fields for each order
+    that doesn't name it; those with a caption stay out of it."""
     from pyspark.sql.window import Window
 
-    of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").withColumn("p", F.row_number().over(of_order) - 1).select(F.col("l_orderkey").alias("doc_id"), "p", "l_partkey", (F.col("l_quantity").cast("long") % 11 == 0).alias("captioned"))
+    of_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(of_customer) - 1).alias("p"), F.col("o_orderkey").alias("k"))
     text = lambda c: F.col(c).cast("string")
     words = lambda *w: F.array(*[F.lit(x) for x in w])
-    row = F.array(F.concat(F.lit("P"), text("l_partkey"), F.lit("X"), text("p"), F.lit("_STATUS")), text("p"), F.lit("RW"), F.lit("0x10"), F.lit("of an order"))
-    listed = lines.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    row = F.array(F.concat(F.lit("P"), text("k"), F.lit("_STATUS")), text("p"), F.lit("RW"), F.lit("0x10"), F.lit("of an order"))
+    listed = orders.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", row.alias("row")))), lambda x: x["row"]).alias("rows"))
     ident = lambda n: F.concat(text("doc_id"), F.lit("."), n.cast("string")).alias("id")
     lists = listed.select("doc_id", ident(F.lit(0)), F.lit(0).alias("pos"), F.lit("Register summary").alias("caption"), words("Register", "Register number", "Type", "Location", "Description").alias("headers"), "rows")
-    cells_ = F.array(words("[3:0]", "EN", "RW", "about"), words("[7:4]", "MODE", "RO", "about"))
-    laid = lines.select("doc_id", ident(F.col("p") + 1), (F.col("p") + 1).alias("pos"), F.when(F.col("captioned"), "of other things").alias("caption"), words("Bits", "Field", "Access", "Description").alias("headers"), cells_.alias("rows"))
+    rows = F.array(words("[3:0]", "EN", "RW", "about"), words("[7:4]", "MODE", "RO", "about"))
+    laid = orders.select("doc_id", ident(F.col("p") + 1), (F.col("p") + 1).alias("pos"), F.when(F.col("k") % 11 == 0, "of other things").alias("caption"), words("Bits", "Field", "Access", "Description").alias("headers"), rows.alias("rows"))
     return register_context.registers_in_order(lists.unionByName(laid))[1].where("kept").select("doc_id", "table_id", "register", "name", "high", "low")
