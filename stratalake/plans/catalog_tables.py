@@ -308,3 +308,26 @@ def registers_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(words("[3:0]", "EN", "RW", "about"), words("[7:4]", "MODE", "RO", "about"))
     laid = orders.select("doc_id", ident(F.col("p") + 1), (F.col("p") + 1).alias("pos"), F.when(F.col("k") % 11 == 0, "of other things").alias("caption"), words("Bits", "Field", "Access", "Description").alias("headers"), rows.alias("rows"))
     return register_context.registers_in_order(lists.unionByName(laid))[1].where("kept").select("doc_id", "table_id", "register", "name", "high", "low")
+
+
+# --- spans -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH l AS ({_LINES}) SELECT l_orderkey AS id, 'Item Key|Item Qty|Flag' AS headers, string_agg(l_partkey || '|' || CASE WHEN q % 2 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE CAST(q AS VARCHAR) END || '|' || first_flag, ';' ORDER BY p) AS rows, CAST(2 + count(*) FILTER (q % 2 = 0) + CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS INTEGER) AS merged "
+    "FROM (SELECT *, first(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY p) AS first_flag FROM l) GROUP BY l_orderkey"
+)
+def span_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a table with two header rows: even quantities span two columns, the first line's flag spans all rows."""
+    from pyspark.sql.window import Window
+
+    from stratalake.sources import grids
+
+    of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumns({"p": F.row_number().over(of_order) - 1, "q": F.col("l_quantity").cast("long"), "n": F.count("*").over(Window.partitionBy("l_orderkey"))})
+    cell = lambda row, col, rows, cols, text, header=False: F.struct(*[F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in (("row", row), ("col", col), ("row_span", rows), ("col_span", cols))], (F.lit(text) if isinstance(text, str) else text.cast("string")).alias("text"), F.lit(header).alias("header"))
+    row, even = F.col("p") + 2, F.col("q") % 2 == 0
+    own = F.array_compact(F.array(cell(row, 0, 1, F.when(even, 2).otherwise(1), F.col("l_partkey")), F.when(~even, cell(row, 1, 1, 1, F.col("q"))), F.when(F.col("p") == 0, cell(row, 2, F.col("n"), 1, F.col("l_returnflag")))))
+    heads = F.array(cell(0, 0, 1, 2, "Item", True), cell(0, 2, 2, 1, "Flag", True), cell(1, 0, 1, 1, "Key", True), cell(1, 1, 1, 1, "Qty", True))
+    tables = lines.groupBy("l_orderkey").agg(F.concat(heads, F.flatten(F.collect_list(own))).alias("cells")).select(F.col("l_orderkey").alias("id"), grids.span_grid(F.col("cells")).alias("g"))
+    return tables.select("id", F.array_join("g.headers", "|").alias("headers"), F.array_join(F.transform("g.rows", lambda r: F.array_join(r, "|")), ";").alias("rows"), F.size("g.merged").alias("merged"))
