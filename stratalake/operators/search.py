@@ -7,7 +7,7 @@ and goes lower only if these hold fewer than k hits."""
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,15 +98,22 @@ class Index:
     buckets: int
     shelves: int
     with_nodes: bool
+    opened: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def table(self, name: str) -> DataFrame:
+        """One of the written tables; its files are listed once for all searches."""
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self.opened[name]
 
     def rows_of(self, name: str, key: str, values: list, buckets: int) -> DataFrame:
         """The rows of a table with these keys: only their buckets are read, and of those the row groups that can have them."""
-        table = self.spark.read.parquet(f"{self.path}/{name}")
+        table = self.table(name)
         if not values:
             return table.where("false").drop("bucket")
         kind = dict(table.dtypes)[key]
         asked = self.spark.createDataFrame([(v,) for v in values], f"{key} {kind}")
-        homes = [r[0] for r in asked.select(_home(key, buckets)).distinct().collect()]
+        homes = [0] if buckets == 1 else [r[0] for r in asked.select(_home(key, buckets)).distinct().collect()]
         found = table.where(F.col("bucket").isin(homes)).drop("bucket")
         if len(values) <= LISTED_IDS:
             return found.where(F.col(key).isin(values))
@@ -117,10 +124,10 @@ class Index:
         return self.rows_of("chunks", "chunk_id", ids, self.shelves)
 
     def all_chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks").drop("bucket")
+        return self.table("chunks").drop("bucket")
 
     def by_document(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/documents")
+        return self.table("documents")
 
     def search_text(self, query: str, limit: int, doc_ids: list | None) -> tuple[DataFrame, list[str], bool]:
         return search_text(self, query, limit, doc_ids)
@@ -195,7 +202,7 @@ def top_hits(index: Index, phrase: str, k: int, doc_ids: list | None = None) ->
         if found.count() == k:
             break
     if found is None:
-        chunks = index.spark.read.parquet(f"{index.path}/chunks")
+        chunks = index.table("chunks")
         return chunks.select("doc_id", "chunk_id", F.lit(0).cast("long").alias("tf"), F.lit(0).alias("rank")).where("false")
     return found.select("doc_id", "chunk_id", "tf", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
@@ -203,7 +210,7 @@ def top_hits(index: Index, phrase: str, k: int, doc_ids: list | None = None) ->
 def phrase_scores(index: Index, phrase: str, limit: int | None = 20) -> DataFrame:
     """doc_id, chunk_id, tf and score of the chunks that hold the phrase, as bm25_phrase has them: all, or the `limit` best."""
     words = _words(index, phrase)
-    counts = materialize(_matches(index, words, 0.0, None), "index-hits") if words else index.spark.read.parquet(f"{index.path}/chunks").select("doc_id", "chunk_id", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tf")).where("false")
+    counts = materialize(_matches(index, words, 0.0, None), "index-hits") if words else index.table("chunks").select("doc_id", "chunk_id", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tf")).where("false")
     df = counts.count()
     idf = max(math.log((index.n - df + 0.5) / (df + 0.5)), LEAST_IDF) if index.n else LEAST_IDF
     score = F.lit(-idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.mean or 1.0)))
@@ -215,7 +222,7 @@ def literal_hits(index: Index, query: str, limit: int | None, doc_ids: list | No
     """What substring_hits gives, from an index: the dictionary tells which terms can hold the query's pieces, the postings of
     the rarest piece tell the chunks, and these are read and looked through. Queries with letters that folding could part
     otherwise than the text (neither ASCII nor CJK), without a letter or digit, or in very many terms, go over all chunks."""
-    table = index.spark.read.parquet(f"{index.path}/chunks").drop("bucket")
+    table = index.table("chunks").drop("bucket")
     if doc_ids is not None:
         table = table.where(F.col("doc_id").isin(doc_ids))
     pieces = _words(index, query)
@@ -228,7 +235,7 @@ def literal_hits(index: Index, query: str, limit: int | None, doc_ids: list | No
     for i, p in enumerate(pieces):
         loose_left, loose_right = i == 0 and opens, i == len(pieces) - 1 and closes
         tests.append(F.contains(term, F.lit(p)) if loose_left and loose_right else F.endswith(term, F.lit(p)) if loose_left else F.startswith(term, F.lit(p)) if loose_right else term == p)
-    terms = index.spark.read.parquet(f"{index.path}/terms")
+    terms = index.table("terms")
     sums = terms.agg(*[f for i, t in enumerate(tests) for f in (F.count_if(t).alias(f"kinds_{i}"), F.coalesce(F.sum(F.when(t, F.col("df"))), F.lit(0)).alias(f"df_{i}"))]).first()
     best = min(range(len(pieces)), key=lambda i: (sums[f"df_{i}"], i))
     if sums[f"kinds_{best}"] > MOST_EXPANSIONS:
