@@ -69,6 +69,10 @@ class Store:
         manifest = self.manifest(snapshot)
         return None if manifest is None else self._read(manifest, layer)
 
+    def read_buckets(self, layer: str, buckets: list[str]) -> DataFrame | None:
+        """The rows of some buckets of the newest state."""
+        return self._read(self.manifest(), layer, buckets)
+
     def _read(self, manifest: dict, layer: str, only: list[str] | None = None) -> DataFrame | None:
         if not 1 <= manifest["version"] <= CURRENT:
             raise ValueError(f"unknown version {manifest['version']}")
@@ -137,32 +141,37 @@ class Draft:
     def __init__(self, store: Store, manifest: dict) -> None:
         self.store, self.manifest = store, manifest
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64("doc_id"), F.lit(self.manifest["buckets"])).cast("int")
+    @staticmethod
+    def bucket_of(key: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def bucket(self, key: str = "doc_id") -> Column:
+        return self.bucket_of(key, self.manifest["buckets"])
 
     def read(self, layer: str) -> DataFrame | None:
         return self.store._read(self.manifest, layer)
 
-    def put(self, layer: str, new: DataFrame, touched: DataFrame) -> None:
-        """Replaces the rows of the touched documents (doc_id) by new ones; only their buckets are written."""
-        touched = materialize(touched.select("doc_id").distinct(), "touched")
-        here = [str(r[0]) for r in touched.select(self.bucket()).distinct().collect()]  # as many as there are buckets
+    def put(self, layer: str, new: DataFrame, touched: DataFrame, key: str = "doc_id") -> None:
+        """Replaces the rows of the touched documents (doc_id, or what else a layer is laid out by) by new ones; only their
+        buckets are written."""
+        touched = materialize(touched.select(key).distinct(), "touched")
+        here = [str(r[0]) for r in touched.select(self.bucket(key)).distinct().collect()]  # as many as there are buckets
         kept = self.manifest["layers"].get(layer)
         if kept and len(set(kept["at"].values())) >= MOST_FOLDERS:
             here = sorted({*here, *kept["at"]})
         old = self.store._read(self.manifest, layer, here)
-        rows = new if old is None else new.unionByName(old.join(touched, "doc_id", "left_anti"), allowMissingColumns=True)
-        self._write(layer, rows, here)
+        rows = new if old is None else new.unionByName(old.join(touched, key, "left_anti"), allowMissingColumns=True)
+        self._write(layer, rows, here, key)
 
-    def replace(self, layer: str, rows: DataFrame) -> None:
+    def replace(self, layer: str, rows: DataFrame, key: str = "doc_id") -> None:
         """Replaces all rows of a layer."""
-        self._write(layer, rows, None)
+        self._write(layer, rows, None, key)
 
-    def _write(self, layer: str, rows: DataFrame, buckets: list[str] | None) -> None:
+    def _write(self, layer: str, rows: DataFrame, buckets: list[str] | None, key: str = "doc_id") -> None:
         folder = f"data/{layer}/snapshot={self.manifest['snapshot']}"
         self.store._fs.delete(self.store._path(f"{self.store.root}/{folder}"), True)  # of a build that didn't end
         # A bucket has as many writers as its bytes ask for.
-        rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.store.root}/{folder}")
+        rows.withColumn("bucket", self.bucket(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.store.root}/{folder}")
         at = self.manifest["layers"].get(layer, {"at": {}})["at"] if buckets is not None else {}
         kept = {b: home for b, home in at.items() if b not in (buckets or [])}
         own = {n.split("=")[1]: self.manifest["snapshot"] for n in self.store._names(folder) if n.startswith("bucket=")}

@@ -213,10 +213,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     for part in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         table = own.select("query_id", "query_vec").toArrow()
-        held = spark.sparkContext.broadcast((table.column(0).to_pylist(), _unit_rows(table.column(1).combine_chunks())))
+        held = spark.sparkContext.broadcast((table.column(0).to_pylist(), table.schema.field(0).type, _unit_rows(table.column(1).combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, units = held.value
+            names, names_kind, units = held.value
             best: list[list[tuple]] = [[] for _ in names]
             kind = None
             for batch in batches:
@@ -237,7 +237,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     best[q] = sorted([*best[q], *((-sims[q, j], ids[j]) for j in near)])[:k]
             if kind is not None:
                 flat = [(name, i, -s) for name, own in zip(names, best, strict=True) for s, i in own]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat]), pa.array([f[1] for f in flat], kind), pa.array([f[2] for f in flat], pa.float64())], ["query_id", "id", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], names_kind), pa.array([f[1] for f in flat], kind), pa.array([f[2] for f in flat], pa.float64())], ["query_id", "id", "similarity"])
 
         out = out.unionByName(rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL").mapInArrow(run, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
