@@ -78,7 +78,11 @@ def _parsed(messages: DataFrame) -> DataFrame:
             names = ["own_text", "max_level", "n_passages", "quoted", "units"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)]], ["conv", "turn", "role", *names])
 
-    return messages.mapInArrow(run, "conv long, turn long, role string, " + PARSED)
+    return messages.mapInArrow(run, f"conv {_kind(messages, 'conv')}, turn {_kind(messages, 'turn')}, role string, " + PARSED)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def linked_passages(parsed: DataFrame) -> DataFrame:
@@ -89,16 +93,17 @@ def linked_passages(parsed: DataFrame) -> DataFrame:
     of the same conversation go before others. All messages without a conversation are one conversation."""
     quotes = materialize(parsed.select("conv", "turn", F.inline("quoted")).distinct(), "quotes")
     if quotes.isEmpty():
-        return parsed.sparkSession.createDataFrame([], "conv long, turn long, passage int, level int, p_conv long, p_turn long")
+        conv, turn = _kind(parsed, "conv"), _kind(parsed, "turn")
+        return parsed.sparkSession.createDataFrame([], f"conv {conv}, turn {turn}, passage int, level int, p_conv {conv}, p_turn {turn}")
     wanted = quotes.select("hash").distinct()
-    originals = parsed.select("conv", "turn", F.explode("units").alias("hash")).where("turn IS NOT NULL").join(wanted, "hash", "left_semi")
+    originals = join_to_one(parsed.select("conv", "turn", F.explode("units").alias("hash")).where("turn IS NOT NULL"), wanted, ["hash"])
     # Summed up before the joins, so each quoted unit meets one row at most, however often its words occur.
     here = materialize(originals.groupBy("conv", "hash").agg(F.min("turn").alias("h_turn")), "quote-originals")
     # The two first conversations of each unit: one of them is another than the quoting one.
-    in_order = Window.partitionBy("hash").orderBy(F.asc_nulls_last("conv"))
-    firsts = here.withColumn("k", F.row_number().over(in_order)).where("k <= 2")
-    place = lambda k: F.max(F.when(F.col("k") == k, F.struct(F.col("conv").alias("conv"), F.col("h_turn").alias("turn"))))
-    there = materialize(firsts.groupBy("hash").agg(place(1).alias("first"), place(2).alias("second")), "quote-firsts")
+    place = F.struct(F.col("conv").isNull().alias("none"), "conv", F.col("h_turn").alias("turn"))
+    least = materialize(here.groupBy("hash").agg(F.min(place).alias("first")), "quote-first")
+    others = join_to_one(here, least, ["hash"]).where(~F.col("conv").eqNullSafe(F.col("first.conv"))).groupBy("hash").agg(F.min(place).alias("second"))
+    there = materialize(least.join(others, "hash", "left"), "quote-firsts")  # a row a hash on either side
     with_own = join_to_one(quotes, here, ["conv", "hash"], "left")
     q = join_to_one(materialize(with_own, "quote-own"), there, ["hash"], "left")
     own = F.coalesce(F.col("h_turn") < F.col("turn"), F.lit(False))
@@ -118,8 +123,8 @@ def _roots(replies: DataFrame) -> DataFrame:
     """conv, turn, root and depth of all messages that reply to another, by pointer doubling."""
     now = materialize(replies.select("conv", "turn", F.col("p_turn").alias("root"), F.lit(1).alias("depth")), "reply-roots")
     while True:
-        up = now.select(F.col("conv").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
-        joined = now.select("conv", "turn", "root", "depth").join(up, F.col("conv").eqNullSafe(F.col("u_conv")) & (F.col("root") == F.col("u_turn")), "left")
+        up = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
+        joined = join_to_one(now.select("conv", "turn", "root", "depth"), up, ["conv", "root"], "left")
         new = materialize(joined.select("conv", "turn", F.coalesce("u_root", "root").alias("root"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), F.col("u_root").isNotNull().alias("moved")), "reply-roots")
         discard(now)
         if new.where("moved").isEmpty():
@@ -135,26 +140,27 @@ def reply_ordered(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     Threads follow each other by the turn of their root, messages within a thread by turn, so a reply stands after what
     it answers; reply_pos counts them from 0 in each conversation. n_linked counts passages with an original anywhere.
 
-    Null texts are empty messages. Rows of the same conversation and turn count as one message when links are made, and
+    Ids and turns keep their types, text among them; turns are ordered by their type. A text is parsed whole, as long as it
+    may be. Null texts are empty messages. Rows of the same conversation and turn count as one message when links are made, and
     each has its own place, ordered by role and text. The messages with a null conversation id are one conversation; a message
     with a null turn comes first, links to nothing and is nobody's original. An empty table gives an empty result; other columns are not read.
     """
-    messages = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
-    parsed = materialize(_parsed(messages), "messages")
+    messages = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
+    # The row's number tells equal rows apart, so that they needn't lie in one partition when they are ranked.
+    parsed = materialize(_parsed(messages).withColumn("row", F.monotonically_increasing_id()), "messages")
     links = materialize(linked_passages(parsed), "quote-links")
     counted = links.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"))
     first = Window.partitionBy("conv", "turn").orderBy("level", "passage")
     replies = links.where(F.col("conv").eqNullSafe(F.col("p_conv"))).withColumn("k", F.row_number().over(first)).where("k = 1").select("conv", "turn", "p_turn")
     replies = materialize(replies, "replies")
     roots = materialize(join_to_one(replies, _roots(replies), ["conv", "turn"]), "reply-threads")
-    about = join_to_one(counted, roots, ["conv", "turn"], "left").select("conv", "turn", "n_linked", "root", "depth", "p_turn").toDF("a_conv", "a_turn", "n_linked", "root", "depth", "p_turn")
-    same = F.col("conv").eqNullSafe(F.col("a_conv")) & F.col("turn").eqNullSafe(F.col("a_turn"))
-    threaded = parsed.join(about, same, "left").select(
+    about = join_to_one(counted, roots, ["conv", "turn"], "left").select("conv", "turn", "n_linked", "root", "depth", "p_turn")
+    threaded = join_to_one(parsed.drop("units", "quoted"), about, ["conv", "turn"], "left").select(
         "conv", "turn", "role", "own_text", "max_level", "n_passages",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("p_turn").alias("reply_to"),
-        F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), "row",
     )
-    ranked = with_global_rank(threaded, ["conv", "thread", "turn", "role", "own_text"])
+    ranked = with_global_rank(threaded, ["conv", "thread", "turn", "role", "own_text", "row"])
     begin = ranked.groupBy("conv").agg(F.min("rank").alias("begin")).withColumnRenamed("conv", "b_conv")
     placed = join_to_one(ranked, begin.withColumnRenamed("b_conv", "conv"), ["conv"])
     return placed.select(

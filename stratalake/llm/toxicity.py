@@ -27,9 +27,8 @@ FUZZY_LENGTH, FUZZY_STEM = 5, 7
 STEMS = (4, 5, 6, 7, 8)
 #: A stem stands for words of which the documents have this many different ones.
 STEM_WORDS = 3
-#: Words before and after a term, and characters after it in which the quotation's end is looked for, that tell quotation
-#: from abuse.
-WINDOW_WORDS, WINDOW = 6, 200
+#: Words before and after a term that tell quotation from abuse.
+WINDOW_WORDS = 6
 #: Documents scored from this on are predicted toxic.
 THRESHOLD = 0.7
 #: States of the automaton that a task keeps at once; beyond that it forgets them and makes them anew as words need them.
@@ -230,7 +229,10 @@ def quoted(text: str, start: int, end: int) -> bool:
             opened = "" if m[0] in QUOTES[opened] else opened
         elif m[0] in QUOTES:
             opened = m[0]
-    return bool(opened) and any(c in text[end : end + WINDOW].split("\n", 1)[0] for c in QUOTES[opened])
+    if not opened:
+        return False
+    stop = text.find("\n", end)
+    return any(text.find(c, end, stop if stop >= 0 else len(text)) >= 0 for c in QUOTES[opened])
 
 
 def hits_of(lexicon: Lexicon, texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[int, int, bool, list[str]]]]]:
@@ -316,7 +318,7 @@ def _term_counts(train: DataFrame) -> DataFrame:
                         counts.setdefault(w, [0, 0])[0 if labels[at + i] else 1] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["term", "toxic", "clean"])
 
-    return train.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.length("term").between(3, 40))
+    return train.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _one_sided(toxic: Column, clean: Column, bad: int, good: int, tried: int) -> tuple[Column, Column, Column]:

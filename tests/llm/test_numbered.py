@@ -901,6 +901,24 @@ def test_quotation_marks():
         assert toxicity.quoted(t, t.index("idiot"), t.index("idiot") + 5) == want, t
 
 
+def test_a_quotation_closes_anywhere_in_its_line():
+    far = 'He said "idiot ' + "and so on " * 60 + '" at last'
+    assert toxicity.quoted(far, 9, 14) and not toxicity.quoted(far.replace(" and", "\nand", 1), 9, 14)
+
+
+def test_terms_of_any_length(spark):
+    rng = random.Random(8)
+    filler = [f"filler{i}" for i in range(200)]
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    long = "verbosely" * 6
+    odd = ["x", "坏人", long]
+    rows = [(i, f"{prose(20)} {odd[i // 3 % 3]} {prose(20)}" if i % 3 == 0 else prose(40), "en", "a") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(make_docs(spark, rows), labels)
+    assert all(s > 0.7 for s in model.scores([f"{prose(20)} {w} {prose(20)}" for w in [*odd, long[:-1]]]))
+    assert all(s < 0.7 for s in model.scores([prose(40), "y " + prose(40), None, ""]))
+
+
 def test_context_tells_quotation_from_abuse(spark):
     # A term that stands in toxic and in clean documents alike; the words around it tell them apart.
     rng = random.Random(6)
@@ -1128,6 +1146,19 @@ def test_links_against_brute_force(spark):
     assert {r.n_linked: r["count"] for r in found} == {1: 11_001, 0: 1}
 
 
+def test_replies_with_ids_of_text_and_many_answers_to_one_message(spark):
+    m = [("a-1", "t0", "u", "First thing here."), ("a-1", "t1", "u", "> first thing here\nyes"), ("b-2", "t0", "u", "> first thing here\nno")]
+    found = quotations.reply_ordered(spark.createDataFrame(m, "conv_id string, turn string, role string, text string"))
+    assert found.schema["conv_id"].dataType.simpleString() == found.schema["reply_to"].dataType.simpleString() == "string"
+    assert sorted((r.conv_id, r.turn, r.reply_to, r.n_linked) for r in found.collect()) == [("a-1", "t0", None, 0), ("a-1", "t1", "t0", 1), ("b-2", "t0", None, 1)]
+    # Twenty thousand answers to one message, and equal messages of no conversation.
+    hot = [(1, 0, "u", "What do you all think?")] + [(1, i, "u", f"> What do you all think?\nanswer {i}") for i in range(1, 20_001)] + [(None, 0, "u", "same")] * 20_000
+    rows = quotations.reply_ordered(spark.createDataFrame(hot, "conv_id int, turn int, role string, text string")).toPandas()
+    one, none = rows[rows.conv_id == 1], rows[rows.conv_id.isna()]
+    assert len(one) == 20_001 and (one.sort_values("reply_pos").turn.to_numpy() == range(20_001)).all() and (one[one.turn > 0].reply_to == 0).all() and one.n_linked.sum() == 20_000
+    assert sorted(none.reply_pos) == list(range(20_000))
+
+
 def test_global_rank(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(200)], "a int, b int").repartition(6)
     got = [(r.a, r.b) for r in sorted(with_global_rank(df, ["a", "b"]).collect(), key=lambda r: r["rank"])]
