@@ -45,19 +45,23 @@ def neighbors(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1, lim
 def trace(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
     """For each pair (from_id, to_id) a shortest directed path of at most max_depth steps as an array of nodes.
 
-    Of several, the least by its nodes. A node is its own path; pairs without a path give no row."""
+    Of several, the least by its nodes. A node is its own path; pairs without a path give no row. Paths are grown once for
+    each from_id, whatever the number of its pairs, and no further than until all of them are found."""
     steps = _steps(edges, True, None)
-    paths = pairs.select("from_id", "to_id", F.col("from_id").alias("at"), F.array("from_id").alias("path"))
-    done, live = paths.where("from_id = to_id"), materialize(paths.where("from_id <> to_id"), "trace")
-    seen = live.select("from_id", "to_id", "at")
-    for _ in range(max_depth):
-        grown = live.join(steps, "at").select("from_id", "to_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        least = grown.groupBy("from_id", "to_id", "at").agg(F.min("path").alias("path")).join(seen, ["from_id", "to_id", "at"], "left_anti")
-        new = materialize(least, "trace")
-        found = new.where(F.col("at") == F.col("to_id"))
-        done = done.unionByName(found.select(done.columns))
-        seen = seen.unionByName(new.select("from_id", "to_id", "at"))
-        live = new.join(found.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    done = pairs.where("from_id = to_id").select("from_id", "to_id", F.array("from_id").alias("path"))
+    asked = materialize(pairs.where("from_id <> to_id").select("from_id", "to_id").distinct(), "trace")
+    live = materialize(asked.select("from_id", F.col("from_id").alias("at")).distinct().withColumn("path", F.array("from_id")), "trace")
+    seen = live.select("from_id", "at")
+    for step in range(1, max_depth + 1):
+        grown = live.join(steps, "at").select("from_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+        new = materialize(grown.groupBy("from_id", "at").agg(F.min("path").alias("path")).join(seen, ["from_id", "at"], "left_anti"), "trace")
+        met = asked.join(new, (asked["from_id"] == new["from_id"]) & (asked["to_id"] == new["at"])).select(asked["from_id"], asked["to_id"], "path")
+        found = materialize(met, "trace")
+        done = done.unionByName(found)
+        if step < max_depth:
+            seen = seen.unionByName(new.select("from_id", "at"))
+            asked = materialize(asked.join(found.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti"), "trace")
+            live = new.join(asked.select("from_id").distinct(), "from_id", "left_semi")
     return done.select("from_id", "to_id", (F.size("path") - 1).alias("length"), "path")
 
 
