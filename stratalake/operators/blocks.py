@@ -42,24 +42,24 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return rows.select(id_col, "reading_order", kind.alias("kind"), level.alias("heading_level"), body.alias("text")).where(F.col("text") != "")
 
 
-def _own_path(blocks: DataFrame) -> Column:
-    """A heading's number, else the path that its parser counted."""
+def _own_path(blocks: DataFrame, numbered: bool = True) -> Column:
+    """A heading's number, if headings are numbered, else the path that its parser counted."""
     counted = F.col("section_path") if "section_path" in blocks.columns else F.lit(None).cast("string")
-    return F.coalesce(heading_path(F.col("text")), counted)
+    return F.coalesce(heading_path(F.col("text")), counted) if numbered else counted
 
 
-def section_index(blocks: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+def section_index(blocks: DataFrame, toc: DataFrame | None = None, numbered: bool = True) -> DataFrame:
     """doc_id and path of the sections that a document has: its table of contents first, then its headings."""
-    heads = blocks.where("kind = 'heading'").select("doc_id", _own_path(blocks).alias("path")).where("path IS NOT NULL")
+    heads = blocks.where("kind = 'heading'").select("doc_id", _own_path(blocks, numbered).alias("path")).where("path IS NOT NULL")
     if toc is not None:
         own = F.coalesce("section_path", heading_path(F.col("title")), F.substring(F.regexp_replace(F.trim("title"), r"[^A-Za-z0-9_.\-]+", "_"), 1, 64))
         heads = heads.unionByName(toc.select("doc_id", own.alias("path")).where("path IS NOT NULL"))
     return heads.distinct()
 
 
-def with_section_path(blocks: DataFrame, index: DataFrame) -> DataFrame:
+def with_section_path(blocks: DataFrame, index: DataFrame, numbered: bool = True) -> DataFrame:
     """blocks with path: a heading's own number, a block's indexed section_path, else what the blocks before carry on."""
-    given = F.when(F.col("kind") == "heading", _own_path(blocks)).otherwise(F.col("section_path") if "section_path" in blocks.columns else F.lit(None).cast("string"))
+    given = F.when(F.col("kind") == "heading", _own_path(blocks, numbered)).otherwise(F.col("section_path") if "section_path" in blocks.columns else F.lit(None).cast("string"))
     known = index.select(F.col("doc_id").alias("k_doc"), F.col("path").alias("known"))
     joined = blocks.withColumn("given", given).join(known, (F.col("doc_id") == F.col("k_doc")) & (F.col("given") == F.col("known")), "left").drop("k_doc")
     order = Window.partitionBy("doc_id").orderBy("page", "reading_order", "id").rowsBetween(Window.unboundedPreceding, 0)

@@ -37,7 +37,7 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading's beginning don't count as section paths here."""
     found = blocks.html_blocks(table(spark, sf_dir, "pages"))
     flat = found.select(F.concat_ws("#", "page_id", "reading_order").alias("id"), F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.when(F.col("kind") == "heading", "heading").otherwise("paragraph").alias("kind"), "reading_order", "text", F.lit(None).cast("string").alias("section_path"))
-    cut = chunks.segment_chunks(flat)
+    cut = chunks.segment_chunks(flat, numbered=False)
     return cut.select("id", "doc_id", "ordinal", "chunk_type", "text", F.size("block_ids").cast("long").alias("n_blocks"))
 
 

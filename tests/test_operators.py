@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from stratalake.core.storage import materialize
 from stratalake.functions import text as T
 from stratalake.operators import audits, blocks, chunks, exports, extract, graph, incremental, retrieval
 from stratalake.sources import files
@@ -62,6 +63,12 @@ def test_segment_chunks(spark):
     assert [len(r.block_ids) for r in sorted(chunks.segment_chunks(long).collect(), key=lambda r: r.ordinal)] == [3, 3, 1]
 
 
+def test_segment_chunks_without_numbers(spark):
+    b = blocks_df(spark, [("d#b0", "d", 1, "heading", 0, "44.144.126.223 +1 Th anatble", None), ("d#b1", "d", 1, "paragraph", 1, "prose", None)])
+    assert [r.section for r in chunks.segment_chunks(b).collect()] == ["44.144.126.223"]
+    assert [(r.id, r.section, r.block_ids) for r in chunks.segment_chunks(b, numbered=False).collect()] == [("d#section#p1#0", None, ["d#b0", "d#b1"])]
+
+
 def test_split_oversized(spark):
     text = " ".join(f"Sentence number {i} has some content about registers." for i in range(60))
     df = spark.createDataFrame([("c", text, 7), ("s", "short.", 8), ("l", "y" * 4500, 9)], "id string, text string, page int")
@@ -155,6 +162,17 @@ def test_graph(spark):
     assert graph.neighbors(nodes, edges, "missing", 2)[0].count() == 0
 
 
+def test_trace_grows_paths_once_a_source(spark, monkeypatch):
+    edges = spark.range(60).select(F.lit("R").alias("src"), F.concat(F.lit("n"), F.col("id") % 3, F.lit("_"), "id").alias("dst"))
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.concat(F.lit("leaf"), "dst").alias("dst")))
+    pairs = edges.where("dst LIKE 'leaf%'").select(F.lit("R").alias("from_id"), F.col("dst").alias("to_id"))
+    rows = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (lambda out: rows.append(out.count()) or out)(materialize(df, name)))
+    path = graph.trace(edges, pairs.unionByName(pairs)).collect()
+    assert sorted((r.from_id, r.length, r.path[-1]) for r in path) == sorted(("R", 2, r.to_id) for r in pairs.collect())
+    assert max(rows) <= 60  # not a row for each pair and node
+
+
 def test_linkers(spark):
     n = spark.createDataFrame([("a", "register", "CR1", "d1", "x", 10, 5, None, 1), ("b", "register", "cr-1", "d2", "x", 100, 9, None, 2), ("c", "register", "CR1", "d3", "y", 1, 1, None, 3)], "id string, kind string, name string, doc_id string, instance string, priority int, page int, qualified_name string, seq int")
     assert [(r.src, r.dst) for r in graph.alias_edges(n).collect()] == [("a", "b")]
