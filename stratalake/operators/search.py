@@ -1,26 +1,34 @@
 """Search through an index that is written once: postings with upper bounds, a dictionary, and chunks and evidence by buckets.
 
-A posting row holds the chunks of one term whose contribution to BM25 lies between the same two levels, with the largest and
-the least of them. The rows of a term are sorted by it, so that a search for the k best reads a term's rows from a bound on,
+A posting row holds the chunks of one term and one block whose contribution to BM25 lies between the same two levels, with the
+largest of them: the chunks by number (refs), where their places end in the row, and the places. Table refs tells the numbers. The rows of a term are sorted by it, so that a search for the k best reads a term's rows from a bound on,
 and goes lower only if these hold fewer than k hits."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from stratalake.core.storage import materialize
 from stratalake.functions.text import tokens
 from stratalake.operators.retrieval import B, K1, LEAST_IDF, substring_hits
 
-#: Levels of a contribution (of K1 + 1 at most), and chunks of a row, about.
-LEVELS, ROW_CHUNKS = 64, 4096
+#: Levels of a contribution (of K1 + 1 at most), and tokens of a block: a posting row is of one block of chunks.
+LEVELS, BLOCK_TOKENS = 64, 1 << 21
+#: A term that fewer chunks of a block hold has one row there, at the least of their levels.
+LEAST_CHUNKS = 64
 #: Tokens and bytes for each bucket of the written tables; there are MOST_BUCKETS at most.
 BUCKET_TOKENS, BUCKET_BYTES, MOST_BUCKETS = 20_000_000, 128 << 20, 4096
+#: Up to so many files of a table each task writes its rows to their buckets itself; beyond, they are moved by bucket first.
+MOST_FILES = 8192
 #: The first bound leaves so many times the wanted hits; each further round so many times more.
 FIRST_ROUND, NEXT_ROUND = 4, 16
 #: A substring that so many dictionary terms hold at most is looked up by them, else in the texts.
@@ -37,32 +45,88 @@ def _buckets(size: float, each: int) -> int:
     return max(1, min(MOST_BUCKETS, math.ceil(size / each)))
 
 
-def _write(df: DataFrame, key: str, buckets: int, order: list[str], path: str) -> None:
-    """By buckets of a key, sorted within files; a bucket has as many writers as its bytes ask for."""
-    spread = df.withColumn("bucket", _home(key, buckets)).hint("rebalance", "bucket")
-    spread.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
-
-
-def contribution(tf: Column, length: Column, mean: float) -> Column:
+def _write(df: DataFrame, key: str, buckets: int, order: list[str], path: str, number: str | None = None) -> None:
+    """By buckets of a key, sorted within files; rows that are moved for it have as many writers a bucket as its bytes ask for.
+    number: a column that numbers the rows as they are written."""
+    homed = df.withColumn("bucket", _home(key, buckets))
+    spread = homed if buckets * df.rdd.getNumPartitions() <= MOST_FILES else homed.hint("rebalance", "bucket")
+    spread = spread.sortWithinPartitions("bucket", *order)
+    numbered = spread if number is None else spread.withColumn(number, F.monotonically_increasing_id())
+    numbered.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def _block_rows(refs: pa.Array, words: pa.Array, mean: float) -> pa.RecordBatch:
+    """The posting rows of one block of chunks: tokens by term and chunk, then by term and level."""
+    codes = (coded := words.flatten().dictionary_encode()).indices.to_numpy()
+    lengths = words.value_lengths().to_numpy().astype(np.int64)
+    chunk, starts = np.repeat(np.arange(len(refs)), lengths), np.cumsum(lengths) - lengths
+    by_term = np.argsort(codes, kind="stable")
+    codes, chunk, at = codes[by_term], chunk[by_term], (np.arange(len(codes)) - np.repeat(starts, lengths))[by_term].astype(np.int32)
+    first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])])
+    tf, term, chunk = np.diff(np.r_[first, len(codes)]), codes[first], chunk[first]
+    most = contribution(tf, lengths[chunk], mean)
+    level = np.floor(most * LEVELS).astype(np.int64)
+    own = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    held = np.diff(np.r_[own, len(term)])
+    level = np.where(np.repeat(held < LEAST_CHUNKS, held), np.repeat(np.minimum.reduceat(level, own), held), level)
+    order = np.lexsort((level, term))
+    term, level, chunk, most, tf, first = term[order], level[order], chunk[order], most[order], tf[order], first[order]
+    row = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (level[1:] != level[:-1])])
+    bounds, upto = np.r_[row, len(term)], np.r_[0, np.cumsum(tf)]
+    places = at[np.arange(len(at)) + np.repeat(first - upto[:-1], tf)]
+    listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+    ends = (upto[1:] - np.repeat(upto[row], np.diff(bounds))).astype(np.int32)
+    columns = [coded.dictionary.take(pa.array(term[row])), pa.array(level[row]), pa.array(np.maximum.reduceat(most, row)), pa.array(np.diff(bounds)), listed(bounds, refs.to_numpy()[chunk]), listed(bounds, ends), listed(upto[bounds], places)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "level", "most", "n", "refs", "ends", "places"])
+
+
+def posting_rows(chunks: DataFrame, mean: float) -> DataFrame:
+    """term, level, most, n, refs, ends and places of chunks (ref, text). A task inverts its chunks in blocks of some BLOCK_TOKENS
+    tokens, so that what is moved by term afterwards are rows of many chunks and not tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                done = ends[at - 1] if at else 0
+                to = min(batch.num_rows, int(np.searchsorted(ends, done + BLOCK_TOKENS - size)) + 1)
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1] - done)
+                at = to
+                if size >= BLOCK_TOKENS:
+                    yield from inverted(held)
+                    held, size = [], 0
+        yield from inverted(held)
+
+    def inverted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            rows = _block_rows(*[pa.concat_arrays(whole.column(k).chunks) for k in range(2)], mean)
+            yield from (rows.slice(k, 10_000) for k in range(0, rows.num_rows, 10_000))
+
+    schema = "term string, level long, most double, n long, refs array<long>, ends array<int>, places array<int>"
+    return chunks.select("ref", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).mapInArrow(run, schema)
+
+
+def contribution(tf: Column | np.ndarray, length: Column | np.ndarray, mean: float) -> Column | np.ndarray:
     """What BM25 multiplies the inverse document frequency with: grows with tf, falls with the length."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean or 1.0)))
 
 
 def write_index(chunks: DataFrame, path: str, nodes: DataFrame | None = None) -> str:
     """Writes an index of chunks (doc_id, chunk_id, text and more) under path: postings, dictionary, chunks, statistics; with
     nodes (id and more; source_chunk_ids, source_block_ids), also what nodes each chunk and block is evidence of."""
     spark = chunks.sparkSession
-    words = materialize(chunks.select("doc_id", "chunk_id", tokens(F.col("text")).alias("w"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).withColumn("len", F.size("w").cast("long")), "index-words")
-    n, total, size = words.agg(F.count("*"), F.sum("len"), F.sum("bytes")).first()
-    mean, buckets, shelves = (total or 0) / n if n else 0.0, _buckets(total or 0, BUCKET_TOKENS), _buckets(size or 0, BUCKET_BYTES)
-    places = words.select("doc_id", "chunk_id", "len", F.posexplode("w").alias("at", "term")).groupBy("term", "doc_id", "chunk_id", "len").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    most = contribution(F.size("places"), F.col("len"), mean)
-    level, salt = F.floor(F.col("most") * LEVELS), F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, math.ceil(n / ROW_CHUNKS))))
-    rows = places.withColumn("most", most).groupBy("term", level.alias("level"), salt.alias("salt")).agg(F.max("most").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "chunk_id", "len", "places")).alias("entries"))
-    _write(rows.select("term", "level", "most", "n", "entries"), "term", buckets, ["term", "most"], f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
-    _write(chunks, "chunk_id", shelves, ["chunk_id"], f"{path}/chunks")
+    shelves = _buckets(chunks.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, BUCKET_BYTES)
+    _write(chunks, "chunk_id", shelves, ["chunk_id"], f"{path}/chunks", "ref")
+    chunks = spark.read.schema(StructType([*chunks.schema, StructField("ref", LongType())])).parquet(f"{path}/chunks")
+    chunks.select("ref", "doc_id", "chunk_id", F.size(tokens(F.col("text"))).alias("len")).write.parquet(f"{path}/refs")
+    n, total = spark.read.parquet(f"{path}/refs").agg(F.count("*"), F.sum(F.col("len").cast("long"))).first()
+    mean, buckets = (total or 0) / n if n else 0.0, _buckets(total or 0, BUCKET_TOKENS)
+    _write(posting_rows(chunks, mean), "term", buckets, ["term", "most"], f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
     document_sums(chunks).write.parquet(f"{path}/documents")
     spark.createDataFrame([(n, float(mean), buckets, shelves, nodes is not None)], "n long, mean double, buckets int, shelves int, with_nodes boolean").coalesce(1).write.parquet(f"{path}/stats")
     if nodes is not None:
@@ -121,10 +185,10 @@ class Index:
 
     def chunks(self, ids: list) -> DataFrame:
         """Of a bounded list of ids."""
-        return self.rows_of("chunks", "chunk_id", ids, self.shelves)
+        return self.rows_of("chunks", "chunk_id", ids, self.shelves).drop("ref")
 
     def all_chunks(self) -> DataFrame:
-        return self.table("chunks").drop("bucket")
+        return self.table("chunks").drop("bucket", "ref")
 
     def by_document(self) -> DataFrame:
         return self.table("documents")
@@ -157,14 +221,20 @@ def _matches(index: Index, words: list[str], least: float, doc_ids: list | None)
     """doc_id, chunk_id, len, tf of the chunks that hold the words one after another, from postings with a bound of at least
     `least`: complete for phrases that contribute as much, since a phrase stands in a chunk no more often than its words."""
     own = index.spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string")
-    entry = _postings(index, words, least).select("term", F.explode("entries").alias("e")).select("term", "e.*")
+    rows = _postings(index, words, least)
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    refs = index.table("refs")
     if doc_ids is not None:
-        entry = entry.where(F.col("doc_id").isin(doc_ids))
+        refs = refs.where(F.col("doc_id").isin(doc_ids))
     if len(words) == 1:
-        return entry.select("doc_id", "chunk_id", "len", F.size("places").cast("long").alias("tf"))
-    starts = entry.join(F.broadcast(own), F.col("term") == F.col("word")).select("doc_id", "chunk_id", "len", "i", F.explode("places").alias("at"))
-    whole = starts.groupBy("doc_id", "chunk_id", "len", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("k")).where(F.col("k") == len(words))
-    return whole.groupBy("doc_id", "chunk_id", "len").agg(F.count("*").alias("tf"))
+        entry = F.transform("refs", lambda r, i: F.struct(r.alias("ref"), (F.get("ends", i) - start(i)).cast("long").alias("tf")))
+        found = rows.select(F.explode(entry).alias("e")).select("e.*")
+    else:
+        entry = F.transform("refs", lambda r, i: F.struct(r.alias("ref"), F.slice("places", start(i) + 1, F.get("ends", i) - start(i)).alias("places")))
+        starts = rows.select("term", F.explode(entry).alias("e")).join(F.broadcast(own), F.col("term") == F.col("word")).select("e.ref", "i", F.explode("e.places").alias("at"))
+        whole = starts.groupBy("ref", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("k")).where(F.col("k") == len(words))
+        found = whole.groupBy("ref").agg(F.count("*").alias("tf"))
+    return found.join(refs, "ref").select("doc_id", "chunk_id", "len", "tf")
 
 
 def _bounds(index: Index, words: list[str], k: int) -> list[float]:
@@ -241,8 +311,8 @@ def literal_hits(index: Index, query: str, limit: int | None, doc_ids: list | No
     if sums[f"kinds_{best}"] > MOST_EXPANSIONS:
         return substring_hits(table, query, limit)
     names = [r[0] for r in terms.where(tests[best]).select("term").collect()]
-    entries = index.rows_of("postings", "term", names, index.buckets).select(F.explode("entries.chunk_id").alias("chunk_id")).distinct()
-    return substring_hits(table.join(entries, "chunk_id", "left_semi"), query, limit)
+    entries = index.rows_of("postings", "term", names, index.buckets).select(F.explode("refs").alias("ref")).distinct()
+    return substring_hits(table.join(entries, "ref", "left_semi"), query, limit)
 
 
 def search_text(index: Index, query: str, limit: int, doc_ids: list | None = None) -> tuple[DataFrame, list[str], bool]:

@@ -63,6 +63,19 @@ def test_bounds_leave_out_postings(spark, monkeypatch):
     assert search.top_hits(index, "hot cold", 5000).count() == 2995
 
 
+def test_tokens_are_not_moved(spark, corpus, monkeypatch):
+    """Tasks invert their chunks in blocks: no shuffle of tokens or postings, and a rare term is one row a block."""
+    rows = search.posting_rows(corpus.coalesce(1).withColumn("ref", F.monotonically_increasing_id()), 30.0)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    of = {r.term: (r.rows, r.n) for r in rows.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
+    assert of["the"][0] > 1
+    monkeypatch.setattr(search, "LEAST_CHUNKS", 1 << 20)
+    monkeypatch.setattr(search, "BLOCK_TOKENS", 1000)
+    small = search.posting_rows(corpus.coalesce(1).withColumn("ref", F.monotonically_increasing_id()), 30.0)
+    assert 3 < small.where("term = 'the'").count() < 30
+    assert {r.term: r.n for r in small.groupBy("term").agg(F.sum("n").alias("n")).collect()} == {t: n for t, (_, n) in of.items()}
+
+
 def test_only_the_terms_buckets_are_read(spark, corpus, monkeypatch):
     monkeypatch.setattr(search, "BUCKET_TOKENS", 500)
     index = search.open_index(spark, search.write_index(corpus, fresh_path(spark, "test-index")))
