@@ -58,8 +58,7 @@ def display_name(c: Column) -> Column:
 
 def header_echo(c: Column, headers: Column) -> Column:
     """Whether a cell repeats a header; headers are plain (see norm_header)."""
-    plain = norm_header(c)
-    return (plain != "") & F.array_contains(headers, plain)
+    return let(norm_header(c), lambda plain: (plain != "") & F.array_contains(headers, plain))
 
 
 def is_address(c: Column) -> Column:
@@ -115,7 +114,7 @@ def register_in_cells(row: Column, skip: list[Column]) -> Column:
     for k in range(4):
         name = F.regexp_extract(F.coalesce(F.get(row, F.lit(k)), F.lit("")), CELL_NAME, 1)
         free = reduce(lambda a, b: a & b, [F.coalesce(s != k, F.lit(True)) for s in skip], F.lit(True))
-        found.append(F.when(free & (name != ""), name))
+        found.append(F.when(free, let(name, blank_to_null)))
     return F.coalesce(*found)
 
 
@@ -138,10 +137,11 @@ def bit_pair(high: Column, low: Column) -> Column:
 def bits_in_text(c: Column) -> Column:
     """struct(high, low) of a:b, [n], (n), bit n, or a number beside the word bit; null without one."""
     s = F.coalesce(c, F.lit(""))
-    get = lambda p, k=1: blank_to_null(F.regexp_extract(s, p, k)).cast("int")
-    a, b = get(r"(\d+)\s*[:：]\s*(\d+)"), get(r"(\d+)\s*[:：]\s*(\d+)", 2)
+    get = lambda p, k=1: let(F.regexp_extract(s, p, k), blank_to_null).cast("int")
+    pair = F.array(*[get(r"(\d+)\s*[:：]\s*(\d+)", k) for k in (1, 2)])
     one = F.coalesce(get(r"[\[(]\s*(\d+)\s*[\])]"), get(r"(?i)\bbits?\s*(\d+)\b"), F.when(s.rlike(r"(?i)\bbit"), get(r"\b(\d+)\b")))
-    return F.when(a.isNotNull(), F.struct(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"))).when(one.isNotNull(), F.struct(one.alias("high"), one.alias("low")))
+    places = F.coalesce(let(pair, lambda x: F.when(x[0].isNotNull(), x)), let(one, lambda x: F.array(x, x)))
+    return let(places, lambda x: F.when(x[0].isNotNull(), F.struct(F.greatest(x[0], x[1]).alias("high"), F.least(x[0], x[1]).alias("low"))))
 
 
 def field_in_description(description: Column, bits: Column) -> Column:

@@ -6,9 +6,9 @@ import json
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from stratalake.core.storage import materialize
 from stratalake.functions.text import KIND_NAMES, f1, golden_kind, golden_name, safe_div
@@ -92,6 +92,13 @@ def low_confidence(edges: DataFrame, least: float = 0.85, limit: int = 50) -> Da
     return edges.where(F.col("confidence") < least).orderBy("confidence", "src", "dst", "kind").limit(limit)
 
 
+def bits_clash(of_register: WindowSpec, low: str, high: str, idx: str) -> Column:
+    """Whether a field has no valid bits or begins before the end of one that comes before it in its register (by low and idx)."""
+    before = of_register.orderBy(low, idx).rowsBetween(Window.unboundedPreceding, -1)
+    valid = F.coalesce((F.col(low) >= 0) & (F.col(low) <= F.col(high)), F.lit(False))
+    return ~valid | F.coalesce(F.max(high).over(before) >= F.col(low), F.lit(False))
+
+
 def best_bitfields(fields: DataFrame) -> DataFrame:
     """fields (register, idx, name, low, high) with kept: of each register's fields the set without overlaps that covers
     most bits, then holds most fields. A register whose fields don't overlap keeps all; the others, small groups, are
@@ -112,10 +119,8 @@ def best_bitfields(fields: DataFrame) -> DataFrame:
         return pdf[["register", "idx", "name", "low", "high", "kept"]]
 
     named = fields.select("register", F.col("idx").cast("int").alias("idx"), "name", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"))
-    before = Window.partitionBy("register").orderBy("low", "idx").rowsBetween(Window.unboundedPreceding, -1)
-    valid = F.coalesce((F.col("low") >= 0) & (F.col("low") <= F.col("high")), F.lit(False))
-    hard = F.max(~valid | F.coalesce(F.col("top") >= F.col("low"), F.lit(False))).over(Window.partitionBy("register"))
-    seen = materialize(named.withColumn("top", F.max("high").over(before)).withColumn("hard", hard).drop("top"), "bitfields")
+    of_register = Window.partitionBy("register")
+    seen = materialize(named.withColumn("over", bits_clash(of_register, "low", "high", "idx")).withColumn("hard", F.max("over").over(of_register)).drop("over"), "bitfields")
     easy = seen.where("NOT hard").select("register", "idx", "name", "low", "high", F.lit(True).alias("kept"))
     return easy.unionByName(seen.where("hard").drop("hard").groupBy("register").applyInPandas(one, "register string, idx int, name string, low int, high int, kept boolean"))
 

@@ -374,6 +374,25 @@ def test_registers_from_odd_tables(spark):
     assert sorted((r.name, r.direction) for r in extract.entities(groups, "signal").collect()) == [("axi_req[3:0]", "OUT"), ("clk_in", "IN"), ("rst_n", "IN")]
 
 
+def test_registers_write_a_line_once(spark, monkeypatch):
+    # A table of plain fields: one row for it is written, then one for each field, with what is the same for all lines left out.
+    written = {}
+
+    def counted(df, name="table"):
+        out = materialize(df, name)
+        written[name] = (out.count(), len(out.columns))
+        return out
+
+    monkeypatch.setattr(extract, "materialize", counted)
+    monkeypatch.setattr(audits, "materialize", counted)
+    rows = [["A_CTRL" if i == 0 else "-", f"F{i}", f"[{i}]", "RW", "text"] for i in range(20)]
+    t = spark.createDataFrame([("d", "t", None, ["Reg name", "Field", "Bits", "Access", "Description"], rows)], TABLE)
+    regs, fields = extract.registers(t)
+    assert fields.where("kept AND register = 'A_CTRL'").count() == 20 and [(r.name, r.width) for r in regs.collect()] == [("A_CTRL", 32)]
+    assert sum(n for n, _ in written.values()) == 21 and sum(n * wide for n, wide in written.values()) < 21 * 25
+
+
+
 def test_golden_files_and_encoder_errors(spark):
     from stratalake.operators import audits, embed
 
