@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratalake.core.batches import pieces
 from stratalake.core.storage import materialize
 from stratalake.functions.text import folded, tokens
 
@@ -22,6 +23,8 @@ STOP_WORDS = ("all", "and", "are", "containing", "description", "descriptions",
 STOP_PHRASES = ("一下", "什么", "介绍", "哪些", "如何", "怎么", "是否", "有关", "相关", "说明")
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 4096
+#: Similarities that a task's Python holds at once, eight bytes each.
+SIMILARITIES = 1 << 21
 #: Fixed values of the fusion: rank constant, channel weights, least similarity.
 RANK_BASE, TERM_WEIGHT, SEMANTIC_WEIGHT, CONFIDENCE_WEIGHT, LEAST_SIMILARITY = 60, 0.5, 0.8, 0.5, 0.2
 #: First lines that open front matter.
@@ -201,8 +204,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """query_id, id, similarity and rank of each query's k nearest vectors by exact cosine, ties by id.
 
     queries (query_id, query_vec) is a set that the caller states. It is gone through in blocks of `block` rows; a block is
-    broadcast, each task multiplies it with its vectors and passes on its own k best, and those are ranked. The allow-list
-    is applied before the ranking. Vectors of another length or without length have similarity 0."""
+    broadcast, each task multiplies it with its vectors, SIMILARITIES products at a time, and passes on its own k best, and
+    those are ranked. The allow-list is applied before the ranking. Vectors of another length or without length have similarity 0."""
     spark = vectors.sparkSession
     rows = vectors if allowed is None else vectors.join(allowed, id_col, "left_semi")
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
@@ -217,24 +220,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, names_kind, units = held.value
+            asked = {size: [i for i, u in enumerate(units) if u is not None and len(u) == size] for size in {len(u) for u in units if u is not None}}
+            stacked = {size: np.stack([units[i] for i in own]) for size, own in asked.items()}
             best: list[list[tuple]] = [[] for _ in names]
+            least = np.full(len(names), -np.inf)  # of each query, the similarity of its k-th so far
             kind = None
-            for batch in batches:
+            for batch in pieces(batches, rows=SIMILARITIES // max(1, len(names))):
                 kind = batch.column(0).type
                 ids, own = batch.column(0).to_pylist(), _unit_rows(batch.column(1))
                 sims = np.zeros((len(names), len(ids)))
-                for size in {len(u) for u in units if u is not None}:
-                    left, right = [i for i, u in enumerate(units) if u is not None and len(u) == size], [j for j, u in enumerate(own) if u is not None and len(u) == size]
+                for size, left in asked.items():
+                    right = [j for j, u in enumerate(own) if u is not None and len(u) == size]
                     if right:
-                        sims[np.ix_(left, right)] = np.stack([units[i] for i in left]) @ np.stack([own[j] for j in right]).T
-                sims = np.round(sims, 6) + 0.0
-                for q in range(len(names)):
-                    if len(ids) > k:
-                        least = np.partition(sims[q], len(ids) - k)[len(ids) - k]
-                        near = np.flatnonzero(sims[q] >= least)
-                    else:
-                        near = range(len(ids))
-                    best[q] = sorted([*best[q], *((-sims[q, j], ids[j]) for j in near)])[:k]
+                        sims[np.ix_(left, right)] = stacked[size] @ np.stack([own[j] for j in right]).T
+                np.round(sims, 6, out=sims)
+                sims += 0.0
+                for q in np.flatnonzero((sims >= least[:, None]).any(axis=1)):
+                    bound = max(least[q], np.partition(sims[q], len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf)
+                    best[q] = sorted([*best[q], *((-sims[q, j], ids[j]) for j in np.flatnonzero(sims[q] >= bound))])[:k]
+                    least[q] = -best[q][-1][0] if len(best[q]) == k else -np.inf
             if kind is not None:
                 flat = [(name, i, -s) for name, own in zip(names, best, strict=True) for s, i in own]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], names_kind), pa.array([f[1] for f in flat], kind), pa.array([f[2] for f in flat], pa.float64())], ["query_id", "id", "similarity"])

@@ -405,3 +405,26 @@ def test_golden_files_and_encoder_errors(spark):
     for broken in (lambda t: [[1.0]] * len(t), lambda t: []):
         with pytest.raises(Exception, match="vectors for"):
             embed.embedded(items, none, broken, 2).collect()
+
+
+def test_pieces_of_batches():
+    import pyarrow as pa
+
+    from stratalake.core.batches import pieces
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * n)], ["text"]) for n in (100, 0, 1)]
+    got = list(pieces(batches, size=10_000))
+    assert sum(p.num_rows for p in got) == 101 and max(p.num_rows for p in got) <= 10 and max(p.num_rows for p in pieces(batches, rows=3)) == 3
+    assert [p.num_rows for p in pieces([pa.RecordBatch.from_arrays([pa.array(["y" * 50_000] * 2)], ["text"])], size=10_000)] == [1, 1]
+
+
+def test_nearest_over_several_pieces(spark):
+    # Products of 1,200 queries and 4,000 vectors don't fit one piece; many are equal, so that ids decide over pieces.
+    import math
+
+    at = lambda i: [math.cos(i % 7), math.sin(i % 7)]
+    v = spark.createDataFrame([(i, at(i)) for i in range(4000)], "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, at(i)) for i in range(1200)], "query_id long, query_vec array<double>")
+    assert 1200 * 4000 > 2 * retrieval.SIMILARITIES
+    got = retrieval.nearest(v, q, 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x")).collect()
+    assert len(got) == 1200 and all([r.id for r in g.x] == [g.query_id % 7 + 7 * k for k in range(3)] for g in got)
