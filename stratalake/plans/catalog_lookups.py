@@ -219,8 +219,9 @@ def hybrid_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     wanted = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("l"))
     semantic = retrieval.nearest(vectors, wanted.drop("l"), k=10).select("query_id", "id", "similarity", "rank")
-    same = wanted.select("query_id", "l").join(vectors.select(F.col("vec_id").alias("id"), "label"), F.col("l") == F.col("label"))
-    ranked = same.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("rank <= 10")
+    # The first ten of a label are the same for all of its queries: they are ranked once a label, not once a query.
+    first = vectors.select(F.col("vec_id").alias("id"), "label").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where("rank <= 10")
+    ranked = wanted.select("query_id", "l").join(first, F.col("l") == F.col("label"))
     text = ranked.select("query_id", "id", F.when(F.col("id") % 2 == 0, "text").otherwise("term").alias("channel"), "rank")
     return retrieval.hybrid_scores(text, semantic, ["query_id", "id"]).withColumn("score", F.round("score", 6))
 
