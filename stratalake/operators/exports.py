@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.core.batches import pieces
 from stratalake.functions.text import format_reset, ipxact_access, rdl_access
 
 
@@ -26,11 +30,44 @@ def _joined(registers: DataFrame, fields: DataFrame, line: Column) -> DataFrame:
 
 
 def _component(rows: DataFrame, line: Column, head: Column, tail: Column) -> DataFrame:
-    """One text for each component; a component's registers are bounded by its address map."""
-    body = rows.withColumn("text", line).groupBy("component").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "\n").alias("body"), F.count("*").alias("registers"))
+    """One text for each component, its registers by name. A component's lines are sorted by Spark, which spills, and put together
+    one component after another, so that a task holds the text of one, however many it gets."""
+    lines = rows.select(F.col("component").cast("string").alias("component"), "name", line.alias("text"))
+    placed = lines.repartition(_tasks(rows), "component").sortWithinPartitions("component", "name", "text").select("component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(key: str | None, parts: list[str], n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([n], pa.int64()), pa.array(["\n".join(parts)], pa.string())], ["component", "registers", "body"])
+
+        key, parts, n = None, [], 0
+        for piece in pieces(batches):
+            own = piece.column(0).to_pylist()
+            texts = piece.column(1).to_pylist()
+            start = 0
+            while start < len(own):
+                end = start
+                while end < len(own) and own[end] == own[start]:
+                    end += 1
+                if n and own[start] != key:
+                    yield whole(key, parts, n)
+                    parts, n = [], 0
+                key, n = own[start], n + end - start
+                told = [t for t in texts[start:end] if t is not None]
+                if told:
+                    parts.append("\n".join(told))
+                start = end
+        if n:
+            yield whole(key, parts, n)
+
+    body = placed.mapInArrow(run, "component string, registers long, body string")
     return body.select("component", "registers", F.concat_ws("\n", head, "body", tail).alias("text"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as shuffles have; a stated number is not put together by adaptive execution, which looks at compressed sizes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ipxact(registers: DataFrame, fields: DataFrame, family: str = "unknown") -> DataFrame:
     """component, registers, text (IP-XACT 1685-2014 subset) from registers (component, name, offset, width, access,
     description) and fields (register, name, high, low, access, description)."""

@@ -428,3 +428,17 @@ def test_nearest_over_several_pieces(spark):
     assert 1200 * 4000 > 2 * retrieval.SIMILARITIES
     got = retrieval.nearest(v, q, 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x")).collect()
     assert len(got) == 1200 and all([r.id for r in g.x] == [g.query_id % 7 + 7 * k for k in range(3)] for g in got)
+
+
+def test_components_one_after_another(spark):
+    # Several components in one task, one of them over many batches; nothing gathers a component's lines in an aggregate.
+    regs = spark.range(25_000).select(F.when(F.col("id") < 24_000, "big").otherwise(F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).alias("component"), F.format_string("R%05d", F.col("id")).alias("name"), F.lit("0x0").alias("offset"), F.lit(32).alias("width"), F.lit("RW").alias("access"))
+    fields = regs.select(F.col("name").alias("register"), F.lit("EN").alias("name"), F.lit(0).alias("high"), F.lit(0).alias("low"), F.lit("RO").alias("access"), F.lit(None).cast("string").alias("reset"))
+    out = exports.systemrdl(regs, fields)
+    got = {r.component: r for r in out.collect()}
+    assert {k: r.registers for k, r in got.items()} == {"big": 24_000, "c0": 334, "c1": 333, "c2": 333}
+    line = "  reg {\n    field { sw = r; } EN[0:0] = 0x0;\n  } %s @ 0x0;"
+    for k, r in got.items():
+        names = [f"R{i:05d}" for i in range(25_000) if (k == "big") == (i < 24_000) and (i < 24_000 or k == f"c{i % 3}")]
+        assert r.text == "\n".join([f"addrmap {k} {{", *(line % n for n in names), "};"])
+    assert "component, collect_list" not in out._jdf.queryExecution().analyzed().toString() and "Aggregate [component" not in out._jdf.queryExecution().analyzed().toString()
