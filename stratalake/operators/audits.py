@@ -190,14 +190,18 @@ def candidate_audit(tables: DataFrame, kinds: list[str], nodes: DataFrame) -> tu
     """For tables (doc_id, id, schemas: the kinds that they match): a row for each document, one for each kind, and the issues
     (code, doc_id, kind): documents whose tables match nothing, kinds that nothing matches, kinds that match but have no
     nodes (doc_id, kind)."""
-    matched = tables.select("doc_id", "id", F.explode(F.array_intersect("schemas", F.array(*[F.lit(k) for k in kinds]))).alias("kind"))
-    by_doc = tables.groupBy("doc_id").agg(F.count("*").alias("tables")).join(matched.groupBy("doc_id").agg(F.count("*").alias("hits")), "doc_id", "left").join(nodes.groupBy("doc_id").agg(F.count("*").alias("nodes")), "doc_id", "left").fillna(0)
-    per_kind = matched.groupBy("kind").agg(F.count("*").alias("matched"), F.countDistinct("doc_id").alias("docs"))
+    # What a table matches is told once and written: both counts and all issues read only that, a row a document.
+    own = F.array_intersect("schemas", F.array(*[F.lit(k) for k in kinds]))
+    matches = tables.select("doc_id", own.alias("own")).groupBy("doc_id").agg(F.count("*").alias("tables"), F.sum(F.greatest(F.size("own"), F.lit(0))).alias("hits"), *[F.count_if(F.array_contains("own", k)).alias(f"of_{i}") for i, k in enumerate(kinds)])
+    told = materialize(matches, "matches")
+    by_doc = told.select("doc_id", "tables", "hits").join(nodes.groupBy("doc_id").agg(F.count("*").alias("nodes")), "doc_id", "left").fillna(0)
+    sums = told.agg(*[x for i in range(len(kinds)) for x in (F.sum(f"of_{i}").alias(f"n_{i}"), F.count_if((F.col(f"of_{i}") > 0) & F.col("doc_id").isNotNull()).alias(f"docs_{i}"))])
+    per_kind = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n_{i}").alias("matched"), F.col(f"docs_{i}").alias("docs")) for i, k in enumerate(kinds) if k not in kinds[:i]])).alias("k")).select("k.*")
     names = tables.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
     by_kind = names.join(per_kind, "kind", "left").join(nodes.groupBy("kind").agg(F.count("*").alias("nodes")), "kind", "left").fillna(0).withColumn("rate", safe_div(F.col("nodes"), F.col("matched")))
     none = F.lit(None).cast("string")
     issues = (
-        by_doc.where("hits = 0").select(F.lit("l2.table_no_schema_hits").alias("code"), F.col("doc_id").cast("string").alias("doc_id"), none.alias("kind"))
+        told.where("hits = 0").select(F.lit("l2.table_no_schema_hits").alias("code"), F.col("doc_id").cast("string").alias("doc_id"), none.alias("kind"))
         .unionByName(by_kind.where("matched = 0").select(F.lit("l2.schema_no_candidates").alias("code"), none.alias("doc_id"), "kind"))
         .unionByName(by_kind.where("matched > 0 AND nodes = 0").select(F.lit("l2.matched_but_no_nodes").alias("code"), none.alias("doc_id"), "kind"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.core.storage import materialize
 from stratalake.functions import text as T
 from stratalake.operators import audits, blocks, embed, extract, figures, lookups, retrieval, search
 from stratalake.plans import sql
@@ -332,5 +333,6 @@ def candidate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda *w: F.array(*[F.lit(x) for x in w])
     headers = F.when(key % 3 == 0, words("Symbol", "Min", "Max", "Unit")).when(key % 3 == 1, words("Region", "Base Address", "Size")).otherwise(words("A", "B"))
     tables = extract.with_schemas(table(spark, sf_dir, "orders").select(key.alias("doc_id"), key.cast("string").alias("id"), F.lit(None).cast("string").alias("caption"), headers.alias("headers")))
+    tables = materialize(tables.select("doc_id", "id", "schemas"), "table-schemas")
     nodes = tables.where(F.array_contains("schemas", "timing")).select("doc_id", F.lit("timing").alias("kind"))
     return audits.candidate_audit(tables, ["timing", "memory_map", "pin"], nodes)[2]

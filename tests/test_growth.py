@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
-from stratalake.operators import chunks
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from stratalake.operators import audits, chunks, extract, mentions
+from stratalake.plans import catalog_tables
 
 
 def plan(df) -> str:
@@ -43,3 +47,22 @@ def test_oversized_chunks_by_pieces(spark):
         assert [r.text for r in own] == wanted
         assert [r.char_offset for r in own] == [sum(len(w) for w in wanted[:i]) for i in range(len(wanted)) if text is not None] or text is None
         assert [r.id for r in own] == ([key] if len(wanted) == 1 else [f"{key}_part{i}of{len(wanted)}" for i in range(1, len(wanted) + 1)])
+
+
+def test_audit_reads_what_tables_match_once(spark):
+    rows = [(1, "a", ["timing", "pin"]), (1, "b", ["pin"]), (2, "c", []), (3, "d", None), (4, "e", ["interrupt"]), (5, "f", ["pin", "memory_map"])]
+    tables = spark.createDataFrame(rows, "doc_id long, id string, schemas array<string>")
+    nodes = spark.createDataFrame([(1, "timing"), (1, "pin"), (5, "pin")], "doc_id long, kind string")
+    by_doc, by_kind, issues = audits.candidate_audit(tables, ["timing", "memory_map", "pin", "signal"], nodes)
+    assert all("schemas" not in plan(df) for df in (by_doc, by_kind, issues))
+    assert sorted(map(tuple, by_doc.select("doc_id", "tables", "hits", "nodes").collect())) == [(1, 2, 3, 2), (2, 1, 0, 0), (3, 1, 0, 0), (4, 1, 0, 0), (5, 1, 2, 1)]
+    assert sorted(map(tuple, by_kind.select("kind", "matched", "docs", "nodes").collect())) == [("memory_map", 1, 1, 0), ("pin", 3, 2, 2), ("signal", 0, 0, 0), ("timing", 1, 1, 1)]
+    found = sorted((i.code, i.doc_id or "", i.kind or "") for i in issues.collect())
+    assert found == [("l2.matched_but_no_nodes", "", "memory_map"), ("l2.schema_no_candidates", "", "signal"), *[("l2.table_no_schema_hits", d, "") for d in "234"]]
+
+
+def test_headers_are_made_plain_once_a_kind(spark):
+    tables = spark.createDataFrame([("IRQ list", ["IRQ number", "Type"]), ("", ["Interface", "Protocol", "Width"])], "caption string, headers array<string>")
+    df = extract.with_schemas(tables)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 8
+    assert [("interrupt" in r.schemas, "interface" in r.schemas) for r in df.collect()] == [(True, False), (False, True)]
