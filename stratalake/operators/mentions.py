@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratalake.core.batches import pieces
 from stratalake.core.storage import materialize
 from stratalake.functions.text import normalize_name
 
@@ -56,37 +57,42 @@ def name_index(nodes: DataFrame) -> DataFrame:
     return kept.where("key <> ''").groupBy("doc_id", "key").agg(first.alias("first")).select("doc_id", "key", "first.*")
 
 
-def _found(names: list[str], texts: list[str]) -> list[list[int]]:
-    """For each text the names in it: those of one part as whole words, others anywhere in the text without spaces and
+def _finder(names: list[str]) -> Callable[[str], list[int]]:
+    """What finds the names in a text: those of one part as whole words, others anywhere in the text without spaces and
     underscores. One automaton for all names of several parts."""
     import ahocorasick
 
     words: dict[str, list[int]] = {}
-    automaton = ahocorasick.Automaton()
+    parts: dict[str, list[int]] = {}
     for i, key in enumerate(names):
         plain = key.lower().replace("_", "")
         if "_" not in key:
             words.setdefault(plain, []).append(i)
         elif plain:
-            automaton.add_word(plain, (*automaton.get(plain, ()), i))
-    if len(automaton):
+            parts.setdefault(plain, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for plain, own in parts.items():
+        automaton.add_word(plain, own)
+    if parts:
         automaton.make_automaton()
-    out = []
-    for text in texts:
+
+    def found(text: str) -> list[int]:
         low = text.lower()
         hits = {i for w in set(re.findall(r"\w+", low)) for i in words.get(w, ())}
-        if len(automaton):
+        if parts:
             for _, own in automaton.iter(low.replace(" ", "").replace("_", "")):
                 hits.update(own)
-        out.append(sorted(hits))
-    return out
+        return sorted(hits)
+
+    return found
 
 
 def mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, chunk_id and key of each name (doc_id, key) of a document that one of its chunks (doc_id, chunk_id, text) holds.
 
     A document's names are cut into pieces and its chunks into slices, so that a group has some 50,000 names and 1,000 chunks
-    of one document, whatever its size; each piece meets each slice."""
+    of one document, whatever its size; each piece meets each slice. A task goes through its groups one after another, each
+    one's names before its chunks, and holds one group's names and some megabytes of chunks."""
     keys = names.where(F.length("key") >= LEAST_KEY).select("doc_id", "key")
     sizes = keys.groupBy("doc_id").agg(F.ceil(F.count("*") / NAMES_OF_PIECE).cast("int").alias("pieces")).join(chunks.groupBy("doc_id").agg(F.ceil(F.count("*") / CHUNKS_OF_SLICE).cast("int").alias("slices")), "doc_id")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -94,15 +100,27 @@ def mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     c = chunks.where("text IS NOT NULL").join(sizes, "doc_id").select("doc_id", "chunk_id", "text", F.pmod(F.xxhash64("chunk_id"), "slices").cast("int").alias("slice"), upto("pieces").alias("piece"))
     kinds = {f.name: f.dataType.simpleString() for f in c.schema.fields}
 
-    def run(own: pa.Table, texts: pa.Table) -> pa.Table:
-        known = own.column("key").to_pylist()
-        hits = _found(known, texts.column("text").to_pylist()) if known else []
-        at = [(i, j) for i, found in enumerate(hits) for j in found]
-        rows, cols = pa.array([i for i, _ in at], pa.int64()), pa.array([j for _, j in at], pa.int64())
-        return pa.table({"doc_id": texts.column("doc_id").take(rows), "chunk_id": texts.column("chunk_id").take(rows), "key": own.column("key").take(cols)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known, found = None, [], None
+        for batch in pieces(batches):
+            rows, told = [], []
+            for row, (*at, key, text) in enumerate(zip(*[batch.column(x).to_pylist() for x in ("doc_id", "piece", "slice", "key", "text")], strict=True)):
+                if at != group:
+                    group, known, found = at, [], None
+                if text is None:
+                    known.append(key)
+                elif known:
+                    found = found or _finder(known)
+                    own = [known[i] for i in found(text)]
+                    rows += [row] * len(own)
+                    told += own
+            of = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("chunk_id").take(of), pa.array(told, pa.string())], ["doc_id", "chunk_id", "key"])
 
     group = ["doc_id", "piece", "slice"]
-    return n.groupBy(*group).cogroup(c.groupBy(*group)).applyInArrow(run, f"doc_id {kinds['doc_id']}, chunk_id {kinds['chunk_id']}, key string")
+    both = n.select(*group, F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), "key", F.lit(None).cast("string").alias("text")).unionByName(c.select(*group, "chunk_id", F.lit(None).cast("string").alias("key"), "text"))
+    in_order = both.repartition(*group).sortWithinPartitions(*group, F.col("text").isNotNull())
+    return in_order.mapInArrow(run, f"doc_id {kinds['doc_id']}, chunk_id {kinds['chunk_id']}, key string")
 
 
 def relation_candidates(chunks: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -49,6 +49,20 @@ def test_oversized_chunks_by_pieces(spark):
         assert [r.id for r in own] == ([key] if len(wanted) == 1 else [f"{key}_part{i}of{len(wanted)}" for i in range(1, len(wanted) + 1)])
 
 
+def test_mentions_in_one_stream(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "CHUNKS_OF_SLICE", 2)
+    monkeypatch.setattr(mentions, "NAMES_OF_PIECE", 2)
+    names = {1: ["DMA_Engine", "core", "Core_Unit", "uart", "ab"], 2: ["core"], 3: ["timer"]}
+    texts = {1: ["the dma engine", "DMAENGINE and core unit", "a core", "cores", None], 2: ["core_unit", "uart core"], 4: ["timer"]}
+    df = mentions.mentions(
+        spark.createDataFrame([(d, f"{d}#{i}", t) for d, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, chunk_id string, text string"),
+        spark.createDataFrame([(d, n) for d, ns in names.items() for n in ns], "doc_id long, key string"),
+    )
+    # A group costs no call of its own and a task holds one group's names.
+    assert "MapInArrow" in plan(df) and "FlatMapCoGroups" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == [(1, "1#0", "DMA_Engine"), (1, "1#1", "Core_Unit"), (1, "1#1", "DMA_Engine"), (1, "1#1", "core"), (1, "1#2", "core"), (2, "2#1", "core")]
+
+
 def test_audit_reads_what_tables_match_once(spark):
     rows = [(1, "a", ["timing", "pin"]), (1, "b", ["pin"]), (2, "c", []), (3, "d", None), (4, "e", ["interrupt"]), (5, "f", ["pin", "memory_map"])]
     tables = spark.createDataFrame(rows, "doc_id long, id string, schemas array<string>")
