@@ -174,29 +174,31 @@ def _best_static(ends: DataFrame, names: DataFrame) -> DataFrame:
     return exact.join(best, ["doc_id", "name"], "left").select("doc_id", "name", "key", "words", "exact_id", "fuzzy_id", "fuzzy_score")
 
 
-def _resolved(table: pa.Table) -> pa.Table:
-    """The nodes that a document's relation ends mean, in the order in which the answers tell them: a known node, else one
-    that an earlier end made, else a new one where its kind is known. A document has CHUNKS_OF_DOC answers at most."""
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that relation ends without a known node of their name mean: one that an earlier end of the document made, else
+    a new one where its kind is known. Rows come a document after another, in the order in which its answers tell them; what
+    is held is one document's new names, of CHUNKS_OF_DOC answers at most."""
+    document: object = None
     made: dict[str, tuple[str, set[str]]] = {}
-    out = []
-    rows = sorted(table.to_pylist(), key=lambda r: (r["place"], r["chunk_id"], r["position"], r["side"]))
-    for r in rows:
-        node, new, words = r["exact_id"], False, set(r["words"] or [])
-        if node is None and r["key"] in made:
-            node = made[r["key"]][0]
-        if node is None:
-            node, best = r["fuzzy_id"], r["fuzzy_score"] or 0.0
-            for i, known in made.values():
-                score = len(words & known) / min(len(words), len(known)) if words and known else 0.0
-                if score >= LEAST_OVERLAP and score > best:
-                    node, best = i, score
-        if node is None and r["new_id"] is not None:
-            node, new = r["new_id"], True
-            made.setdefault(r["key"], (node, words))
-        out.append((r["doc_id"], r["chunk_id"], r["position"], r["side"], node, new))
-    names = ["doc_id", "chunk_id", "position", "side", "node", "new"]
-    types = [table.schema.field("doc_id").type, table.schema.field("chunk_id").type, pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-    return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+    for batch in pieces(batches):
+        nodes, new = [], []
+        for r in batch.to_pylist():
+            if r["doc_id"] != document:
+                document, made = r["doc_id"], {}
+            words, fresh = set(r["words"] or []), False
+            node = made[r["key"]][0] if r["key"] in made else None
+            if node is None:
+                node, best = r["fuzzy_id"], r["fuzzy_score"] or 0.0
+                for i, known in made.values():
+                    score = len(words & known) / min(len(words), len(known)) if words and known else 0.0
+                    if score >= LEAST_OVERLAP and score > best:
+                        node, best = i, score
+            if node is None and r["new_id"] is not None:
+                node, fresh = r["new_id"], True
+                made.setdefault(r["key"], (node, words))
+            nodes.append(node), new.append(fresh)
+        kept = [batch.column(c) for c in ("doc_id", "chunk_id", "position", "side")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(nodes, pa.string()), pa.array(new, pa.bool_())], ["doc_id", "chunk_id", "position", "side", "node", "new"])
 
 
 def link_relations(answers: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,8 +217,11 @@ def link_relations(answers: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     new_id = F.when(F.col("type").isin(*KINDS) & (F.col("key") != ""), F.concat(F.lit("ie::"), F.try_element_at(short, F.col("type")), F.lit(":"), "key", F.lit("#"), F.col("doc_id").cast("string")))
     joined = materialize(ends.join(static, ["doc_id", "name"]).withColumn("new_id", new_id), "relation-ends")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
-    asked = joined.select("doc_id", "chunk_id", "place", "position", "side", "key", "words", "exact_id", "fuzzy_id", "fuzzy_score", "new_id")
-    found = materialize(asked.groupBy("doc_id").applyInArrow(_resolved, f"doc_id {kinds['doc_id']}, chunk_id {kinds['chunk_id']}, position int, side int, node string, new boolean"), "relation-nodes")
+    asked = joined.where("exact_id IS NULL").select("doc_id", "chunk_id", "place", "position", "side", "key", "words", "fuzzy_id", "fuzzy_score", "new_id")
+    in_order = asked.repartition("doc_id").sortWithinPartitions("doc_id", "place", "chunk_id", "position", "side")
+    told_ends = in_order.mapInArrow(_resolved, f"doc_id {kinds['doc_id']}, chunk_id {kinds['chunk_id']}, position int, side int, node string, new boolean")
+    known = joined.where("exact_id IS NOT NULL").select("doc_id", "chunk_id", "position", "side", F.col("exact_id").alias("node"), F.lit(False).alias("new"))
+    found = materialize(told_ends.unionByName(known), "relation-nodes")
     at = ["doc_id", "chunk_id", "position", "side"]
     one = joined.join(found.where("new"), at)
     block_ids = F.col("block_ids") if "block_ids" in extra else F.array().cast("array<string>")

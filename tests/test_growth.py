@@ -80,3 +80,18 @@ def test_headers_are_made_plain_once_a_kind(spark):
     df = extract.with_schemas(tables)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 8
     assert [("interrupt" in r.schemas, "interface" in r.schemas) for r in df.collect()] == [(True, False), (False, True)]
+
+
+def test_relation_ends_of_several_documents_in_one_batch():
+    columns = {"doc_id": pa.int64(), "chunk_id": pa.string(), "place": pa.int64(), "position": pa.int32(), "side": pa.int32(), "key": pa.string(), "words": pa.list_(pa.string()), "fuzzy_id": pa.string(), "fuzzy_score": pa.float64(), "new_id": pa.string()}
+    rows = [
+        (1, "a", 1, 0, 0, "dma_engine", ["dma", "engine"], None, None, "n1"),
+        (1, "a", 1, 0, 1, "dma_engine", ["dma", "engine"], "f", 0.8, None),
+        (1, "b", 2, 0, 0, "dma", ["dma"], "f", 0.8, "n2"),
+        (2, "a", 1, 0, 0, "dma", ["dma"], None, None, None),
+        (2, "a", 1, 0, 1, "dma_engine", ["dma", "engine"], "f", 0.8, "n3"),
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), columns.values(), strict=True)], list(columns))
+    for batches in ([batch], [batch.slice(0, 1), batch.slice(1, 3), batch.slice(4)]):
+        got = pa.Table.from_batches(list(mentions._resolved(iter(batches)))).to_pylist()
+        assert [(r["doc_id"], r["node"], r["new"]) for r in got] == [(1, "n1", True), (1, "n1", False), (1, "n1", False), (2, None, False), (2, "f", False)]
