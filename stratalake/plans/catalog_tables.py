@@ -319,15 +319,14 @@ def registers_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def span_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a table with two header rows: even quantities span two columns, the first line's flag spans all rows."""
-    from pyspark.sql.window import Window
-
     from stratalake.sources import grids
 
-    of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").withColumns({"p": F.row_number().over(of_order) - 1, "q": F.col("l_quantity").cast("long"), "n": F.count("*").over(Window.partitionBy("l_orderkey"))})
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*order, F.col("l_quantity").cast("long").alias("q"), "l_returnflag").alias("line"))
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     cell = lambda row, col, rows, cols, text, header=False: F.struct(*[F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in (("row", row), ("col", col), ("row_span", rows), ("col_span", cols))], (F.lit(text) if isinstance(text, str) else text.cast("string")).alias("text"), F.lit(header).alias("header"))
-    row, even = F.col("p") + 2, F.col("q") % 2 == 0
-    own = F.array_compact(F.array(cell(row, 0, 1, F.when(even, 2).otherwise(1), F.col("l_partkey")), F.when(~even, cell(row, 1, 1, 1, F.col("q"))), F.when(F.col("p") == 0, cell(row, 2, F.col("n"), 1, F.col("l_returnflag")))))
+    even = lambda line: line["q"] % 2 == 0
+    own = lambda line, p: F.array_compact(F.array(cell(p + 2, 0, 1, F.when(even(line), 2).otherwise(1), line["l_partkey"]), F.when(~even(line), cell(p + 2, 1, 1, 1, line["q"])), F.when(p == 0, cell(p + 2, 2, F.size("lines"), 1, line["l_returnflag"]))))
     heads = F.array(cell(0, 0, 1, 2, "Item", True), cell(0, 2, 2, 1, "Flag", True), cell(1, 0, 1, 1, "Key", True), cell(1, 1, 1, 1, "Qty", True))
-    tables = lines.groupBy("l_orderkey").agg(F.concat(heads, F.flatten(F.collect_list(own))).alias("cells")).select(F.col("l_orderkey").alias("id"), grids.span_grid(F.col("cells")).alias("g"))
+    tables = orders.select(F.col("l_orderkey").alias("id"), grids.span_grid(F.concat(heads, F.flatten(F.transform("lines", own)))).alias("g"))
     return tables.select("id", F.array_join("g.headers", "|").alias("headers"), F.array_join(F.transform("g.rows", lambda r: F.array_join(r, "|")), ";").alias("rows"), F.size("g.merged").alias("merged"))

@@ -37,7 +37,7 @@ def span_grid(cells: Column) -> Column:
         place = lambda x, i, j: F.struct(((x["row"] + i) * size["w"] + x["col"] + j).alias("at"), F.lit(0).alias("blank"), x["row"].alias("row"), x["col"].alias("col"), x["text"].alias("text"), x["header"].alias("header"))
         covered = F.flatten(F.transform(own, lambda x: F.flatten(F.transform(_upto(x["row_span"]), lambda i: F.transform(_upto(x["col_span"]), lambda j: place(x, i, j))))))
         blank = F.transform(_upto(size["h"] * size["w"]), lambda k: F.struct(k.alias("at"), F.lit(1).alias("blank"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("text"), F.lit(False).alias("header")))
-        first = let(F.array_sort(F.concat(covered, blank)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["at"] != x["at"])))
+        first = let(F.sort_array(F.concat(covered, blank)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["at"] != x["at"])))
         lines = let(first, lambda all_: F.transform(_upto(size["h"]), lambda r: F.slice(all_, r * size["w"] + 1, size["w"])))
         return let(lines, lambda ls: told(own, size, ls))
 

@@ -95,3 +95,9 @@ def test_relation_ends_of_several_documents_in_one_batch():
     for batches in ([batch], [batch.slice(0, 1), batch.slice(1, 3), batch.slice(4)]):
         got = pa.Table.from_batches(list(mentions._resolved(iter(batches)))).to_pylist()
         assert [(r["doc_id"], r["node"], r["new"]) for r in got] == [(1, "n1", True), (1, "n1", False), (1, "n1", False), (2, None, False), (2, "f", False)]
+
+
+def test_span_tables_collects_lines_once(spark, sf_dir):
+    df = catalog_tables.span_tables(spark, sf_dir)
+    assert "Window" not in plan(df) and "array_sort" not in plan(df)
+    assert df.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.countDistinct("l_orderkey")).first()[0]
