@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,32 +22,40 @@ def span_grid(cells: Column) -> Column:
     covers it, of several the first by row and column; places that none covers are blank. Leading rows whose places are all
     headers', one at least, are joined to one header a column, each text once.
 
-    Linear in the places but for a sort: every place is listed once for its cell and once as blank, and the first of each
-    place is kept. Negative places and spans under one count as 0 and 1."""
+    Linear in the places but for a sort: every place is listed once for its cell and once as blank, each as one number, and the
+    first of each place is kept. Negative places and spans under one count as 0 and 1."""
     at = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
     span = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
-    plain = F.transform(F.coalesce(cells, F.array().cast(CELLS)), lambda x: F.struct(at(x["row"]).alias("row"), at(x["col"]).alias("col"), span(x["row_span"]).alias("row_span"), span(x["col_span"]).alias("col_span"), F.trim(F.coalesce(x["text"], F.lit(""))).alias("text"), F.coalesce(x["header"], F.lit(False)).alias("header")))
+    plain = F.transform(F.coalesce(cells, F.array().cast(CELLS)), lambda x: F.struct(at(x["row"]).alias("row"), at(x["col"]).alias("col"), F.trim(F.coalesce(x["text"], F.lit(""))).alias("text"), F.coalesce(x["header"], F.lit(False)).alias("header"), span(x["row_span"]).alias("row_span"), span(x["col_span"]).alias("col_span")))
     # A one-element array binds what is used again, so that it is evaluated once.
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
     def sized(own: Column) -> Column:
         height = F.coalesce(F.array_max(F.transform(own, lambda x: x["row"] + x["row_span"])), F.lit(0))
         width = F.coalesce(F.array_max(F.transform(own, lambda x: x["col"] + x["col_span"])), F.lit(0))
-        return let(F.struct(height.alias("h"), width.alias("w")), lambda size: placed(own, size))
+        return let(F.struct(height.alias("h"), width.alias("w"), (F.size(own) + 1).cast("long").alias("m"), F.sort_array(own).alias("cells")), lambda size: placed(own, size))
 
     def placed(own: Column, size: Column) -> Column:
-        place = lambda x, i, j: F.struct(((x["row"] + i) * size["w"] + x["col"] + j).alias("at"), F.lit(0).alias("blank"), x["row"].alias("row"), x["col"].alias("col"), x["text"].alias("text"), x["header"].alias("header"))
-        covered = F.flatten(F.transform(own, lambda x: F.flatten(F.transform(_upto(x["row_span"]), lambda i: F.transform(_upto(x["col_span"]), lambda j: place(x, i, j))))))
-        blank = F.transform(_upto(size["h"] * size["w"]), lambda k: F.struct(k.alias("at"), F.lit(1).alias("blank"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("text"), F.lit(False).alias("header")))
-        first = let(F.sort_array(F.concat(covered, blank)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["at"] != x["at"])))
-        lines = let(first, lambda all_: F.transform(_upto(size["h"]), lambda r: F.slice(all_, r * size["w"] + 1, size["w"])))
-        return let(lines, lambda ls: told(own, size, ls))
-
-    def told(own: Column, size: Column, lines: Column) -> Column:
-        body_from = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda line, i: F.when(~F.forall(line, lambda x: x["header"]), i)), lambda i: i.isNotNull())), size["h"])
-        heads = F.greatest(body_from, F.least(F.lit(1), size["h"]))
-        headers = let(F.slice(lines, F.lit(1), heads), lambda hs: F.transform(_upto(size["w"]), lambda c: F.array_join(F.array_distinct(F.filter(F.transform(hs, lambda line: F.get(line, c)["text"]), lambda t: t != "")), " ")))
-        rows = F.transform(F.slice(lines, heads + 1, F.greatest(size["h"] - heads, F.lit(0))), lambda line: F.transform(line, lambda x: x["text"]))
+        # A place and the number of a cell by row and column, or of none (the last number), as place * m + number.
+        m = size["m"]
+        code = lambda x, k, i, j: ((x["row"] + i) * size["w"] + x["col"] + j).cast("long") * m + k
+        covered = F.flatten(F.transform(size["cells"], lambda x, k: F.flatten(F.transform(_upto(x["row_span"]), lambda i: F.transform(_upto(x["col_span"]), lambda j: code(x, k, i, j))))))
+        blank = F.transform(_upto(size["h"] * size["w"]), lambda p: p.cast("long") * m + m - 1)
+        place = lambda x: x - x % m
+        first = lambda s: F.filter(s, lambda x, i: (i == 0) | (place(F.get(s, i - 1)) != place(x)))
+        nths = let(F.sort_array(F.concat(covered, blank)), lambda s: F.transform(first(s), lambda x: (x % m).cast("int")))
+        return let(nths, lambda n: headed(own, size, n))
+
+    def headed(own: Column, size: Column, nths: Column) -> Column:
+        cell = lambda r, c: F.get(size["cells"], F.get(nths, r * size["w"] + c))
+        text = lambda r, c: F.coalesce(cell(r, c)["text"], F.lit(""))
+        header = lambda r, c: F.coalesce(cell(r, c)["header"], F.lit(False))
+        body_from = F.coalesce(F.get(F.filter(_upto(size["h"]), lambda r: ~F.forall(_upto(size["w"]), lambda c: header(r, c))), F.lit(0)), size["h"])
+        return let(F.greatest(body_from, F.least(F.lit(1), size["h"])), lambda heads: told(own, size, text, heads))
+
+    def told(own: Column, size: Column, text: Callable[[Column, Column], Column], heads: Column) -> Column:
+        headers = F.transform(_upto(size["w"]), lambda c: F.array_join(F.array_distinct(F.filter(F.transform(_upto(heads), lambda r: text(r, c)), lambda t: t != "")), " "))
+        rows = F.transform(F.filter(_upto(size["h"]), lambda r: r >= heads), lambda r: F.transform(_upto(size["w"]), lambda c: text(r, c)))
         merged = F.transform(F.filter(own, lambda x: (x["row_span"] > 1) | (x["col_span"] > 1)), lambda x: F.struct(x["row"].alias("row"), x["col"].alias("col"), x["row_span"].alias("row_span"), x["col_span"].alias("col_span"), x["text"].alias("text")))
         return F.struct(headers.alias("headers"), rows.alias("rows"), merged.alias("merged"))
 
