@@ -54,13 +54,17 @@ def registers_in_order(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = F.coalesce(F.trim("caption"), F.lit("")) == ""
     regs, fields = extract.registers(tables.withColumn("awaits", blank & field_table(F.col("headers"), F.col("rows"))))
     regs, fields = materialize(regs, "announced"), materialize(fields, "laid-out")
-    asks = tables.where(blank & field_table(F.col("headers"), F.col("rows"))).select("doc_id", F.col("id").alias("table_id"))
     with_fields = fields.select("doc_id", "table_id").distinct()
     lists = regs.join(with_fields, ["doc_id", "table_id"], "left_anti")
-    puts = lists.groupBy("doc_id", "table_id").agg(F.count("*").alias("puts"), F.lit(0).cast("long").alias("takes"))
-    takes = with_fields.join(asks, ["doc_id", "table_id"], "left_semi").select("doc_id", "table_id", F.lit(0).cast("long").alias("puts"), F.lit(1).cast("long").alias("takes"))
-    at = tables.select("doc_id", F.col("id").alias("table_id"), "pos")
-    told = materialize(queued(puts.unionByName(takes).join(at, ["doc_id", "table_id"])), "queued")
+    puts = lists.groupBy("doc_id", "table_id").agg(F.count("*").alias("puts"))
+    asks = F.coalesce(blank & field_table(F.col("headers"), F.col("rows")), F.lit(False))
+    at = tables.select("doc_id", F.col("id").alias("table_id"), "pos", asks.alias("asks"))
+    # What a table puts in and takes is joined to its place. A union of both below a join fails: Spark 4.1 counts on its parts
+    # being dealt alike when it plans the join, but no longer does so where shuffles are used again ("Can't zip RDDs").
+    both = at.join(puts, ["doc_id", "table_id"], "left").join(with_fields.withColumn("laid", F.lit(True)), ["doc_id", "table_id"], "left")
+    both = both.withColumns({"puts": F.coalesce("puts", F.lit(0).cast("long")), "takes": F.coalesce(F.col("laid") & F.col("asks"), F.lit(False)).cast("long")})
+    events = materialize(both.where("puts > 0 OR takes > 0").select("doc_id", "table_id", "puts", "takes", "pos"), "events")
+    told = materialize(queued(events), "queued")
     nth = F.row_number().over(Window.partitionBy("doc_id", "table_id").orderBy("pos", "name"))
     names = lists.select("doc_id", "table_id", "name", nth.alias("nth")).join(told.select("doc_id", "table_id", "first"), ["doc_id", "table_id"]).select("doc_id", "name", (F.col("first") + F.col("nth") - 1).alias("taken"))
     of_table = told.where("taken IS NOT NULL").select("doc_id", "table_id", "taken").join(names, ["doc_id", "taken"]).select("doc_id", "table_id", F.col("name").alias("context"))

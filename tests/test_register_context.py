@@ -68,3 +68,17 @@ def test_registers_over_several_tables(spark):
 def test_no_tables(spark):
     regs, fields = register_context.registers_in_order(spark.createDataFrame([], TABLE))
     assert regs.count() == 0 and fields.count() == 0
+
+
+def test_queue_without_broadcasts(spark, sf_dir):
+    """Where joins meet by sorted shuffles, the parts of one are dealt alike, also where shuffles are used again."""
+    from stratalake.plans.catalog_tables import registers_over_tables
+
+    want = sorted(registers_over_tables(spark, sf_dir).collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = sorted(registers_over_tables(spark, sf_dir).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and got
