@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +34,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= min(cores, 8) else df
 
 
+def few_at_once(spark: SparkSession, need: int) -> ResourceProfile | None:
+    """Cores that each task of a stage asks for so that an executor's heap has room for those that it runs at a time, with
+    `need` bytes each; None where all cores fit, and where the cores of an executor aren't told or can't be asked for (local
+    masters, dynamic allocation)."""
+    context = spark.sparkContext
+    conf = context.getConf()
+    cluster = re.match(r"local-cluster\s*\[[^,]*,\s*(\d+)", context.master)
+    if context.master.startswith("local") and not cluster or conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    cores = int(conf.get("spark.executor.cores", cluster[1] if cluster else "1"))
+    heap = context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.executor.memory", "1g"))
+    fit = max(1, heap // max(1, need))
+    return None if fit >= cores else ResourceProfileBuilder().require(TaskResourceRequests().cpus(-(-cores // fit))).build
+
+
 _SHIPPED: set[str] = set()
 
 

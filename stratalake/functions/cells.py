@@ -48,7 +48,8 @@ def norm_header(c: Column) -> Column:
 
 def entity_name(c: Column) -> Column:
     """White space becomes underscores; those at the ends go."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+", "_"), r"^_+|_+$", "")
+    text = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(text.rlike(r"\s|^_|_$"), F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), r"^_+|_+$", "")).otherwise(text)
 
 
 def display_name(c: Column) -> Column:
@@ -154,7 +155,10 @@ def field_in_description(description: Column, bits: Column) -> Column:
 
 
 def is_reserved(name: Column, description: Column) -> Column:
-    return F.regexp_replace(norm_header(name), "^[_ -]+|[_ -]+$", "").isin(*RESERVED_NAMES) | norm_header(description).isin(*RESERVED_TEXTS)
+    """Whether a field is kept free. What neither speaks of it nor lacks a name, as most, is told without making it plain."""
+    known = F.regexp_replace(norm_header(name), "^[_ -]+|[_ -]+$", "").isin(*RESERVED_NAMES) | norm_header(description).isin(*RESERVED_TEXTS)
+    said = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("reserve"))
+    return F.when(said(name) | said(description) | ~F.coalesce(name, F.lit("")).rlike(r"[^\s_-]"), known).otherwise(False)
 
 
 def offset_in_text(c: Column) -> Column:

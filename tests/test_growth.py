@@ -7,7 +7,9 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalake.operators import audits, chunks, extract, mentions
+from stratalake.core.session import few_at_once
+from stratalake.core.storage import materialize
+from stratalake.operators import audits, chunks, exports, extract, mentions
 from stratalake.plans import catalog_tables
 
 
@@ -101,3 +103,76 @@ def test_span_tables_collects_lines_once(spark, sf_dir):
     df = catalog_tables.span_tables(spark, sf_dir)
     assert "Window" not in plan(df) and "array_sort" not in plan(df)
     assert df.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.countDistinct("l_orderkey")).first()[0]
+
+
+def test_long_components_have_tasks_of_their_own(spark, monkeypatch):
+    # A component's lines are written in order, and one whose text is long is dealt to a task of its own.
+    monkeypatch.setattr(exports, "GROUP_BYTES", 2_000)
+    seen = []
+    monkeypatch.setattr(exports, "materialize", lambda df, name: seen.append(materialize(df, name)) or seen[-1])
+    names = {"a&b": ["R2", "R1", "R1", "<R>"], "b": [f"R{i:03d}" for i in range(60)], None: ["N"], "c": [f"S{i:03d}" for i in range(30)]}
+    rows = [(k, n, f"0x{i}" if n != "N" else None, 32, "RW", "") for k, ns in names.items() for i, n in enumerate(ns)]
+    regs = spark.createDataFrame(rows, "component string, name string, offset string, width int, access string, description string").coalesce(1)
+    fields = spark.createDataFrame([(n, x, h, 0, "RO", "d") for _, n, *_ in rows[:5] for x, h in (("F", 3), ("G", 7))], "register string, name string, high int, low int, access string, description string").distinct()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = exports.ipxact(regs, fields, "f<1")
+        got = {r.component: (r.registers, r.text) for r in df.collect()}
+        dealt = df.select("component", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0].count() == len(rows) and seen[1].count() == len(names)
+    assert len({r.task for r in dealt if r.component in ("b", "c")}) == 2
+
+    def xml(v):
+        return str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+    def tags(**values):
+        return "".join(f"<ipxact:{k}>{xml(v)}</ipxact:{k}>" for k, v in values.items())
+
+    has = {n for _, n, *_ in rows[:5]}
+    for k, ns in names.items():
+        own = []
+        for i, n in enumerate(ns):
+            lines = [f"<ipxact:field>{tags(name=x, bitOffset=0, bitWidth=h + 1, access='read-only', description='d')}</ipxact:field>" for x, h in (("G", 7), ("F", 3))] if n in has else []
+            own.append((n, f"<ipxact:register>{tags(name=n, addressOffset=f'0x{i}' if n != 'N' else '0x0', size=32, access='read-write')}" + "\n".join(lines) + "</ipxact:register>"))
+        head = '<?xml version="1.0" encoding="UTF-8"?>\n<ipxact:component xmlns:ipxact="http://www.accellera.org/XMLSchema/IPXACT/1685-2014">' + tags(vendor="f<1", name=k or "") + "<ipxact:memoryMaps><ipxact:memoryMap><ipxact:addressBlock>"
+        assert got[k] == (len(ns), "\n".join([head, *[t for _, t in sorted(own)], "</ipxact:addressBlock></ipxact:memoryMap></ipxact:memoryMaps></ipxact:component>"]))
+    none = exports.systemrdl(regs.where("component IS NULL"), fields.withColumn("reset", F.lit(None).cast("string"))).collect()
+    assert [(r.component, r.registers, r.text) for r in none] == [(None, 1, "  reg {\n\n  } N @ 0x0;\n};")]
+    assert exports.ipxact(regs.where("false"), fields).collect() == []
+
+
+class _Told:
+    """A session of which only the settings are asked."""
+
+    def __init__(self, spark, master, **conf):
+        self.sparkContext = self
+        self.master, self._jvm, self.told = master, spark.sparkContext._jvm, {k.replace("_", "."): v for k, v in conf.items()}
+
+    def getConf(self):
+        return self.told
+
+
+def test_few_long_rows_at_once(spark):
+    cpus = lambda need, master="local-cluster[3,4,10000]", **conf: (p := few_at_once(_Told(spark, master, **{"spark_executor_memory": "6000m"} | conf), need)) and p.taskResources["cpus"].amount
+    assert [cpus(need << 20) for need in (0, 1500, 1501, 3001, 9000)] == [None, None, 2, 4, 4]
+    assert cpus(9 << 30, "spark://x:7077", spark_executor_cores="3") == 3 and cpus(9 << 30, "spark://x:7077") is None
+    assert cpus(9 << 30, "local[4]") is None and cpus(9 << 30, spark_dynamicAllocation_enabled="true") is None
+
+
+def test_headers_of_register_tables_are_read_once(spark, monkeypatch):
+    told = {}
+    monkeypatch.setattr(extract, "materialize", lambda df, name: told.setdefault(name, (plan(df), materialize(df, name)))[1])
+    heads = [["Reg name", "Field", "Bits", "Access"], ["Register", "Description", "Field", "Type"], None, []]
+    rows = [["CTRL", "EN", "[0]", "RO"], ["-", "Reserved", "[1]", "RO"], [None, "MODE", "[3:2]", "r/w"]]
+    tables = spark.createDataFrame([(i % 5, f"t{i}", None if i % 3 else "Register list", heads[i % 4], rows) for i in range(40)], "doc_id long, id string, caption string, headers array<string>, rows array<array<string>>")
+    for most in (extract.FEW_HEADERS, 1):
+        told.clear()
+        monkeypatch.setattr(extract, "FEW_HEADERS", most)
+        regs, fields = extract.registers(tables)
+        assert told["register-tables"][1].count() == 20 and not any(c.startswith("at_") for c in told["register-tables"][1].columns)
+        assert ("strategy=broadcast" in told["register-carried"][0]) == (most > 1)
+        got = [(r.table_id, r.register, r.idx, r.name, r.high, r.low, r.access) for r in fields.collect()]
+        assert sorted(got) == sorted((f"t{i}", "CTRL", *x) for i in range(0, 40, 4) for x in ((0, "EN", 0, 0, "RO"), (2, "MODE", 3, 2, "RW")))
+        assert sorted({r.name for r in regs.where("table_id = 't0'").collect()}) == ["CTRL"]
